@@ -30,7 +30,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: The pre-token pattern of ``word_bpe_49k.json``, for texts of these characters only.
 _LATIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]*")
-_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^\sa-zà-öø-ÿ0-9]+")
+_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 class WordIds:
