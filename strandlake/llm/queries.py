@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, packing, rules, simhash, warc
+from . import html, packing, pseudonyms, rules, simhash, warc
 from .common import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.round_trip(table(spark, sf_dir, "pages")))
 
@@ -31,7 +35,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op4_simhash, op5_html, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_warc, op4_simhash, op5_html, op9_packing, op10_quality_rules)}
 #: The digest's hex, five digits at a time, to four base-32 digits each.
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * k}, 5))::BIGINT >> {s}) & 31)::INT, 1)" for k in range(8) for s in (15, 10, 5, 0)
