@@ -14,7 +14,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.page_records(warc.round_trip(table(spark, sf_dir, "pages")))
+    return warc.page_records(warc.round_trip(table(spark, sf_dir, "pages"), with_payload=False))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

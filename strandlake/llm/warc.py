@@ -179,16 +179,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(run, RECORDS)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
     """One nested row a capture: ``capture_id, response, request, metadata`` (structs; null if absent).
 
     The records are joined on the identifier of the response or revisit: its own, or that in
     WARC-Concurrent-To. As one key has a few records only, the join is a grouping, which reads
     the archives once. A transaction without a response is left out; of several requests of one
-    transaction the row has one.
+    transaction the row has one. ``with_payload=False`` leaves the payloads where they are.
     """
     fields = F.str_to_map(F.regexp_replace(F.decode("payload", "UTF-8"), r"(\r\n)+$", ""), F.lit("\r\n"), F.lit(": "))
-    answer = F.struct("record_type", "target_uri", "warc_date", "refers_to", "payload_digest", "payload_bytes", "http_status", "http_headers", "payload")
+    answer = F.struct("record_type", "target_uri", "warc_date", "refers_to", "payload_digest", "payload_bytes", "http_status", "http_headers", (F.col("payload") if with_payload else F.lit(None).cast("binary")).alias("payload"))
     keyed = records.select(
         F.coalesce("concurrent_to", "record_id").alias("capture_id"),
         F.when(F.col("record_type").isin("response", "revisit"), answer).alias("response"),
@@ -213,9 +213,9 @@ def page_records(found: DataFrame) -> DataFrame:
     return first.unionByName(again.select(*out))
 
 
-def round_trip(pages: DataFrame, dedup_from: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, dedup_from: int = 0, with_payload: bool = True) -> DataFrame:
     """Write ``pages`` to archives in the shared folder, read them back and assemble the captures."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, dedup_from=dedup_from)
-    return assemble(read_archives(spark, path))
+    return assemble(read_archives(spark, path), with_payload)
