@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, packing, pseudonyms, rules, simhash, warc
+from . import ann, html, packing, pseudonyms, rules, simhash, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_warc, op4_simhash, op5_html, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_warc, op4_simhash, op5_html, op8_ann, op9_packing, op10_quality_rules)}
 #: The digest's hex, five digits at a time, to four base-32 digits each.
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * k}, 5))::BIGINT >> {s}) & 31)::INT, 1)" for k in range(8) for s in (15, 10, 5, 0)
