@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, packing, pseudonyms, rules, simhash, toxicity, warc
+from . import ann, html, linededup, packing, pseudonyms, rules, simhash, toxicity, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_warc, op4_simhash, op5_html, op7_toxicity, op8_ann, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_warc, op4_simhash, op5_html, op6_line_dedup, op7_toxicity, op8_ann, op9_packing, op10_quality_rules)}
 #: The digest's hex, five digits at a time, to four base-32 digits each.
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * k}, 5))::BIGINT >> {s}) & 31)::INT, 1)" for k in range(8) for s in (15, 10, 5, 0)
