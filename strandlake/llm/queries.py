@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, linededup, packing, pseudonyms, rules, simhash, toxicity, warc
+from . import ann, html, linededup, mixing, packing, pseudonyms, rules, simhash, toxicity, warc
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = mixing.rates(docs, table(spark, sf_dir, "labels"))
+    p = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), *p, "rate", "copies")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
 
@@ -47,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_warc, op4_simhash, op5_html, op6_line_dedup, op7_toxicity, op8_ann, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_warc, op4_simhash, op5_html, op6_line_dedup, op7_toxicity, op8_ann, op9_packing, op10_quality_rules)}
 #: The digest's hex, five digits at a time, to four base-32 digits each.
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * k}, 5))::BIGINT >> {s}) & 31)::INT, 1)" for k in range(8) for s in (15, 10, 5, 0)
