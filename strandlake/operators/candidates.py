@@ -15,7 +15,9 @@ from .consensus import best_candidate, hill_climb, plurality, score_candidates
 from .distance import center_distances, neighbours
 from .profile import alphabets, chars
 
-L = F.char_length("candidate")
+
+def _length() -> Column:
+    return F.char_length("candidate")
 
 
 def refine_greedy(seqs: DataFrame, centers: DataFrame, rounds: int = 200) -> DataFrame:
@@ -41,8 +43,8 @@ def _improve(seqs: DataFrame, centers: DataFrame, moves, rounds: int) -> DataFra
 
 def _pairs_of_places(df: DataFrame) -> DataFrame:
     """Each candidate with all places i < j."""
-    i = df.withColumn("i", F.explode(F.when(L > 1, F.sequence(F.lit(0), L - 2)).otherwise(F.array().cast("array<int>"))))
-    return i.withColumn("j", F.explode(F.sequence(F.col("i") + 1, L - 1))).withColumn("cand_no", F.col("i") * L + F.col("j"))
+    i = df.withColumn("i", F.explode(F.when(_length() > 1, F.sequence(F.lit(0), _length() - 2)).otherwise(F.array().cast("array<int>"))))
+    return i.withColumn("j", F.explode(F.sequence(F.col("i") + 1, _length() - 1))).withColumn("cand_no", F.col("i") * _length() + F.col("j"))
 
 
 def swaps(df: DataFrame) -> DataFrame:
@@ -55,19 +57,19 @@ def swaps(df: DataFrame) -> DataFrame:
 def reversals(df: DataFrame) -> DataFrame:
     """All reversals of a stretch from i to j."""
     c = F.col("candidate")
-    new = F.concat(F.substring(c, F.lit(1), F.col("i")), F.reverse(F.substring(c, F.col("i") + 1, F.col("j") - F.col("i") + 1)), F.substring(c, F.col("j") + 2, L))
+    new = F.concat(F.substring(c, F.lit(1), F.col("i")), F.reverse(F.substring(c, F.col("i") + 1, F.col("j") - F.col("i") + 1)), F.substring(c, F.col("j") + 2, _length()))
     return _pairs_of_places(df).select("dataset_id", "cand_no", new.alias("candidate"))
 
 
 def insertions(df: DataFrame, longest: int = 3) -> DataFrame:
     """All moves of a stretch of 1..longest symbols to another place."""
     none = F.array().cast("array<int>")
-    rows = df.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(longest)))).where(F.col("n") < L)
-    rows = rows.withColumn("i", F.explode(F.when(L >= F.col("n"), F.sequence(F.lit(0), L - F.col("n"))).otherwise(none)))
-    rest = F.concat(F.substring("candidate", F.lit(1), F.col("i")), F.substring("candidate", F.col("i") + F.col("n") + 1, L))
-    rows = rows.withColumn("rest", rest).withColumn("t", F.explode(F.sequence(F.lit(0), L - F.col("n")))).where("t <> i")
-    new = F.concat(F.substring("rest", F.lit(1), F.col("t")), F.substring("candidate", F.col("i") + 1, F.col("n")), F.substring("rest", F.col("t") + 1, L))
-    return rows.select("dataset_id", ((F.col("n") * L + F.col("i")) * (L + 1) + F.col("t")).alias("cand_no"), new.alias("candidate"))
+    rows = df.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(longest)))).where(F.col("n") < _length())
+    rows = rows.withColumn("i", F.explode(F.when(_length() >= F.col("n"), F.sequence(F.lit(0), _length() - F.col("n"))).otherwise(none)))
+    rest = F.concat(F.substring("candidate", F.lit(1), F.col("i")), F.substring("candidate", F.col("i") + F.col("n") + 1, _length()))
+    rows = rows.withColumn("rest", rest).withColumn("t", F.explode(F.sequence(F.lit(0), _length() - F.col("n")))).where("t <> i")
+    new = F.concat(F.substring("rest", F.lit(1), F.col("t")), F.substring("candidate", F.col("i") + 1, F.col("n")), F.substring("rest", F.col("t") + 1, _length()))
+    return rows.select("dataset_id", ((F.col("n") * _length() + F.col("i")) * (_length() + 1) + F.col("t")).alias("cand_no"), new.alias("candidate"))
 
 
 def refine_swap(seqs: DataFrame, centers: DataFrame, rounds: int = 1) -> DataFrame:
@@ -100,29 +102,29 @@ def mutate_multi(cands: DataFrame, alphabet: str, n: int = 2, seed: int = 0) ->
         return replace_at(s, pos, other_symbol(old, alphabet, seed, F.lit("s"), F.col("dataset_id"), F.col("cand_id"), k))
 
     made = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.col("candidate"), step) if n > 0 else F.col("candidate")
-    return cands.withColumn("candidate", F.when(L > 0, made).otherwise(F.col("candidate")))
+    return cands.withColumn("candidate", F.when(_length() > 0, made).otherwise(F.col("candidate")))
 
 
 def _stretch(seed: int) -> tuple[Column, Column]:
     """Two hashed places i <= j."""
-    a, b = (pick(L, seed, F.lit(k), F.col("dataset_id"), F.col("cand_id")) for k in "ab")
+    a, b = (pick(_length(), seed, F.lit(k), F.col("dataset_id"), F.col("cand_id")) for k in "ab")
     return F.least(a, b), F.greatest(a, b)
 
 
 def mutate_inversion(cands: DataFrame, seed: int = 0) -> DataFrame:
     """A hashed stretch reversed."""
     c, (i, j) = F.col("candidate"), _stretch(seed)
-    new = F.concat(F.substring(c, F.lit(1), i), F.reverse(F.substring(c, i + 1, j - i + 1)), F.substring(c, j + 2, L))
-    return cands.withColumn("candidate", F.when(L > 1, new).otherwise(c))
+    new = F.concat(F.substring(c, F.lit(1), i), F.reverse(F.substring(c, i + 1, j - i + 1)), F.substring(c, j + 2, _length()))
+    return cands.withColumn("candidate", F.when(_length() > 1, new).otherwise(c))
 
 
 def mutate_transposition(cands: DataFrame, seed: int = 0) -> DataFrame:
     """A hashed stretch taken out and put in again at a hashed place of the rest."""
     c, (i, j) = F.col("candidate"), _stretch(seed)
-    rest = F.concat(F.substring(c, F.lit(1), i), F.substring(c, j + 2, L))
+    rest = F.concat(F.substring(c, F.lit(1), i), F.substring(c, j + 2, _length()))
     at = pick(F.char_length(rest) + 1, seed, F.lit("t"), F.col("dataset_id"), F.col("cand_id"))
-    new = F.concat(F.substring(rest, F.lit(1), at), F.substring(c, i + 1, j - i + 1), F.substring(rest, at + 1, L))
-    return cands.withColumn("candidate", F.when(L > 1, new).otherwise(c))
+    new = F.concat(F.substring(rest, F.lit(1), at), F.substring(c, i + 1, j - i + 1), F.substring(rest, at + 1, _length()))
+    return cands.withColumn("candidate", F.when(_length() > 1, new).otherwise(c))
 
 
 def couples(cands: DataFrame) -> DataFrame:
