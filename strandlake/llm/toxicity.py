@@ -141,7 +141,8 @@ def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], rows_a_labe
     for key, n in sizes.items():
         chance = F.when(F.expr(" and ".join(f"{c} = {v}" for c, v in zip(columns, key))), min(1.0, rows_a_label / n)).otherwise(chance)
     picked = wanted.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < chance * 1_000_000)
-    found = docs.select("id", "text").join(F.broadcast(picked) if sum(sizes.values()) <= 4 * rows_a_label else picked, "id")
+    most = 2 * rows_a_label * max(1, len(sizes))  # far above what the chances pick; it makes the bound of the broadcast a fact
+    found = docs.select("id", "text").join(F.broadcast(picked.limit(most)), "id")
     return stage(found.where("text is not null").dropDuplicates(["text"]), "labelled")
 
 
