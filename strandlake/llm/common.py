@@ -1,70 +1,7 @@
-"""Helpers the training-data operators share: working tables, folders, row sources."""
+"""What the training-data operators take from the library."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from functools import reduce
+from ..tables import columns_apart, drop_path, is_empty, new_path, shared_dir, stage, table, union_all, unstage
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (single-machine tests) a temporary folder is made,
-    recorded in the session's runtime conf and removed when the process ends.
-    """
-    key = "strandlake.llm.shared"
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(key, None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="strandlake-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set(key, found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread, never a recomputation.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Delete the files of working tables that no later plan reads."""
-    for df in frames:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            drop_path(df.sparkSession, folder)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def is_empty(df: DataFrame) -> bool:
-    return df.limit(1).count() == 0
-
-
-def columns_apart(df: DataFrame, *wanted: str) -> DataFrame:
-    """Just the wanted columns, so that a caller's extra columns never clash with ours."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])
+__all__ = ["columns_apart", "drop_path", "is_empty", "new_path", "shared_dir", "stage", "table", "union_all", "unstage"]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_apart, is_empty, stage, union_all
-from .components import connected_components
+from ..operators.components import connected_components
 
 SEED = 42
 WIDTH = 3
