@@ -24,9 +24,10 @@ def read_fasta(spark: SparkSession, path: str, glob: str = "*.{fasta,fa,txt}", s
     # only a file's very first chunk can still have its >, or no header at all
     first = (F.col("start") == 0) & F.col("value").startswith(">")
     bare = F.when(first, F.substring(text, F.lit(2), F.char_length(text))).otherwise(text)
-    headed = first | (F.col("no") > 0) if not stream else F.lit(True)
+    block = Window.partitionBy("file", "start")
+    headed = first | (F.col("start") > 0) | (F.col("k") > 1) if not stream else F.lit(True)
     if not stream:
-        chunk = chunk.withColumn("no", F.row_number().over(Window.partitionBy("file").orderBy("start", "at")) - 1)
+        chunk = chunk.withColumn("k", F.row_number().over(block.orderBy("at")))
     lines = F.split(bare, "\n")
     body = F.when(headed, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1)))).otherwise(lines)
     seq = F.array_join(F.transform(F.when(F.size(lines) > 1, body).otherwise(F.when(headed, F.array().cast("array<string>")).otherwise(lines)), lambda x: F.trim(x)), "")
@@ -34,8 +35,12 @@ def read_fasta(spark: SparkSession, path: str, glob: str = "*.{fasta,fa,txt}", s
     stem = F.concat(F.lit("file_"), F.regexp_extract("name", r"^(.*?)(?:\.[^.]*)?$", 1))
     if stream:
         return rows.select(stem.alias("dataset_id"), "header", "sequence")
-    index = F.row_number().over(Window.partitionBy("file").orderBy("no")) - 1
-    return rows.select(stem.alias("dataset_id"), index.alias("seq_index"), "header", "sequence")
+    # numbered inside each split of a file, and shifted by the rows of the splits before it
+    sizes = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = rows.withColumn("own", F.row_number().over(block.orderBy("k")) - 1).join(bases, ["file", "start"])
+    return own.select(stem.alias("dataset_id"), (F.col("own") + F.col("base")).cast("int").alias("seq_index"), "header", "sequence")
 
 
 def load(spark: SparkSession, name: str, base: str) -> DataFrame:
