@@ -3,10 +3,11 @@
 Lines of at least ``LEAST_CHARS`` characters have signatures over their distinct shingles of
 ``SHINGLE`` characters: ``BANDS`` bands of ``ROWS`` minima, which find a pair at Jaccard 0.8
 with probability 0.995 and one at 0.9 almost surely. Lines that share a band are candidates.
-Each is compared with its band's pivot (the smallest line hash), not with all others; while a
-band's lines are in several components the pairs across these are compared too, those of small
-bands at once, those of large ones pivot by pivot. So no link inside a band is lost, and no
-band of copies is multiplied out.
+Each is compared with its band's pivot (the smallest line hash), not with all others. Where
+that leaves a band's lines in several components, the pairs across these are compared as well,
+and a pair is skipped once its components have met. So no link inside a band is lost, and the
+lines of a family are not multiplied out. Such bands come to tasks in parts of ``PART`` lines,
+two at a time, so none is gathered whole.
 
 Only lines that are candidates move with their text. Which lines these are reaches the scan as
 a Bloom filter of fixed size, and an exact join follows.
@@ -23,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_apart, is_empty, stage, unstage
-from .components import connected_components
+from ..operators.components import connected_components
 
 SHINGLE = 7
 LEAST_CHARS = 24
 JACCARD = 0.8
 BANDS, ROWS = 10, 4
-#: Bands of up to this many lines are compared across components at once.
-SMALL_BAND = 64
+PART = 512
+#: 64-bit words that the bit sets of two parts may take (128 MB).
+BIT_WORDS = 1 << 24
 #: Bits of the Bloom filter that a scan gets: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
 
@@ -76,8 +78,7 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 
 def jaccard(a: str, b: str) -> float:
-    x = {a[i : i + SHINGLE] for i in range(len(a) - SHINGLE + 1)}
-    y = {b[i : i + SHINGLE] for i in range(len(b) - SHINGLE + 1)}
+    x, y = shingles(a), shingles(b)
     return (n := len(x & y)) / (len(x) + len(y) - n) if x or y else float(a == b)
 
 
@@ -110,7 +111,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                         fresh.append(line)
             if len(seen) > 1_000_000:
                 seen.clear()
-            keys = signatures(fresh) if fresh else None
+            keys = [k for part in _portions(fresh) for k in signatures(part)]
             bands = pa.array([None if w < 0 else keys[w] for w in where], kinds[3])
             cols = [b.column(0).take(pa.array(ids, pa.int64())), *[pa.array(c, k) for c, k in zip((numbers, hashes, checks), kinds)], bands]
             yield pa.RecordBatch.from_arrays(cols, ["id", "line_no", "h", "check", "bands"])
@@ -143,7 +144,7 @@ def _filter_of(values: DataFrame) -> np.ndarray:
     schema = "at long, part binary"
     merged = values.coalesce(16).mapInArrow(run, schema).repartition(16, "at").mapInArrow(merge, schema)
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in merged.toLocalIterator():  # FILTER_BITS bits in all
+    for r in merged.collect():  # FILTER_BITS bits in all
         part = np.frombuffer(bytes(r["part"]), np.uint8)
         out[r["at"] : r["at"] + len(part)] |= part
     return out
@@ -195,6 +196,59 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = JACCARD) -> Data
     return pairs.join(one, "src").join(two, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
+def _portions(lines: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of lines of about so many characters, as the arrays of a signature are many times its text."""
+    part, n = [], 0
+    for line in lines:
+        part.append(line)
+        n += len(line)
+        if n >= chars:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def shingles(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+
+
+def links_across(lines: list[tuple[int, int, int, str]], mixed: bool, least: float = JACCARD) -> list[tuple[int, int]]:
+    """``(h, root, part, text)`` of one band -> links between lines whose roots differ.
+
+    ``mixed``: only pairs of different parts. A link joins its lines' components at once.
+    """
+    lines = sorted(lines)
+    numbers: dict[str, int] = {}
+    own = [np.array(sorted({numbers.setdefault(x, len(numbers)) for x in shingles(text)}), np.int64) for _, _, _, text in lines]
+    sizes = np.array([len(x) for x in own])
+    label = np.array([x[1] for x in lines], np.int64)
+    part = np.array([x[2] for x in lines], np.int64)
+    width = -(-len(numbers) // 64)
+    bits = None
+    if len(lines) * width <= BIT_WORDS:  # sets of shingles as bits, unless very long lines make them many
+        bits = np.zeros((len(lines), width), np.uint64)
+        for row, at in zip(bits, own):
+            np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    out = []
+    for a in range(len(lines) - 1):
+        may = (label[a + 1 :] != label[a]) & (sizes[a + 1 :] >= least * sizes[a]) & (least * sizes[a + 1 :] <= sizes[a])
+        if mixed:
+            may &= part[a + 1 :] != part[a]
+        at = np.flatnonzero(may) + a + 1
+        if not len(at):
+            continue
+        if bits is not None:
+            both = np.bitwise_count(bits[at] & bits[a]).sum(axis=1, dtype=np.int64)
+        else:
+            both = np.array([len(np.intersect1d(own[a], own[b], assume_unique=True)) for b in at])
+        for b in at[both >= least * (sizes[a] + sizes[at] - both)]:
+            if label[a] != label[b]:
+                out.append((lines[a][0], lines[b][0]))
+                label[label == label[b]] = label[a]
+    return out
+
+
 def line_components(docs: DataFrame, lines: DataFrame, least: float = JACCARD) -> DataFrame | None:
     """``(node, root)`` of the line hashes that have a similar line; None if no lines share a band."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -202,35 +256,39 @@ def line_components(docs: DataFrame, lines: DataFrame, least: float = JACCARD) -
     shared = bands.groupBy("key").agg(F.min("h").alias("pivot"), F.max("h").alias("last")).where("pivot < last").select("key", "pivot")
     # both sides read the one exchange by key; equal lines of several tasks are one member
     members = stage(bands.join(shared, "key").distinct(), "members")
-    pairs = stage(members.where("h <> pivot").select(F.col("pivot").alias("src"), F.col("h").alias("dst")).distinct(), "pairs")
-    if is_empty(pairs):
+    pairs = members.where("h <> pivot").select(F.col("pivot").alias("src"), F.col("h").alias("dst")).distinct()
+    if is_empty(members):
         return None
     texts = stage(texts_of(docs, members.select("h").distinct()), "texts")
     links = stage(verified(pairs, texts, least), "links")
-    tried, small_done = pairs, False
-    while True:
-        roots = stage(connected_components(links), "components")
-        placed = members.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-        apart = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2 and n > 2").select("key", "n")
-        open_ = stage(placed.join(apart, "key"), "open")
-        small = open_.where(f"n <= {SMALL_BAND}").select("key", "h", "root")
-        large = open_.where(f"n > {SMALL_BAND}").select("key", "h", "root", "pivot")
-        nxt = large.where("h > pivot").groupBy("key").agg(F.min(F.struct("h", "root")).alias("p"))
-        against = large.join(nxt, "key").where("h > p.h and root <> p.root").select(F.col("p.h").alias("src"), F.col("h").alias("dst"))
-        if not small_done:
-            other = small.select("key", F.col("h").alias("g"), F.col("root").alias("s"))
-            across = small.join(other, "key").where("h < g and root <> s").select(F.col("h").alias("src"), F.col("g").alias("dst"))
-            against, small_done = against.unionByName(across), True
-        new = stage(against.distinct().join(tried, ["src", "dst"], "left_anti"), "pairs")
-        more_pivots = not is_empty(nxt)
-        if is_empty(new) and not more_pivots:
-            return roots
-        if not is_empty(new):
-            links = stage(links.unionByName(verified(new, texts, least)), "links")
-            tried = stage(tried.unionByName(new), "tried")
-        if more_pivots:
-            moved = nxt.select("key", F.col("p.h").alias("next"))
-            members = stage(members.join(moved, "key", "left").select("key", "h", F.coalesce("next", "pivot").alias("pivot")), "members")
+    roots = stage(connected_components(links), "components")
+    more = stage(_open_links(members, roots, texts, least), "links")
+    # the components so far are stars about their roots
+    return connected_components(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).unionByName(more))
+
+
+def _open_links(members: DataFrame, roots: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links inside bands between components that the pivots have not joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for mixed, rows in zip(b.column(0).to_pylist(), b.column(1)):
+                found += links_across([(r["h"], r["root"], r["part"], r["text"]) for r in rows.as_py()], mixed, least)
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
+
+    placed = members.join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+    # two lines have been compared as pivot and member
+    apart = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2 and n > 2")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    part = F.pmod(F.xxhash64("h", F.lit(3)), F.col("parts")).cast("int")
+    rows = placed.join(apart.select("key", parts.alias("parts")), "key").withColumn("part", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", "h", "root", "part", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j")).join(texts, "h")
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * members.sparkSession.sparkContext.defaultParallelism)
+    # by number, as few bytes can be much work: a partition's size says little here
+    groups = rows.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "root", "part", "text")).alias("rows"))
+    return groups.select((F.col("i") != F.col("j")).alias("mixed"), "rows").mapInArrow(run, "src long, dst long").distinct()
 
 
 def dropped_lines(docs: DataFrame, least: float = JACCARD) -> DataFrame:
