@@ -83,7 +83,7 @@ def jaccard(a: str, b: str) -> float:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``docs(id, text)`` -> a row for each line that counts: id, line_no, h, check, bands.
+    """``docs(row, id, text)`` -> a row for each line that counts: row, id, line_no, h, check, bands.
 
     Bands are null where the same task has given them for an equal line already.
     """
@@ -93,7 +93,7 @@ def line_table(docs: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             ids, numbers, hashes, checks, where, fresh = [], [], [], [], [], []
-            for row, text in enumerate(b.column(1).to_pylist()):
+            for row, text in enumerate(b.column(2).to_pylist()):
                 for no, line in enumerate((text or "").split("\n")):
                     if len(line) < LEAST_CHARS:
                         continue
@@ -113,10 +113,10 @@ def line_table(docs: DataFrame) -> DataFrame:
                 seen.clear()
             keys = [k for part in _portions(fresh) for k in signatures(part)]
             bands = pa.array([None if w < 0 else keys[w] for w in where], kinds[3])
-            cols = [b.column(0).take(pa.array(ids, pa.int64())), *[pa.array(c, k) for c, k in zip((numbers, hashes, checks), kinds)], bands]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "line_no", "h", "check", "bands"])
+            cols = [*[b.column(k).take(pa.array(ids, pa.int64())) for k in (0, 1)], *[pa.array(c, k) for c, k in zip((numbers, hashes, checks), kinds)], bands]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "id", "line_no", "h", "check", "bands"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, line_no int, h long, check long, bands array<long>")
+    return docs.select("row", "id", "text").mapInArrow(run, "row long, id long, line_no int, h long, check long, bands array<long>")
 
 
 def _filter_of(values: DataFrame) -> np.ndarray:
@@ -292,16 +292,16 @@ def _open_links(members: DataFrame, roots: DataFrame, texts: DataFrame, least: f
 
 
 def dropped_lines(docs: DataFrame, least: float = JACCARD) -> DataFrame:
-    """``docs(id, text)`` -> ``(id, drop array<int>)``: the line numbers that go, of documents that lose any.
+    """``docs(row, id, text)`` -> ``(row, drop array<int>)``: the line numbers that go, of rows that lose any.
 
-    Of each component (equal lines are one) the first line by (id, line number) stays; a null id
-    comes last. Rows that repeat an id are one document listed again and lose the same lines.
+    Of each component (equal lines are one) the first line by (id, row, line number) stays; a null
+    id comes last. ``row`` tells rows apart, so those with a null or repeated id are documents each.
     """
     whole = stage(line_table(docs), "lines")
     roots = line_components(docs, whole, least)
     lines = stage(whole.drop("bands"), "places")
     unstage(whole)
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "line_no")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "line_no")
     # a hash that stands for two different lines is told by the second hash: only equals of the smaller count
     firsts = lines.groupBy("h").agg(F.min("check").alias("check"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     if roots is None:
@@ -312,7 +312,7 @@ def dropped_lines(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     keep = named.groupBy("root").agg(F.min("first").alias("keep"))
     of_line = named.join(keep, "root").select("h", "check", "keep")
     gone = lines.join(of_line, ["h", "check"]).where(~place.eqNullSafe(F.col("keep")))
-    return gone.groupBy("id").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
+    return gone.groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = JACCARD) -> DataFrame:
@@ -320,10 +320,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are what stands between line feeds. Those under ``LEAST_CHARS`` characters always stay.
     A null text stays null with 0 lines; a document may lose all its lines and is kept, empty.
+    Rows are numbered as they are written once with the input, since their ids may be null or repeat.
     """
-    rows = columns_apart(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long"), F.col("text").cast("string"))
-    drops = dropped_lines(rows, least).select(F.col("id").alias("__id"), F.col("drop").alias("__drop"))
-    joined = docs.join(drops, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")), "left")
+    void = [c for c, kind in docs.dtypes if kind == "void"]  # Parquet has no such columns
+    held = stage(columns_apart(docs, *[c for c in docs.columns if c not in void]).withColumn("__row", F.monotonically_increasing_id()), "input")
+    rows = columns_apart(held, "__row", id_col, text_col).toDF("row", "id", "text").select("row", F.col("id").cast("long"), F.col("text").cast("string"))
+    drops = dropped_lines(rows, least).select(F.col("row").alias("__row"), F.col("drop").alias("__drop"))
+    joined = held.join(drops, "__row", "left").withColumns({c: F.lit(None) for c in void})
     lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drop", i)), "\n")
     out = [(F.when(F.col("__drop").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]

@@ -51,15 +51,20 @@ def fingerprint(text: bytes | None) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)`` for every row: fp is the fingerprint as a signed long; null and wordless texts give 0."""
+    return _fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")))
+
+
+def _fingerprints(rows: DataFrame) -> DataFrame:
+    """``rows(id long, text string, more longs)`` -> ``(id, more, fp)``."""
+    more = rows.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.large_binary() if pa.types.is_large_string(b.column(1).type) else pa.binary())
             fps = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fps)], ["id", *more, "fp"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("id", *more, "fp")))
 
 
 def _blocks(mask: int, parts: int) -> list[int]:
@@ -172,28 +177,39 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     equal ids or a null id are rows of their own; a component of null ids only has a null id.
     """
     fps = stage(fingerprints(docs, id_col, text_col), "fps")
-    classes = stage(fps.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    if is_empty(classes):
-        return fps.withColumn("component_id", F.col("id"))
-    roots = connected_components(radius_links(classes.select("fp"), radius, shard_limit)).withColumnRenamed("node", "fp")
-    named = stage(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    named = _roots(fps, radius, shard_limit)
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = named.select("fp", "root").join(names, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("id", "fp", "component_id")
 
 
+def _roots(fps: DataFrame, radius: int = RADIUS, shard_limit: int = 1024) -> DataFrame:
+    """``fps(id, fp)`` -> ``(fp, first, root)``: each fingerprint's smallest id and its component."""
+    classes = stage(fps.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    if is_empty(classes):
+        return classes.withColumn("root", F.col("fp"))
+    roots = connected_components(radius_links(classes.select("fp"), radius, shard_limit)).withColumnRenamed("node", "fp")
+    return stage(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+
+
 def fingerprint_hex(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of each component, in the input's columns.
+    """One row of each component, in the input's columns: the one with the smallest id, null ids last.
 
-    Rows that repeat that id are repeats of one document: one of them stays. A null id is no
-    document's name; of such rows one stays if its component has no id at all.
+    Ids may be null or repeat, so a row is told by its id and two hashes of its text. Rows that agree
+    in these are in one component, and one of them stays; of different texts under the smallest id it
+    is the one with the smallest hashes.
     """
     cols = docs.columns
-    found = simhash_components(columns_apart(docs, id_col, text_col), id_col, text_col)
-    keep = found.where("id <=> component_id").select(F.col("id").alias("__id")).distinct()
-    joined = docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
-    return joined.dropDuplicates([id_col]).select(*[F.col(f"`{c}`") for c in cols])
+    text = F.col(f"`{text_col}`").cast("string")
+    key = {"__id": F.col(f"`{id_col}`").cast("long"), "__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(7), text)}
+    rows = docs.select(key["__id"].alias("id"), text.alias("text"), key["__h1"].alias("h1"), key["__h2"].alias("h2"))
+    fps = stage(_fingerprints(rows), "fps")
+    found = fps.join(_roots(fps.select("id", "fp")).select("fp", "root"), "fp")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h1", "h2")).alias("k")).select("k.id", "k.h1", "k.h2")
+    kept = docs.withColumns(key)
+    same = kept["__id"].eqNullSafe(first["id"]) & (kept["__h1"] == first["h1"]) & (kept["__h2"] == first["h2"])
+    return kept.join(first, same, "left_semi").dropDuplicates(list(key)).select(*[F.col(f"`{c}`") for c in cols])

@@ -78,6 +78,13 @@ def test_simhash_of_odd_rows(odd, spark):
     assert simhash.simhash_components(odd.where("false")).count() == 0
 
 
+def test_near_copies_under_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{w}{k}" for k in range(30)) for w in ("red", "blue", "green", "grey", "black")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (4, texts[2]), (4, texts[3]), (4, texts[3]), (None, texts[3]), (9, texts[4]), (None, texts[4])]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=lambda r: texts.index(r[1])) == list(zip((None, None, 4, 4, 9), texts))
+
+
 def test_bk_tree_links_connect_like_all_pairs():
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(0, 1 << 63, 20)]
@@ -120,6 +127,16 @@ def test_line_dedup_of_odd_rows(odd, spark):
     assert linededup.dedup_lines(odd.where("false")).count() == 0
 
 
+def test_line_dedup_under_null_and_repeated_ids(spark):
+    one, two, three, four = (f"{w} is a line that is long enough to count." for w in ("First", "Another one, the second,", "What comes as the third", "Last of all, and fourth,"))
+    rows = [(1, "a", one), (None, "b", f"{one}\n{two}"), (None, "c", f"{three}\n{one}"), (5, "d", f"{one}\n{four}"), (5, "e", "Only here, and in no other document, is it.\nx"), (None, "f", "Stays too, as nothing of the kind recurs.")]
+    copies = [(7, "g", "Word for word the same text in both rows."), (None, "h", "Thrice the same under no id, word for word.")]
+    out = linededup.dedup_lines(spark.createDataFrame(rows + copies * 2, "doc_id long, name string, text string"))
+    got = [(r["name"], r["text"]) for r in out.collect()]
+    want = [("a", one), ("b", two), ("c", three), ("d", four), ("e", rows[4][2]), ("f", rows[5][2])]
+    assert sorted(got) == sorted(want + [x for _, n, t in copies for x in ((n, t), (n, ""))])
+
+
 def test_banding_recall():
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
