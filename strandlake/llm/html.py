@@ -1,10 +1,11 @@
 """Main text of web pages: what a site repeats, and what is no article by its markup, goes.
 
-Template removal: each element subtree outside the article proper is hashed bottom-up, Spark
-counts for every host on how many different pages a hash occurs, and subtrees on many pages of
-their host are deleted before the text is read. Pages whose bodies are equal count as one, so
-copies of a page never make its own paragraphs a template; and what stands inside an element
-marked as the article or the main part is never taken for a template.
+Template removal: each element subtree is hashed bottom-up, Spark counts for every host on how
+many different pages a hash occurs, and subtrees on many pages of their host are deleted before
+the text is read. Pages whose bodies are equal count as one, so copies of a page never make its
+own paragraphs a template. Inside an element marked as the article or the main part it is the
+different articles that count, and a subtree goes only if what stands beside it differs as
+well: the paragraphs of an article and of its edited copies stay.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_apart, stage
+from .common import columns_apart, is_empty, stage
 
-#: A subtree is a template from this many different pages of its host on, and this share of them.
+#: A subtree is a template from this many different pages (inside articles: different articles) of its host on.
 LEAST_PAGES = 5
-LEAST_SHARE = 0.05
+#: Inside articles it must have so many different surroundings for each article that holds it, whatever the host's size.
+UNLIKE = 0.25
+#: Keys that a template's pages are dealt to.
+SALTS = 16
 
 #: Elements by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -143,37 +147,70 @@ def _close(stack: list[Node], tag: str) -> None:
             return
 
 
-def candidates(root: Node) -> dict[int, int]:
-    """id(element) -> 64-bit hash of its tag, texts and subtrees, for what may be a template.
+def candidates(root: Node) -> dict[int, tuple[int, int | None, int | None]]:
+    """id(element) -> (hash of its tag, texts and subtrees, article's hash, surroundings), for what may be a template.
 
-    These are the block elements with something in them that neither are in an article proper
-    nor hold one. By an explicit stack, as pages can nest deeply.
+    These are the block elements with something in them that hold no article proper and are none.
+    The article is the outermost one around, or else the main part, or None; its surroundings are the
+    smallest hash of a text there that the element does not hold. By an explicit stack, as pages can
+    nest deeply.
     """
     holds: set[int] = set()
-    order, todo = [], [(root, ())]
+    order: list[tuple[Node, Node | None, int]] = []
+    todo: list = [(root, (), None)]
     while todo:
-        node, above = todo.pop()
+        node, above, inside = todo.pop()
+        order.append((node, inside, len(order)))
         if node.tag in CONTENT and not node.off:
             holds.update(above)
-            continue
-        order.append(node)
+            if inside is None or inside.tag == "main" and node.tag == "article":
+                inside = node
         inner = (*above, id(node))
-        todo += [(p, inner) for p in node.parts if isinstance(p, Node)]
+        todo += [(p, inner, inside) for p in reversed(node.parts) if isinstance(p, Node)]
     hashes: dict[int, int] = {}
-    out: dict[int, int] = {}
-    for node in reversed(order):  # children come before their parents
-        said = [str(hashes[id(p)]) if isinstance(p, Node) else p.strip() for p in node.parts if not isinstance(p, Node) or id(p) in hashes]
+    ends: dict[int, int] = {}
+    leaf: list[int | None] = [None] * len(order)
+    said_something: set[int] = set()
+    for node, _, at in reversed(order):  # children come before their parents
+        said = [str(hashes[id(p)]) if isinstance(p, Node) else p.strip() for p in node.parts]
         said = [x for x in said if x]
-        if id(node) in holds:
-            continue
         digest = blake2b("\x1f".join([node.tag, *said]).encode("utf-8", "surrogatepass"), digest_size=8).digest()
         hashes[id(node)] = int.from_bytes(digest, "big", signed=True)
-        if said and node.tag in BLOCKS and node.tag not in ("html", "body"):
-            out[id(node)] = hashes[id(node)]
+        ends[id(node)] = max((ends[id(p)] for p in node.parts if isinstance(p, Node)), default=at + 1)
+        if any(not isinstance(p, Node) and p.strip() for p in node.parts):
+            leaf[at] = hashes[id(node)]
+        if said:
+            said_something.add(id(node))
+    begins = {id(node): at for node, _, at in order}
+    sides: dict[int, tuple[list, list]] = {}
+    out: dict[int, tuple[int, int | None, int | None]] = {}
+    for node, inside, at in order:
+        if id(node) in holds or id(node) not in said_something or node.tag not in BLOCKS or node.tag in ("html", "body"):
+            continue
+        if inside is None:
+            if node.tag not in CONTENT or node.off:
+                out[id(node)] = hashes[id(node)], None, None
+            continue
+        if inside.tag == "main" and node.tag == "article" and not node.off:
+            continue
+        a, b = begins[id(inside)], ends[id(inside)]
+        if id(inside) not in sides:
+            sides[id(inside)] = _least(leaf[a:b]), _least(leaf[a:b][::-1])
+        before, after = sides[id(inside)]
+        beside = [x for x in (before[at - a], after[b - ends[id(node)]]) if x is not None]
+        out[id(node)] = hashes[id(node)], hashes[id(inside)], min(beside, default=0)
     return out
 
 
-def blocks_of(root: Node, trees: dict[int, int]) -> list[tuple[str, list[int]]]:
+def _least(values: list[int | None]) -> list[int | None]:
+    """The least of the first 0, 1, 2, ... values."""
+    out: list[int | None] = [None]
+    for x in values:
+        out.append(out[-1] if x is None or out[-1] is not None and out[-1] < x else x)
+    return out
+
+
+def blocks_of(root: Node, trees: dict[int, tuple]) -> list[tuple[str, list[int]]]:
     """The blocks that markup leaves, each with single spaces, and the hashes of the ``trees`` around it."""
     content = _content_roots(root)
     blocks: list[tuple[str, list[int]]] = []
@@ -204,7 +241,7 @@ def blocks_of(root: Node, trees: dict[int, int]) -> list[tuple[str, list[int]]]:
                 flush()
                 tree = trees.get(id(part))
                 if tree is not None:
-                    around.append(tree)
+                    around.append(tree[0])
                 todo.append((tree is not None,))
                 todo += reversed(part.parts)
             else:
@@ -246,62 +283,84 @@ def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def host_templates(seen: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """``seen(host, body, found)`` -> ``(host, templates array<long>)``.
-
-    A host's list is bounded: a page has so many elements, and each template is on at least
-    ``least_share`` of the host's different pages.
-    """
-    # equal pages have equal subtrees: one row for each, and counts are combined before they move
-    bodies = seen.groupBy("host", "body").agg(F.first("found").alias("found"))
-    trees = bodies.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "found")).alias("tree"))
-    counts = stage(trees.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).where(f"tree is null or n >= {least_pages}"), "trees")
-    sizes = counts.where("tree is null").select("host", F.col("n").alias("size"))
-    often = counts.where("tree is not null").join(sizes, "host").where(F.col("n") >= least_share * F.col("size"))
-    return often.groupBy("host").agg(F.collect_list("tree").alias("templates"))
+def host_templates(seen: DataFrame, least_pages: int = LEAST_PAGES, unlike: float = UNLIKE) -> DataFrame:
+    """``seen(host, body, found)`` -> ``(host, tree)``, a row for each template of a host."""
+    one = seen.select("host", "body", F.explode("found").alias("x"))
+    # equal pages have equal subtrees, and count once as equal articles do
+    once = one.groupBy("host", F.col("x.tree").alias("tree"), F.coalesce("x.article", "body").alias("page"), F.col("x.article").isNull().alias("free"))
+    places = once.agg(F.min(F.coalesce("x.beside", "body")).alias("beside"))
+    # counts are combined before they move
+    alike = places.groupBy("host", "tree", "free", "beside").agg(F.count(F.lit(1)).alias("n"))
+    counts = alike.groupBy("host", "tree").agg(
+        F.sum(F.when(F.col("free"), F.col("n")).otherwise(0)).alias("free"), F.sum(F.when(F.col("free"), 0).otherwise(F.col("n"))).alias("articles"), F.sum(F.when(F.col("free"), 0).otherwise(1)).alias("unlike"),
+    )
+    inside = F.when(F.col("unlike") >= unlike * F.col("articles"), F.col("unlike")).otherwise(0)
+    return counts.where(F.col("free") + inside >= least_pages).select("host", "tree")
 
 
-PARSED = "page_id long, url string, host string, body long, found array<long>, text string, blocks array<struct<text string, trees array<long>>>"
+def _body(html: str) -> int:
+    return int.from_bytes(blake2b(html.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html, host)`` -> ``PARSED``: text where no block can be a template, else blocks."""
-    block = pa.struct([("text", pa.string()), ("trees", pa.list_(pa.int64()))])
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.list_(block)]
-    names = ["page_id", "url", "host", "body", "found", "text", "blocks"]
+def subtrees(pages: DataFrame) -> DataFrame:
+    """``pages(html, host)`` -> ``(host, body, found)``: the page's subtrees; ``open`` ones have text of the article in them."""
+    kind = pa.struct([("tree", pa.int64()), ("article", pa.int64()), ("beside", pa.int64()), ("open", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for page_id, url, html, host in zip(*(c.to_pylist() for c in b.columns)):
+            bodies, out = [], []
+            for html in b.column(0).to_pylist():
                 html = html or ""
                 root = parse(html)
                 trees = candidates(root)
-                blocks = blocks_of(root, trees)
-                body = int.from_bytes(blake2b(html.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                open_ = any(around for _, around in blocks)
-                text = None if open_ else "\n\n".join(t for t, _ in blocks)
-                out.append((page_id, url, host, body, list(set(trees.values())), text, [{"text": t, "trees": x} for t, x in blocks] if open_ else None))
-            cols = list(zip(*out)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+                open_ = {t for _, around in blocks_of(root, trees) for t in around}
+                bodies.append(_body(html))
+                out.append([{"tree": t, "article": a, "beside": x, "open": t in open_} for t, a, x in set(trees.values())])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(bodies, pa.int64()), pa.array(out, pa.list_(kind))], ["host", "body", "found"])
+
+    return pages.select("html", "host").mapInArrow(run, "host string, body long, found array<struct<tree long, article long, beside long, open boolean>>")
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """``pages(page_id, url, html, host)`` -> ``(page_id, url, host, body, blocks)``, each block with the subtrees around it."""
+    kind = pa.list_(pa.struct([("text", pa.string()), ("trees", pa.list_(pa.int64()))]))
+    names = ["page_id", "url", "host", "body", "blocks"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies, out = [], []
+            for html in b.column(2).to_pylist():
+                html = html or ""
+                root = parse(html)
+                bodies.append(_body(html))
+                out.append([{"text": t, "trees": x} for t, x in blocks_of(root, candidates(root))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(bodies, pa.int64()), pa.array(out, kind)], names)
+
+    return pages.select("page_id", "url", "html", "host").mapInArrow(run, "page_id long, url string, host string, body long, blocks array<struct<text string, trees array<long>>>")
+
 
-    return pages.select("page_id", "url", "html", "host").mapInArrow(run, PARSED)
+def template_hits(seen: DataFrame) -> DataFrame:
+    """``seen(host, body, found)`` -> ``(host, body, hits array<long>)``: the templates that stand around text of a page."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    templates = host_templates(seen).withColumn("salt", salts)
+    own = seen.select("host", "body", F.explode(F.filter("found", lambda x: x["open"])).alias("x"))
+    own = own.select("host", "body", F.col("x.tree").alias("tree"), F.pmod("body", F.lit(SALTS)).cast("int").alias("salt"))
+    return own.join(templates, ["host", "tree", "salt"]).groupBy("host", "body").agg(F.collect_set("tree").alias("hits"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)``, one row for each input row whatever its other columns are.
 
-    A null html counts as empty and gives the empty text; pages without a host share one. Each
-    page is parsed once. Those with an article proper have their text then; the blocks of the
-    others wait for their host's templates.
+    A null html counts as empty and gives the empty text; pages without a host share one. Pages are
+    parsed once for the subtrees' hashes and again for the text, so that no text is written between.
     """
     rows = columns_apart(pages, id_col, url_col, html_col).toDF("page_id", "url", "html")
     rows = rows.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host_of())
-    seen = stage(parsed(rows), "parsed")
-    ready = seen.where("text is not null").select("page_id", "url", "text")
-    open_ = seen.where("text is null").select("page_id", "url", "host", "blocks")
-    templates = host_templates(seen.select("host", "body", "found"))
-    none = F.array().cast("array<long>")
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["trees"], F.coalesce("templates", none)))
-    rest = open_.join(templates, "host", "left").select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
-    return ready.unionByName(rest).withColumn("n_chars", F.char_length("text").cast("long"))
+    hits = stage(template_hits(stage(subtrees(rows), "subtrees")), "hits")
+    blocks = page_blocks(rows)
+    if is_empty(hits):
+        kept = F.col("blocks")
+    else:
+        blocks = blocks.join(hits, ["host", "body"], "left")
+        kept = F.when(F.col("hits").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["trees"], F.col("hits"))))
+    return blocks.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

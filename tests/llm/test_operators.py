@@ -323,6 +323,21 @@ def test_templates_go_and_paragraphs_stay(spark):
     assert got.count((200, "Welcome to our site\n\nStory 0 is told", 36)) == 2 and (201, "", 0) in got
 
 
+def test_templates_inside_articles_go(spark):
+    words = lambda k: [f"<p>Paragraph {j} of story {k} is here</p>" for j in range(8)]
+    page = lambda top, parts: f"<body><div><p>Top {top}</p></div><main><article>{''.join(parts)}</article></main></body>"
+    box = "<div><p>Write to us</p><p>We answer soon</p></div>"
+    rows = [(k, "http://a.org/", page(k, words(k)[:4] + [box] + words(k)[4:])) for k in range(12)]
+    # one article under changing heads, and edited copies of one article: their paragraphs are no templates
+    rows += [(100 + k, "http://a.org/", page(k, words(50))) for k in range(20)]
+    copy = lambda k: [x if j != k % 8 else f"<p>Edit {k}</p>" for j, x in enumerate(words(60))]
+    rows += [(200 + k, "http://a.org/", page(k, copy(k))) for k in range(40)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda parts: "\n\n".join(x[3:-4] for x in parts)
+    assert all(got[k] == text(words(k)) for k in range(12))
+    assert all(got[100 + k] == text(words(50)) for k in range(20)) and all(got[200 + k] == text(copy(k)) for k in range(40))
+
+
 # ------------------------------------------------------------------ 8
 
 
