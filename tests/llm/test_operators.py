@@ -338,6 +338,12 @@ def test_templates_inside_articles_go(spark):
     assert all(got[100 + k] == text(words(50)) for k in range(20)) and all(got[200 + k] == text(copy(k)) for k in range(40))
 
 
+def test_templates_of_a_part_of_a_large_host_go(spark):
+    rows = [(k, "http://a.org/", f"<div><p>In this section</p></div><p>Story {k}</p>" if k < 6 else f"<p>Story {k}</p>") for k in range(400)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Story {k}" for k in range(400))
+
+
 # ------------------------------------------------------------------ 8
 
 
