@@ -200,13 +200,19 @@ def niche(scored: DataFrame, radius: int) -> DataFrame:
     """Greedy thinning: best first, a candidate stays if it is ``radius`` away from all that stay.
 
     Rounds instead of a loop over rows: a candidate stays if none of its open neighbours is
-    better; those near to one that stays go; the others wait for the next round.
+    better; those near to one that stays go; the others wait for the next round. Of equal
+    candidates only the best can stay at a radius above 0: whatever is near to it is near to all.
     """
     rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy("max_d", "cand_no")).cast("int")
-    open_ = stage(scored.withColumn("rank", rank), "niche")
+    ranked = scored.withColumn("rank", rank)
+    if radius > 0:
+        own = F.when(F.col("candidate").isNull(), F.col("rank")).alias("own")  # a null is no one's equal
+        best = ranked.groupBy("dataset_id", "candidate", own).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in ranked.columns]), "rank").alias("best"))
+        ranked = best.select("best.*")
+    open_ = stage(ranked, "niche")
     asked = open_.select("dataset_id", F.col("rank").alias("seq_index"), F.col("candidate").alias("sequence"))
     links = neighbours(asked, radius - 1) if radius > 0 else neighbours(asked, 0).where("false")
-    near = stage(links.select("dataset_id", F.col("i").alias("rank"), F.col("j").alias("other")), "near")  # i < j: i is the better; copies by class
+    near = stage(links.select("dataset_id", F.col("i").alias("rank"), F.col("j").alias("other")), "near")  # i < j: i is the better
     kept = None
     while not is_empty(open_):
         ranks = open_.select("dataset_id", "rank")

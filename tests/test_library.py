@@ -101,6 +101,13 @@ def test_niche_keeps_distance(spark):
     assert sorted(r["cand_no"] for r in cand.niche(scored, 2).collect()) == [0, 2, 3]
 
 
+def test_niche_drops_copies_of_what_goes(spark):
+    rows = [("d", i, s, d) for i, (s, d) in enumerate([("AAAA", 1), ("AAAT", 2), ("AAAT", 3), ("TTTT", 4), ("TTTT", 5), ("AAAT", 6)])]
+    scored = spark.createDataFrame(rows, "dataset_id string, cand_no int, candidate string, max_d int")
+    assert sorted(r["cand_no"] for r in cand.niche(scored, 2).collect()) == [0, 3]
+    assert cand.niche(scored, 0).count() == len(rows)
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "one.fasta").write_text(">seq1\nACGTACGT\n\nGGCCTTAA\n>seq2 > more\nATGTACGT\nCCGGAATT")
     (tmp_path / "bare.fa").write_text("ACGT\nTT\n>x\n>y\nGG\n")
