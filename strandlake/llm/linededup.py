@@ -27,7 +27,8 @@ from .common import columns_apart, is_empty, stage, unstage
 from ..operators.components import connected_components
 
 SHINGLE = 7
-LEAST_CHARS = 24
+#: A line of one shingle still has a signature; shorter ones stay.
+LEAST_CHARS = SHINGLE
 JACCARD = 0.8
 BANDS, ROWS = 10, 4
 PART = 512

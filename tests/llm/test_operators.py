@@ -137,6 +137,12 @@ def test_line_dedup_under_null_and_repeated_ids(spark):
     assert sorted(got) == sorted(want + [x for _, n, t in copies for x in ((n, t), (n, ""))])
 
 
+def test_short_lines_recur_too(spark):
+    rows = [(1, "All rights reserved.\nOne"), (2, "Two\nAll rights reserved."), (3, "Sources\nMore"), (4, "Sources"), (5, "Sourced")]
+    got = sorted((r["doc_id"], r["text"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [rows[0], (2, "Two"), rows[2], (4, ""), rows[4]]
+
+
 def test_banding_recall():
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
