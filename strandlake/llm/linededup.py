@@ -1,16 +1,20 @@
 """Fuzzy line dedup: MinHash bands propose, exact Jaccard decides, union-find keeps one line a component.
 
-Lines of at least ``LEAST_CHARS`` characters have signatures over their distinct shingles of
-``SHINGLE`` characters: ``BANDS`` bands of ``ROWS`` minima, which find a pair at Jaccard 0.8
+Lines of at least ``SHINGLE`` characters have signatures over their distinct shingles of that
+many characters: ``BANDS`` bands of ``ROWS`` minima, which find a pair at Jaccard 0.8
 with probability 0.995 and one at 0.9 almost surely. Lines that share a band are candidates.
 Each is compared with its band's pivot (the smallest line hash), not with all others. Where
-that leaves a band's lines in several components, the pairs across these are compared as well,
-and a pair is skipped once its components have met. So no link inside a band is lost, and the
-lines of a family are not multiplied out. Such bands come to tasks in parts of ``PART`` lines,
-two at a time, so none is gathered whole.
+that leaves a band's lines in several components, the lines across these are compared as well.
+Bands come to tasks in parts of ``PART`` lines, two at a time, so none is gathered whole; bands
+above ``HOT`` lines are cut by ``CUTS`` further triples of minima first, of which a pair at 0.8
+shares one with probability 0.9998.
 
-Only lines that are candidates move with their text. Which lines these are reaches the scan as
-a Bloom filter of fixed size, and an exact join follows.
+Before texts are moved, candidates are compared by ``MINIMA`` more minima of one byte each and
+by their numbers of shingles. A pair goes on unless its agreements are five standard deviations
+below those of a pair at the threshold. Only lines that are candidates have such minima. Which
+lines these are reaches the scan as a Bloom filter of fixed size, and an exact join follows.
+
+Shorter lines have no shingles. They stay, or with ``short_lines`` are alike if they are equal.
 """
 
 from __future__ import annotations
@@ -20,28 +24,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_apart, is_empty, stage, unstage
+from .common import columns_apart, is_empty, stage, unstage, unused
 from ..operators.components import connected_components
 
 SHINGLE = 7
-#: A line of one shingle still has a signature; shorter ones stay.
+#: Shorter lines have no signature.
 LEAST_CHARS = SHINGLE
 JACCARD = 0.8
 BANDS, ROWS = 10, 4
+MINIMA = 128
 PART = 512
-#: 64-bit words that the bit sets of two parts may take (128 MB).
-BIT_WORDS = 1 << 24
+HOT, CUTS = 4096, 12
 #: Bits of the Bloom filter that a scan gets: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
+#: Line hashes that a task remembers, so as not to give a line twice; beyond it starts anew.
+REMEMBERED = 1 << 17
 
 _rng = np.random.default_rng(20240229)
-_A = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
+_BAND_FACTORS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_MINIMA_FACTORS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 15
+#: Characters that are worked on at once, so that the arrays stay in the processor's cache.
+_BLOCK = 1 << 15
 
 
 def line_hash(line: bytes, seed: int = 42) -> int:
@@ -55,67 +62,136 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _shingle_hashes(points: np.ndarray) -> np.ndarray:
+    """32-bit hashes of all runs of SHINGLE code points."""
+    h = np.zeros(len(points) - SHINGLE + 1, np.uint32)
+    for k in range(SHINGLE):
+        h *= np.uint32(0x01000193)
+        h += points[k : k + len(h)]
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    return h ^ (h >> np.uint32(16))
+
+
+def minima(lines: list[str], factors: np.ndarray) -> np.ndarray:
+    """The least of factor * hash over each line's shingles, (factors x lines); all lines have a shingle."""
+    out = np.empty((len(factors), len(lines)), np.uint32)
+    part: list[str] = []
+    begins: list[int] = []  # the lines' first pieces in ``part``
+    first = chars = 0
+
+    def flush(until: int) -> None:
+        nonlocal part, begins, first, chars
+        points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        own = np.ones(len(points), bool)
+        for k in range(1, SHINGLE):  # no shingle runs over an end
+            own[np.cumsum(sizes) - k] = False
+        h = _shingle_hashes(points)
+        h = h[own[: len(h)]]
+        at = (np.cumsum(sizes - SHINGLE + 1) - (sizes - SHINGLE + 1))[begins]
+        room = np.empty_like(h)
+        for row, factor in zip(out, factors):
+            np.multiply(h, factor, out=room)
+            row[first:until] = np.minimum.reduceat(room, at)
+        part, begins, first, chars = [], [], until, 0
+
+    for i, line in enumerate(lines):
+        begins.append(len(part))
+        if len(line) <= _BLOCK:
+            part.append(line)
+        else:
+            part += [line[k : k + _BLOCK + SHINGLE - 1] for k in range(0, len(line) - SHINGLE + 1, _BLOCK)]
+        chars += len(line)
+        if chars >= _BLOCK:
+            flush(i + 1)
+    if part:
+        flush(len(lines))
+    return out
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """Band keys (lines x BANDS, int64) of lines that all have at least SHINGLE characters."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = np.zeros(len(points) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        h = h * _STEP + points[k : k + len(h)]
-    h = (_mix(h) >> np.uint64(32)).astype(np.uint32)
-    begins = np.cumsum(sizes) - sizes
-    low = np.empty((BANDS * ROWS, len(lines)), np.uint32)
-    for i, (at, n) in enumerate(zip(begins, sizes - SHINGLE + 1)):
-        own = h[at : at + n]
-        best = (own[:_CHUNK] * _A + _B).min(axis=1)
-        for more in range(_CHUNK, n, _CHUNK):  # very long lines
-            best = np.minimum(best, (own[more : more + _CHUNK] * _A + _B).min(axis=1))
-        low[:, i] = best
-    low = low.reshape(BANDS, ROWS, len(lines)).astype(np.uint64)
+    low = minima(lines, _BAND_FACTORS).reshape(BANDS, ROWS, len(lines)).astype(np.uint64)
     keys = np.arange(BANDS, dtype=np.uint64)[:, None] + np.uint64(1)
     for r in range(ROWS):
         keys = _mix(keys * _STEP + low[:, r])
     return keys.T.copy().view(np.int64)
 
 
+def marks(lines: list[str]) -> np.ndarray:
+    """A byte of each of MINIMA minima (lines x MINIMA)."""
+    return np.ascontiguousarray((minima(lines, _MINIMA_FACTORS) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).T)
+
+
+def least_agreements(least: float) -> int:
+    """Marks in which pairs at this similarity agree, less five standard deviations."""
+    return int(MINIMA * least - 5 * (MINIMA * least * (1 - least)) ** 0.5)
+
+
+def shingles(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+
+
 def jaccard(a: str, b: str) -> float:
-    x, y = shingles(a), shingles(b)
-    return (n := len(x & y)) / (len(x) + len(y) - n) if x or y else float(a == b)
+    return _jaccard(shingles(a), shingles(b)) if max(len(a), len(b)) >= SHINGLE else float(a == b)
+
+
+def _jaccard(x: set[str], y: set[str]) -> float:
+    return (n := len(x & y)) / (len(x) + len(y) - n)
+
+
+def _lines(texts: pa.Array) -> Iterator[tuple[int, int, bytes]]:
+    """(number of the text, number of the line, line) of all lines that aren't blank."""
+    for row, text in enumerate(texts.cast(pa.large_binary())):
+        for no, line in enumerate((text.as_py() or b"").split(b"\n")):
+            if line and not line.isspace():
+                yield row, no, line
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, short_lines: bool = False) -> DataFrame:
     """``docs(row, id, text)`` -> a row for each line that counts: row, id, line_no, h, check, bands.
 
-    Bands are null where the same task has given them for an equal line already.
+    Bands are null for short lines, and where the same task has given them for an equal line already.
     """
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    names = ["row", "id", "line_no", "h", "check", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        rows: list[tuple[int, int, int, int, bool]] = []
+        fresh: list[str] = []
+        chars = 0
+
+        def flush(b: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal rows, fresh, chars
+            at, no, h, check, signed = zip(*rows)
+            sizes = np.where(np.array(signed), BANDS, 0)
+            keys = signatures(fresh).ravel() if fresh else np.zeros(0, np.int64)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            bands = pa.ListArray.from_arrays(offsets, pa.array(keys), mask=pa.array(sizes == 0))
+            own = [b.column(k).take(pa.array(at, pa.int64())) for k in (0, 1)]
+            rows, fresh, chars = [], [], 0
+            return pa.RecordBatch.from_arrays([*own, pa.array(no, pa.int32()), pa.array(h, pa.int64()), pa.array(check, pa.int64()), bands], names)
+
         for b in batches:
-            ids, numbers, hashes, checks, where, fresh = [], [], [], [], [], []
-            for row, text in enumerate(b.column(2).to_pylist()):
-                for no, line in enumerate((text or "").split("\n")):
-                    if len(line) < LEAST_CHARS:
-                        continue
-                    raw = line.encode("utf-8", "surrogatepass")
-                    h = line_hash(raw)
-                    ids.append(row)
-                    numbers.append(no)
-                    hashes.append(h)
-                    checks.append(line_hash(raw, 7))
-                    if h in seen:
-                        where.append(-1)
-                    else:
-                        seen.add(h)
-                        where.append(len(fresh))
-                        fresh.append(line)
-            if len(seen) > 1_000_000:
+            for row, no, raw in _lines(b.column(2)):
+                h = line_hash(raw)
+                line = raw.decode("utf-8", "replace") if h not in seen or len(raw) < 4 * SHINGLE else None
+                short = line is not None and len(line) < LEAST_CHARS
+                if short and not short_lines:
+                    continue
+                rows.append((row, no, h, line_hash(raw, 7), new := not short and h not in seen))
+                if new:
+                    seen.add(h)
+                    fresh.append(line)
+                    chars += len(line)
+                if chars > 1 << 20 or len(rows) > 1 << 16:
+                    yield flush(b)
+            if rows:
+                yield flush(b)
+            if len(seen) > REMEMBERED:
                 seen.clear()
-            keys = [k for part in _portions(fresh) for k in signatures(part)]
-            bands = pa.array([None if w < 0 else keys[w] for w in where], kinds[3])
-            cols = [*[b.column(k).take(pa.array(ids, pa.int64())) for k in (0, 1)], *[pa.array(c, k) for c, k in zip((numbers, hashes, checks), kinds)], bands]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "id", "line_no", "h", "check", "bands"])
 
     return docs.select("row", "id", "text").mapInArrow(run, "row long, id long, line_no int, h long, check long, bands array<long>")
 
@@ -124,11 +200,10 @@ def _filter_of(values: DataFrame) -> np.ndarray:
     """A Bloom filter of ``values(h)``: each task makes one of fixed size, and they are or-ed in a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        packed = np.zeros(FILTER_BITS // 8, np.uint8)
         for b in batches:
             for at in _places(np.asarray(b.column(0))):
-                bits[at] = True
-        packed = np.packbits(bits)
+                np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         for k in range(0, len(packed), 1 << 18):
             if (part := packed[k : k + (1 << 18)]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["at", "part"])
@@ -158,95 +233,125 @@ def _places(h: np.ndarray) -> list[np.ndarray]:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(h, text)``, one row for each line hash in ``wanted(h)``."""
+    """``(h, text, size, marks)``, one row for each line hash in ``wanted(h)``; size: distinct shingles."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
+    def given(lines: dict[int, str]) -> pa.RecordBatch:
+        texts = list(lines.values())
+        low = [x.tobytes() for x in marks(texts)]
+        sizes = [len(shingles(x)) for x in texts]
+        return pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(low, pa.binary())], ["h", "text", "size", "marks"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            lines = [x for text in b.column(0).to_pylist() for x in (text or "").split("\n") if len(x) >= LEAST_CHARS]
-            h = np.fromiter((line_hash(x.encode("utf-8", "surrogatepass")) for x in lines), np.int64, len(lines))
+            raw = [x for _, _, x in _lines(b.column(0)) if len(x) >= SHINGLE]
+            h = np.fromiter(map(line_hash, raw), np.int64, len(raw))
             hit = np.ones(len(h), bool)
             for at in _places(h):
                 hit &= (bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            hashes, texts = [], []
+            found, chars = {}, 0
             for i in np.flatnonzero(hit):
-                if (x := int(h[i])) not in seen:
-                    seen.add(x)
-                    hashes.append(x)
-                    texts.append(lines[i])
-            if len(seen) > 1_000_000:
+                if (x := int(h[i])) in seen or len(line := raw[i].decode("utf-8", "replace")) < SHINGLE:
+                    continue
+                seen.add(x)
+                found[x] = line
+                if (chars := chars + len(line)) > 1 << 20:
+                    yield given(found)
+                    found, chars = {}, 0
+            if found:
+                yield given(found)
+            if len(seen) > REMEMBERED:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(texts, pa.string())], ["h", "text"])
 
-    found = docs.select("text").mapInArrow(run, "h long, text string")
+    found = docs.select("text").mapInArrow(run, "h long, text string, size int, marks binary")
     # of lines whose 64-bit hashes agree the smallest is meant
-    return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("text", "size", "marks")).alias("x")).select("h", "x.*")
+
+
+def _agreeing(a: pa.Array, b: pa.Array, least: float) -> pa.Array:
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, MINIMA) for c in (a, b))
+    return pa.array((x == y).sum(axis=1) >= least_agreements(least))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = JACCARD) -> DataFrame:
     """The ``pairs(src, dst)`` whose lines have at least this Jaccard similarity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [jaccard(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["src", "dst"]).filter(pa.array(ok, pa.bool_()))
-
-    one = texts.select(F.col("h").alias("src"), F.col("text").alias("a"))
-    two = texts.select(F.col("h").alias("dst"), F.col("text").alias("b"))
-    return pairs.join(one, "src").join(two, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
-
-
-def _portions(lines: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of lines of about so many characters, as the arrays of a signature are many times its text."""
-    part, n = [], 0
-    for line in lines:
-        part.append(line)
-        n += len(line)
-        if n >= chars:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+            yield b.select(["src", "dst"]).filter(_agreeing(b.column(2), b.column(3), least))
 
-
-def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, set()
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if x != last:  # pairs come sorted by their pivots
+                    last, own = x, shingles(x)
+                ok.append(_jaccard(own, shingles(y)) >= least)
+            yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    def beside(of: DataFrame, *cols: str) -> DataFrame:
+        for end in ("dst", "src"):
+            of = of.join(texts.select(F.col("h").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in cols]), end)
+        return of
+
+    schema = "src long, dst long"
+    close = beside(pairs, "size", "marks").where(_sizes_near("size_src", "size_dst", least)).select("src", "dst", "marks_src", "marks_dst").mapInArrow(near, schema)
+    return beside(close, "text").select("src", "dst", "text_src", "text_dst").mapInArrow(alike, schema)
+
+
+def _sizes_near(a: str, b: str, least: float) -> Column:
+    """No sets of other sizes can be so similar."""
+    return (F.least(a, b) >= least * F.greatest(a, b)).alias("near")
+
+
+def with_partners(root: np.ndarray, part: np.ndarray, size: np.ndarray, mark: np.ndarray, mixed: bool, least: float = JACCARD) -> np.ndarray:
+    """Which lines of a band may be similar to one of another component (``mixed``: and another part)."""
+    n, bound = len(root), least_agreements(least)
+    out = np.zeros(n, bool)
+    step = max(1, (1 << 22) // (n * MINIMA))
+    for at in range(0, n, step):
+        rows = slice(at, at + step)
+        may = root[rows, None] != root
+        if mixed:
+            may &= part[rows, None] != part
+        may &= np.minimum(size[rows, None], size) >= least * np.maximum(size[rows, None], size)
+        a, b = np.nonzero(may)
+        if not len(a):
+            continue
+        if 4 * len(a) > may.size:
+            may &= (mark[rows, None] == mark).sum(axis=2) >= bound
+            out[rows] |= may.any(axis=1)
+        else:
+            close = (mark[a + at] == mark[b]).sum(axis=1) >= bound
+            out[a[close] + at] = True
+    return out
 
 
-def links_across(lines: list[tuple[int, int, int, str]], mixed: bool, least: float = JACCARD) -> list[tuple[int, int]]:
-    """``(h, root, part, text)`` of one band -> links between lines whose roots differ.
+def links_across(lines: list[tuple[int, int, str]], mixed: bool, least: float = JACCARD) -> list[tuple[int, int]]:
+    """``(root, part, text)`` of one band -> links between the roots of similar lines.
 
-    ``mixed``: only pairs of different parts. A link joins its lines' components at once.
+    ``mixed``: only pairs of different parts. A link joins its lines' components at once, so that no
+    other pair of these is compared.
     """
-    lines = sorted(lines)
-    numbers: dict[str, int] = {}
-    own = [np.array(sorted({numbers.setdefault(x, len(numbers)) for x in shingles(text)}), np.int64) for _, _, _, text in lines]
-    sizes = np.array([len(x) for x in own])
-    label = np.array([x[1] for x in lines], np.int64)
-    part = np.array([x[2] for x in lines], np.int64)
-    width = -(-len(numbers) // 64)
-    bits = None
-    if len(lines) * width <= BIT_WORDS:  # sets of shingles as bits, unless very long lines make them many
-        bits = np.zeros((len(lines), width), np.uint64)
-        for row, at in zip(bits, own):
-            np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    up = {root: root for root, _, _ in lines}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    sets = [(root, part, shingles(text)) for root, part, text in lines]
     out = []
-    for a in range(len(lines) - 1):
-        may = (label[a + 1 :] != label[a]) & (sizes[a + 1 :] >= least * sizes[a]) & (least * sizes[a + 1 :] <= sizes[a])
-        if mixed:
-            may &= part[a + 1 :] != part[a]
-        at = np.flatnonzero(may) + a + 1
-        if not len(at):
-            continue
-        if bits is not None:
-            both = np.bitwise_count(bits[at] & bits[a]).sum(axis=1, dtype=np.int64)
-        else:
-            both = np.array([len(np.intersect1d(own[a], own[b], assume_unique=True)) for b in at])
-        for b in at[both >= least * (sizes[a] + sizes[at] - both)]:
-            if label[a] != label[b]:
-                out.append((lines[a][0], lines[b][0]))
-                label[label == label[b]] = label[a]
+    for k, (r, p, x) in enumerate(sets):
+        for s, q, y in sets[:k]:
+            if mixed and p == q or top(r) == top(s):
+                continue
+            if min(len(x), len(y)) >= least * max(len(x), len(y)) and _jaccard(x, y) >= least:
+                out.append((r, s))
+                up[top(r)] = top(s)
     return out
 
 
@@ -255,53 +360,80 @@ def line_components(docs: DataFrame, lines: DataFrame, least: float = JACCARD) -
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bands = lines.where("bands is not null").select("h", F.explode("bands").alias("key")).repartition(parts, "key")
     shared = bands.groupBy("key").agg(F.min("h").alias("pivot"), F.max("h").alias("last")).where("pivot < last").select("key", "pivot")
-    # both sides read the one exchange by key; equal lines of several tasks are one member
-    members = stage(bands.join(shared, "key").distinct(), "members")
-    pairs = members.where("h <> pivot").select(F.col("pivot").alias("src"), F.col("h").alias("dst")).distinct()
+    # both sides read the one exchange by key, and the smaller is no larger than its partition's keys;
+    # equal lines of several tasks are one member
+    members = stage(bands.join(shared.hint("shuffle_hash"), "key").distinct(), "members")
     if is_empty(members):
         return None
     texts = stage(texts_of(docs, members.select("h").distinct()), "texts")
-    links = stage(verified(pairs, texts, least), "links")
-    roots = stage(connected_components(links), "components")
+    pairs = members.where("h <> pivot").select(F.col("pivot").alias("src"), F.col("h").alias("dst")).distinct()
+    roots = stage(connected_components(verified(pairs, texts, least)), "components")
     more = stage(_open_links(members, roots, texts, least), "links")
-    # the components so far are stars about their roots
-    return connected_components(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).unionByName(more))
+    unstage(members, texts)
+    if is_empty(more):
+        return roots
+    wider = stage(connected_components(more), "wider")
+    unstage(more)
+    # a line that only the second look has linked is its own root so far
+    every = roots.unionByName(wider.select("node", F.col("node").alias("root"))).distinct()
+    return stage(every.join(wider.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")).distinct(), "components")
 
 
 def _open_links(members: DataFrame, roots: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links inside bands between components that the pivots have not joined."""
+    """Links inside bands between the roots of components that the pivots have not joined."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lists(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
+        column = b.column(b.schema.get_field_index(name))
+        return column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, rows = lists(b, "rows")
+            h, root, part, size = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            mark = np.frombuffer(b"".join(rows.field(4).to_pylist()), np.uint8).reshape(-1, MINIMA)
+            mixed = b.column(0).to_numpy() != b.column(1).to_numpy()
+            stays = np.zeros(len(h), bool)
+            for k, (lo, hi) in enumerate(zip(ends, ends[1:])):
+                stays[lo:hi] = with_partners(root[lo:hi], part[lo:hi], size[lo:hi], mark[lo:hi], mixed[k], least)
+            at = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[stays]
+            own = [c.take(pa.array(at)) for c in b.columns[:3]]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c[stays]) for c in (h, root, part)]], ["i", "j", "key", "h", "root", "part"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
             for mixed, rows in zip(b.column(0).to_pylist(), b.column(1)):
-                found += links_across([(r["h"], r["root"], r["part"], r["text"]) for r in rows.as_py()], mixed, least)
+                found += links_across([(r["root"], r["part"], r["text"]) for r in rows.as_py()], mixed, least)
             pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
-    placed = members.join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
-    # two lines have been compared as pivot and member
-    apart = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2 and n > 2")
-    parts = F.ceil(F.col("n") / PART).cast("int")
+    of_line = members.select("key", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+    count = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2 and n > 1").select("key", "n")
+    # of two lines one is the pivot, and they have been compared
+    placed = of_line.join(count(of_line).where("n > 2"), "key").join(texts.select("h", "size", "marks"), "h")
+    cuts = F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(CUTS - 1))).otherwise(F.array(F.lit(-1)))
+    cut = F.when(F.col("cut") < 0, F.col("key")).otherwise(F.xxhash64("key", "cut", F.substring("marks", 3 * F.col("cut") + 1, F.lit(3))))
+    placed = stage(placed.withColumn("cut", F.explode(cuts)).select(cut.alias("key"), "h", "root", "size", "marks"), "placed")
     part = F.pmod(F.xxhash64("h", F.lit(3)), F.col("parts")).cast("int")
-    rows = placed.join(apart.select("key", parts.alias("parts")), "key").withColumn("part", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", "h", "root", "part", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j")).join(texts, "h")
+    sizes = count(placed).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rows = placed.join(sizes, "key").withColumn("part", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "key", F.struct("h", "root", "part", "size", "marks").alias("row"))
     tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * members.sparkSession.sparkContext.defaultParallelism)
     # by number, as few bytes can be much work: a partition's size says little here
-    groups = rows.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "root", "part", "text")).alias("rows"))
-    return groups.select((F.col("i") != F.col("j")).alias("mixed"), "rows").mapInArrow(run, "src long, dst long").distinct()
+    groups = lambda rows: rows.repartition(tasks, "i", "j", "key").groupBy("i", "j", "key").agg(F.collect_list("row").alias("rows"))
+    close = stage(groups(rows).mapInArrow(near, "i int, j int, key long, h long, root long, part int"), "close")
+    close = close.join(texts.select("h", "text"), "h").select("i", "j", "key", F.struct("root", "part", "text").alias("row"))
+    return groups(close).select((F.col("i") != F.col("j")).alias("mixed"), "rows").mapInArrow(alike, "src long, dst long").distinct()
 
 
-def dropped_lines(docs: DataFrame, least: float = JACCARD) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: float = JACCARD, short_lines: bool = False) -> DataFrame:
     """``docs(row, id, text)`` -> ``(row, drop array<int>)``: the line numbers that go, of rows that lose any.
 
     Of each component (equal lines are one) the first line by (id, row, line number) stays; a null
     id comes last. ``row`` tells rows apart, so those with a null or repeated id are documents each.
     """
-    whole = stage(line_table(docs), "lines")
-    roots = line_components(docs, whole, least)
-    lines = stage(whole.drop("bands"), "places")
-    unstage(whole)
+    lines = stage(line_table(docs, short_lines), "lines")
+    roots = line_components(docs, lines, least)
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "line_no")
     # a hash that stands for two different lines is told by the second hash: only equals of the smaller count
     firsts = lines.groupBy("h").agg(F.min("check").alias("check"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -316,19 +448,33 @@ def dropped_lines(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     return gone.groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = JACCARD) -> DataFrame:
+def _marked(docs: DataFrame, id_col: str, text_col: str, least: float, short_lines: bool) -> tuple[DataFrame, str, Column, Column]:
+    """The input's rows beside the numbers of the lines that go (in a column of the name given), their lines and new text."""
+    row, drop = unused(docs, "row"), unused(docs, "drop")
+    void = [c for c, kind in docs.dtypes if kind == "void"]  # Parquet has no such columns
+    held = stage(columns_apart(docs, *[c for c in docs.columns if c not in void]).withColumn(row, F.monotonically_increasing_id()), "input")
+    rows = columns_apart(held, row, id_col, text_col).toDF("row", "id", "text").select("row", F.col("id").cast("long"), F.col("text").cast("string"))
+    drops = dropped_lines(rows, least, short_lines).select(F.col("row").alias(row), F.col("drop").alias(drop))
+    joined = held.join(drops, row, "left").withColumns({c: F.lit(None) for c in void})
+    lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n")
+    return joined, drop, lines, F.when(F.col(drop).isNull(), F.col(f"`{text_col}`")).otherwise(kept)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = JACCARD, short_lines: bool = False) -> DataFrame:
     """The input's rows and columns, with the text less the lines that go, and ``n_lines``, ``n_dropped``.
 
-    Lines are what stands between line feeds. Those under ``LEAST_CHARS`` characters always stay.
-    A null text stays null with 0 lines; a document may lose all its lines and is kept, empty.
-    Rows are numbered as they are written once with the input, since their ids may be null or repeat.
+    Lines are what stands between line feeds. Blank ones always stay, and those under ``LEAST_CHARS``
+    characters stay unless ``short_lines`` says that their equals go as well. A null text stays null with 0 lines; a document may lose all
+    its lines and is kept, empty. Rows are numbered as they are written once with the input, since their
+    ids may be null or repeat. Columns of the input named ``n_lines`` or ``n_dropped`` give way.
     """
-    void = [c for c, kind in docs.dtypes if kind == "void"]  # Parquet has no such columns
-    held = stage(columns_apart(docs, *[c for c in docs.columns if c not in void]).withColumn("__row", F.monotonically_increasing_id()), "input")
-    rows = columns_apart(held, "__row", id_col, text_col).toDF("row", "id", "text").select("row", F.col("id").cast("long"), F.col("text").cast("string"))
-    drops = dropped_lines(rows, least).select(F.col("row").alias("__row"), F.col("drop").alias("__drop"))
-    joined = held.join(drops, "__row", "left").withColumns({c: F.lit(None) for c in void})
-    lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    out = [(F.when(F.col("__drop").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]
-    return joined.select(*out, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    joined, drop, lines, text = _marked(docs, id_col, text_col, least, short_lines)
+    out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*out, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = JACCARD, short_lines: bool = False) -> DataFrame:
+    """As `dedup_lines`, in just the input's columns."""
+    joined, _, _, text = _marked(docs, id_col, text_col, least, short_lines)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

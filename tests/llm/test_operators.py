@@ -143,6 +143,49 @@ def test_short_lines_recur_too(spark):
     assert got == [rows[0], (2, "Two"), rows[2], (4, ""), rows[4]]
 
 
+def test_short_lines_go_if_asked(spark):
+    rows = [(1, "Of.\n- \nyes\n\nno"), (2, "Of.\n\nThe.\nyes\nThe."), (3, "No")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in linededup.dedup_lines(df).collect()) == rows
+    got = sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in linededup.dedup_lines(df, short_lines=True).collect())
+    assert got == [(1, rows[0][1], 0), (2, "\nThe.", 3), (3, "No", 0)]
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "The same line, word for word.", 8, 9, 5, 6), (2, "The same line, word for word.", 8, 9, 5, 6)], "doc_id long, text string, n_lines int, Row int, n_dropped int, drop int")
+    out = linededup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "Row", "drop", "n_lines", "n_dropped"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, df.first()["text"], 9, 6, 1, 0), (2, "", 9, 6, 1, 1)]
+    only = linededup.without_repeated_lines(df)
+    assert only.columns == df.columns and sorted(tuple(r) for r in only.collect())[1] == (2, "", 8, 9, 5, 6)
+
+
+def test_large_bands_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", 40)
+    monkeypatch.setattr(linededup, "PART", 16)
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrst"))
+    base = rng.choice(letters, 300)
+    lines = []
+    for f in range(60):  # families of two, all of them about 0.6 alike and so in each other's bands
+        own = base.copy()
+        own[rng.integers(0, 300, 12)] = rng.choice(letters, 12)
+        near = own.copy()
+        near[rng.integers(0, 300, 2)] = "z"
+        lines += ["".join(own), "".join(near)]
+    # members of one band, as a table of places would give them
+    schema = "row long, id long, text string"
+    docs = spark.createDataFrame([(k, k, x) for k, x in enumerate(lines)], schema)
+    table = linededup.line_table(docs)
+    one = table.withColumn("bands", F.array(F.lit(5).cast("long")))
+    roots = {r["node"]: r["root"] for r in linededup.line_components(docs, one).collect()}
+    h = [linededup.line_hash(x.encode()) for x in lines]
+    want = union_find(len(lines), [(a, b) for a in range(len(lines)) for b in range(a) if linededup.jaccard(lines[a], lines[b]) >= 0.8])
+    got = [roots.get(x, x) for x in h]
+    first = {}
+    assert [first.setdefault(r, k) for k, r in enumerate(got)] == want and len(set(want)) > 20
+
+
 def test_banding_recall():
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
