@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that recur, as they are or nearly so, the first stays."""
-    kept = linededup.dedup_lines(docs).select(*docs.columns)
+    kept = linededup.without_repeated_lines(docs, short_lines=True)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
