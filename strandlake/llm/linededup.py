@@ -9,9 +9,9 @@ Bands come to tasks in parts of ``PART`` lines, two at a time, so none is gather
 above ``HOT`` lines are cut by ``CUTS`` further triples of minima first, of which a pair at 0.8
 shares one with probability 0.9998.
 
-Before texts are moved, candidates are compared by ``MINIMA`` more minima of one byte each and
-by their numbers of shingles. A pair goes on unless its agreements are five standard deviations
-below those of a pair at the threshold. Only lines that are candidates have such minima. Which
+Candidates are compared by ``MINIMA`` more minima of one byte each before their shingles are.
+A pair goes on unless its agreements are five standard deviations below those of a pair at the
+threshold. Only lines that are candidates have such minima. Which
 lines these are reaches the scan as a Bloom filter of fixed size, and an exact join follows.
 
 Shorter lines have no shingles. They stay, or with ``short_lines`` are alike if they are equal.
@@ -233,14 +233,13 @@ def _places(h: np.ndarray) -> list[np.ndarray]:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(h, text, size, marks)``, one row for each line hash in ``wanted(h)``; size: distinct shingles."""
+    """``(h, text, marks)``, one row for each line hash in ``wanted(h)``."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def given(lines: dict[int, str]) -> pa.RecordBatch:
         texts = list(lines.values())
         low = [x.tobytes() for x in marks(texts)]
-        sizes = [len(shingles(x)) for x in texts]
-        return pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(low, pa.binary())], ["h", "text", "size", "marks"])
+        return pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64()), pa.array(texts, pa.string()), pa.array(low, pa.binary())], ["h", "text", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -264,9 +263,9 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if len(seen) > REMEMBERED:
                 seen.clear()
 
-    found = docs.select("text").mapInArrow(run, "h long, text string, size int, marks binary")
+    found = docs.select("text").mapInArrow(run, "h long, text string, marks binary")
     # of lines whose 64-bit hashes agree the smallest is meant
-    return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("text", "size", "marks")).alias("x")).select("h", "x.*")
+    return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("text", "marks")).alias("x")).select("h", "x.*")
 
 
 def _agreeing(a: pa.Array, b: pa.Array, least: float) -> pa.Array:
@@ -291,51 +290,40 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = JACCARD) -> Data
                 ok.append(_jaccard(own, shingles(y)) >= least)
             yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
-    def beside(of: DataFrame, *cols: str) -> DataFrame:
+    def beside(of: DataFrame, col: str) -> DataFrame:
         for end in ("dst", "src"):
-            of = of.join(texts.select(F.col("h").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in cols]), end)
-        return of
+            of = of.join(texts.select(F.col("h").alias(end), F.col(col).alias(f"{col}_{end}")), end)
+        return of.select("src", "dst", f"{col}_src", f"{col}_dst")
 
     schema = "src long, dst long"
-    close = beside(pairs, "size", "marks").where(_sizes_near("size_src", "size_dst", least)).select("src", "dst", "marks_src", "marks_dst").mapInArrow(near, schema)
-    return beside(close, "text").select("src", "dst", "text_src", "text_dst").mapInArrow(alike, schema)
+    return beside(beside(pairs, "marks").mapInArrow(near, schema), "text").mapInArrow(alike, schema)
 
 
-def _sizes_near(a: str, b: str, least: float) -> Column:
-    """No sets of other sizes can be so similar."""
-    return (F.least(a, b) >= least * F.greatest(a, b)).alias("near")
-
-
-def with_partners(root: np.ndarray, part: np.ndarray, size: np.ndarray, mark: np.ndarray, mixed: bool, least: float = JACCARD) -> np.ndarray:
-    """Which lines of a band may be similar to one of another component (``mixed``: and another part)."""
+def close_pairs(root: np.ndarray, part: np.ndarray, mark: np.ndarray, mixed: bool, least: float = JACCARD) -> tuple[np.ndarray, np.ndarray]:
+    """Places a < b of a band's lines that may be similar and are of different components (``mixed``: and parts)."""
     n, bound = len(root), least_agreements(least)
-    out = np.zeros(n, bool)
+    out = []
     step = max(1, (1 << 22) // (n * MINIMA))
     for at in range(0, n, step):
         rows = slice(at, at + step)
-        may = root[rows, None] != root
+        may = (root[rows, None] != root) & (np.arange(at, min(n, at + step))[:, None] < np.arange(n))
         if mixed:
             may &= part[rows, None] != part
-        may &= np.minimum(size[rows, None], size) >= least * np.maximum(size[rows, None], size)
         a, b = np.nonzero(may)
-        if not len(a):
-            continue
-        if 4 * len(a) > may.size:
-            may &= (mark[rows, None] == mark).sum(axis=2) >= bound
-            out[rows] |= may.any(axis=1)
-        else:
-            close = (mark[a + at] == mark[b]).sum(axis=1) >= bound
-            out[a[close] + at] = True
-    return out
+        close = (mark[a + at] == mark[b]).sum(axis=1) >= bound
+        out.append((a[close] + at, b[close]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def links_across(lines: list[tuple[int, int, str]], mixed: bool, least: float = JACCARD) -> list[tuple[int, int]]:
-    """``(root, part, text)`` of one band -> links between the roots of similar lines.
+def links_across(root: np.ndarray, part: np.ndarray, mark: np.ndarray, texts: pa.Array, mixed: bool, least: float = JACCARD) -> list[tuple[int, int]]:
+    """Links between the roots of a band's similar lines (``mixed``: of different parts).
 
-    ``mixed``: only pairs of different parts. A link joins its lines' components at once, so that no
-    other pair of these is compared.
+    A link joins its lines' components at once, so that no other pair of these is compared.
     """
-    up = {root: root for root, _, _ in lines}
+    a, b = close_pairs(root, part, mark, mixed, least)
+    if not len(a):
+        return []
+    up = {x: x for x in root.tolist()}
 
     def top(x: int) -> int:
         while up[x] != x:
@@ -343,15 +331,12 @@ def links_across(lines: list[tuple[int, int, str]], mixed: bool, least: float =
             x = up[x]
         return x
 
-    sets = [(root, part, shingles(text)) for root, part, text in lines]
+    sets = {k: shingles(texts[k].as_py()) for k in set(a.tolist()) | set(b.tolist())}
     out = []
-    for k, (r, p, x) in enumerate(sets):
-        for s, q, y in sets[:k]:
-            if mixed and p == q or top(r) == top(s):
-                continue
-            if min(len(x), len(y)) >= least * max(len(x), len(y)) and _jaccard(x, y) >= least:
-                out.append((r, s))
-                up[top(r)] = top(s)
+    for i, j, r, s in zip(a.tolist(), b.tolist(), root[a].tolist(), root[b].tolist()):
+        if top(r) != top(s) and _jaccard(sets[i], sets[j]) >= least:
+            out.append((r, s))
+            up[top(r)] = top(s)
     return out
 
 
@@ -368,7 +353,7 @@ def line_components(docs: DataFrame, lines: DataFrame, least: float = JACCARD) -
     texts = stage(texts_of(docs, members.select("h").distinct()), "texts")
     pairs = members.where("h <> pivot").select(F.col("pivot").alias("src"), F.col("h").alias("dst")).distinct()
     roots = stage(connected_components(verified(pairs, texts, least)), "components")
-    more = stage(_open_links(members, roots, texts, least), "links")
+    more = _open_links(members, roots, texts, least)
     unstage(members, texts)
     if is_empty(more):
         return roots
@@ -382,48 +367,35 @@ def line_components(docs: DataFrame, lines: DataFrame, least: float = JACCARD) -
 def _open_links(members: DataFrame, roots: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links inside bands between the roots of components that the pivots have not joined."""
 
-    def lists(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
-        column = b.column(b.schema.get_field_index(name))
-        return column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten()
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ends, rows = lists(b, "rows")
-            h, root, part, size = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            mark = np.frombuffer(b"".join(rows.field(4).to_pylist()), np.uint8).reshape(-1, MINIMA)
-            mixed = b.column(0).to_numpy() != b.column(1).to_numpy()
-            stays = np.zeros(len(h), bool)
-            for k, (lo, hi) in enumerate(zip(ends, ends[1:])):
-                stays[lo:hi] = with_partners(root[lo:hi], part[lo:hi], size[lo:hi], mark[lo:hi], mixed[k], least)
-            at = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[stays]
-            own = [c.take(pa.array(at)) for c in b.columns[:3]]
-            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c[stays]) for c in (h, root, part)]], ["i", "j", "key", "h", "root", "part"])
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ends = b.column(1).offsets.to_numpy() - b.column(1).offsets[0].as_py()
+            rows = b.column(1).flatten()
+            root, part = (rows.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            mark = np.frombuffer(b"".join(rows.field(2).to_pylist()), np.uint8).reshape(-1, MINIMA)
             found = []
-            for mixed, rows in zip(b.column(0).to_pylist(), b.column(1)):
-                found += links_across([(r["root"], r["part"], r["text"]) for r in rows.as_py()], mixed, least)
+            for mixed, lo, hi in zip(b.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):
+                found += links_across(root[lo:hi], part[lo:hi], mark[lo:hi], rows.field(3)[lo:hi], mixed, least)
             pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
     of_line = members.select("key", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
     count = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2 and n > 1").select("key", "n")
     # of two lines one is the pivot, and they have been compared
-    placed = of_line.join(count(of_line).where("n > 2"), "key").join(texts.select("h", "size", "marks"), "h")
+    placed = of_line.join(count(of_line).where("n > 2"), "key").join(texts, "h")
     cuts = F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(CUTS - 1))).otherwise(F.array(F.lit(-1)))
     cut = F.when(F.col("cut") < 0, F.col("key")).otherwise(F.xxhash64("key", "cut", F.substring("marks", 3 * F.col("cut") + 1, F.lit(3))))
-    placed = stage(placed.withColumn("cut", F.explode(cuts)).select(cut.alias("key"), "h", "root", "size", "marks"), "placed")
+    placed = stage(placed.withColumn("cut", F.explode(cuts)).select(cut.alias("key"), "h", "root", "marks", "text"), "placed")
     part = F.pmod(F.xxhash64("h", F.lit(3)), F.col("parts")).cast("int")
     sizes = count(placed).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     rows = placed.join(sizes, "key").withColumn("part", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "key", F.struct("h", "root", "part", "size", "marks").alias("row"))
     tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * members.sparkSession.sparkContext.defaultParallelism)
     # by number, as few bytes can be much work: a partition's size says little here
-    groups = lambda rows: rows.repartition(tasks, "i", "j", "key").groupBy("i", "j", "key").agg(F.collect_list("row").alias("rows"))
-    close = stage(groups(rows).mapInArrow(near, "i int, j int, key long, h long, root long, part int"), "close")
-    close = close.join(texts.select("h", "text"), "h").select("i", "j", "key", F.struct("root", "part", "text").alias("row"))
-    return groups(close).select((F.col("i") != F.col("j")).alias("mixed"), "rows").mapInArrow(alike, "src long, dst long").distinct()
+    rows = rows.select(F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "key", F.struct("root", "part", "marks", "text").alias("row")).repartition(tasks, "i", "j", "key")
+    groups = rows.groupBy("i", "j", "key").agg(F.collect_list("row").alias("rows"))
+    found = stage(groups.select((F.col("i") != F.col("j")).alias("mixed"), "rows").mapInArrow(run, "src long, dst long").distinct(), "links")
+    unstage(placed)
+    return found
 
 
 def dropped_lines(docs: DataFrame, least: float = JACCARD, short_lines: bool = False) -> DataFrame:
@@ -434,18 +406,17 @@ def dropped_lines(docs: DataFrame, least: float = JACCARD, short_lines: bool = F
     """
     lines = stage(line_table(docs, short_lines), "lines")
     roots = line_components(docs, lines, least)
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "line_no")
     # a hash that stands for two different lines is told by the second hash: only equals of the smaller count
-    firsts = lines.groupBy("h").agg(F.min("check").alias("check"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    named = lines.groupBy("h").agg(F.min("check").alias("check"), F.count(F.lit(1)).alias("n"))
     if roots is None:
-        named = firsts.withColumn("root", F.col("h")).where("n > 1")
+        named = named.where("n > 1").withColumn("root", F.col("h"))
     else:
-        named = firsts.join(roots.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "h"))
-    named = stage(named.select("h", "check", "first", "root"), "named")
-    keep = named.groupBy("root").agg(F.min("first").alias("keep"))
-    of_line = named.join(keep, "root").select("h", "check", "keep")
-    gone = lines.join(of_line, ["h", "check"]).where(~place.eqNullSafe(F.col("keep")))
-    return gone.groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
+        named = named.join(roots.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "h"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "line_no")
+    alike = stage(lines.join(named.select("h", "check", "root"), ["h", "check"]).select("root", place.alias("place")), "alike")
+    unstage(lines)
+    gone = alike.join(alike.groupBy("root").agg(F.min("place").alias("keep")), "root").where(F.col("place") != F.col("keep"))
+    return gone.groupBy(F.col("place.row").alias("row")).agg(F.array_sort(F.collect_set("place.line_no")).alias("drop"))
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, least: float, short_lines: bool) -> tuple[DataFrame, str, Column, Column]:
