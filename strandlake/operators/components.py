@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         nxt = stage(live.join(left, "src").join(right, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges")
         unstage(live, *([hooks] if mapping is not None else []))
         live, mapping = nxt, moved
+    unstage(live)
     loops = done.distinct().select("node", F.col("node").alias("root"))
     if mapping is None:
         return loops
@@ -43,13 +44,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _root_of_each(live: DataFrame) -> DataFrame:
-    """Hook every node to its smallest neighbour if that is smaller, then jump to the roots."""
+    """Hook every node to its smallest neighbour if that is smaller, then jump to the roots, two jumps a round."""
     both = live.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(live.select(F.col("dst").alias("node"), F.col("src").alias("other")))
     tree = stage(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "hooks")
     while True:
         up = tree.select(F.col("node").alias("at"), F.col("root").alias("to"))
-        jumped = stage(tree.join(up, tree.root == up["at"]).select("node", F.col("to").alias("root"), (F.col("to") != F.col("root")).alias("moved")), "hooks")
+        further = tree.select(F.col("node").alias("then"), F.col("root").alias("end"))
+        jumped = tree.join(up, tree.root == up["at"]).join(further, F.col("to") == F.col("then")).select("node", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved"))
+        nxt = stage(jumped, "hooks")
         unstage(tree)
-        tree = jumped.select("node", "root")
-        if is_empty(jumped.where("moved")):
+        tree = nxt.select("node", "root")
+        if is_empty(nxt.where("moved")):
             return tree

@@ -62,7 +62,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def is_empty(df: DataFrame) -> bool:
-    return df.limit(1).count() == 0
+    return df.isEmpty()
 
 
 def columns_apart(df: DataFrame, *wanted: str) -> DataFrame:
