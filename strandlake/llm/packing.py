@@ -23,7 +23,7 @@ from .common import stage
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; beyond it starts anew, which changes speed only.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 200_000
 END = b"\0\0\0\0"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
