@@ -7,31 +7,38 @@ keyed digest of b modulo m1, then to b one of a modulo m2, and so on. So a pseud
 in the same format, equal values have equal pseudonyms in all documents, and different values
 of a format never share one. What has no such domain (addresses, keys and passwords) gets a
 keyed digest in its place.
+
+All repeated groups of the pattern are bounded, as Java matches such groups by recursion: a text
+of any length and content is read without a deep stack.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns_apart
 
 ROUNDS = 8
-KEY = "strandlake-demo-key"
+#: The setting that names the secret key.
+KEY_SETTING = "spark.strandlake.pseudonym.key"
+#: Only for sessions on one machine that set no key, such as tests.
+DEMO_KEY = "strandlake-demo-key"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: The forms that are looked for, in order of preference where several begin at one place.
 FORMS = {
     "secret": r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\b\s*[=:]\s*(?:\"[^\"\s]+\"|'[^'\s]+'|[^\s\"']+)",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,20}[A-Za-z]{2,63}",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "iso_date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "dot_date": r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}(?!\.?[0-9])",
     "slash_date": r"(?<![0-9/])[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}(?![0-9/])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+(])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])|\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
 }
 PATTERN = "|".join(FORMS.values())
 #: A cheap sign that a text has anything to look for.
@@ -106,6 +113,37 @@ def _card(m: Column, key: str) -> Column:
     return _let(_digits(m), body)
 
 
+def _mod97(letters_and_digits: Column) -> Column:
+    """The remainder by 97 of a text whose letters stand for 10 to 35."""
+    value = lambda c: F.when(c < "A", c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(letters_and_digits, ""), F.lit(0), lambda s, c: (s * F.when(c < "A", 10).otherwise(100) + value(c)) % 97)
+
+
+def _iban(m: Column, key: str) -> Column:
+    """Country and letters kept, the account's digits permuted, the check digits made anew."""
+
+    def body(x: Column) -> Column:
+        country, account = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.char_length(x))
+        digits = _digits(account)
+        filled = _refill(account, permute_digits(digits, key, F.concat_ws("/", F.lit("iban"), country)))
+
+        def whole(a: Column) -> Column:
+            check = F.lpad((98 - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0")
+            return _respace(m, F.concat(country, check, a))
+
+        valid = (_mod97(F.concat(account, F.substring(x, 1, 4))) == 1) & F.char_length(digits).between(2, 30)
+        return F.when(valid, _let(filled, whole)).otherwise(m)
+
+    return _let(F.replace(m, F.lit(" "), F.lit("")), body)
+
+
+def _respace(form: Column, text: Column) -> Column:
+    """The characters of ``text`` with spaces where ``form`` has them."""
+    places = F.sequence(F.lit(1), F.char_length(form))
+    at = lambda i: F.char_length(F.replace(F.substring(form, F.lit(1), i), F.lit(" "), F.lit("")))
+    return F.array_join(F.transform(places, lambda i: F.when(F.substring(form, i, F.lit(1)) == " ", " ").otherwise(F.substring(text, at(i), F.lit(1)))), "")
+
+
 def _phone(m: Column, key: str) -> Column:
     """North American numbers keep +1 and valid area and exchange codes; others their first two digits."""
     national = m.rlike(r"^(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}$")
@@ -149,13 +187,38 @@ def _date(m: Column, key: str, style: str) -> Column:
     after = (F.dayofyear(F.make_date(year, F.lit(12), F.lit(31))) == 366) & (F.month(real) > 2)
     day = F.dayofyear(real) - 1 - after.cast("int")
     common = feistel(year - 1900, day, F.lit(200), F.lit(365), key, F.lit("date"))
-    leaps = feistel(F.floor((year - 1904) / 4), F.lit(0), F.lit(49), F.lit(1), key, F.lit("leap"))
+    leaps = _leap_years(year, key, F.lit("leap"))
     # the month and day that a day of a common year has
     shape = lambda s: F.make_date((s["a"] + 1900).cast("int"), F.month(d := F.date_add(F.lit("2001-01-01").cast("date"), s["b"].cast("int"))), F.dayofmonth(d))
-    new = F.when(leap, _let(leaps, lambda s: F.make_date((s["a"] * 4 + 1904).cast("int"), F.lit(2), F.lit(29)))).otherwise(_let(common, shape))
+    new = F.when(leap, _let(leaps, lambda y: F.make_date(y, F.lit(2), F.lit(29)))).otherwise(_let(common, shape))
     return F.when(real.isNull(), m).otherwise(F.date_format(new, style))
 
 
+def _leap_years(year: Column, key: str, domain: Column) -> Column:
+    """A permutation of the 49 leap years from 1904 to 2096, as Z_7 x Z_7."""
+    k = F.floor((year - 1904) / 4)
+    return _let(feistel(F.floor(k / 7), k % 7, F.lit(7), F.lit(7), key, domain), lambda s: ((s["a"] * 7 + s["b"]) * 4 + 1904).cast("int"))
+
+
+#: Days after the twelfth of a common year's months, added up: what no month-first date can name.
+_LATE_DAYS = (0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202)
+
+
+def _slash_date(m: Column, key: str) -> Column:
+    """Month first where that is a date; else day first, and then its day is above 12 and stays so."""
+    late = F.when(F.substring(m, 1, 2).cast("int") > 12, F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).cast("date"))
+    year, month, day = F.year(late), F.month(late), F.dayofmonth(late)
+    before = F.array(*[F.lit(x) for x in _LATE_DAYS])
+    common = feistel(year - 1900, F.element_at(before, month) + day - 13, F.lit(200), F.lit(221), key, F.lit("late date"))
+
+    def shape(s: Column) -> Column:
+        at = F.size(F.filter(before, lambda b: b <= s["b"]))
+        return F.format_string("%02d/%02d/%04d", s["b"] - F.element_at(before, at) + 13, at, s["a"] + 1900)
+
+    leap = _let(_leap_years(year, key, F.lit("late leap")), lambda y: F.format_string("29/02/%04d", y))
+    return F.when(late.isNull(), _date(m, key, "MM/dd/yyyy")).when((month == 2) & (day == 29), leap).otherwise(_let(common, shape))
+
+
 def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(key + "|email|"), F.lower(m)), 256), 1, 14), F.lit("@pseudonym.invalid"))
 
@@ -175,8 +238,8 @@ def _access_key(m: Column, key: str) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """What stands for one match of ``PATTERN``; itself if it isn't valid in its form."""
     whole = lambda name: m.rlike(f"^(?:{FORMS[name]})$")
-    styles = {"iso_date": "yyyy-MM-dd", "dot_date": "dd.MM.yyyy", "slash_date": "MM/dd/yyyy"}
-    maps = {"secret": _secret, "key": _access_key, "email": _email, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+    styles = {"iso_date": "yyyy-MM-dd", "dot_date": "dd.MM.yyyy"}
+    maps = {"secret": _secret, "key": _access_key, "email": _email, "ip": _ip, "slash_date": _slash_date, "ssn": _ssn, "phone": _phone, "iban": _iban, "card": _card}
     out = None
     for name in FORMS:
         new = _date(m, key, styles[name]) if name in styles else maps[name](m, key)
@@ -184,12 +247,22 @@ def pseudonym(m: Column, key: str) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The session's key. On a cluster a missing one is an error, as anybody can undo a key that is known."""
+    found = spark.sparkContext.getConf().get(KEY_SETTING) or spark.conf.get(KEY_SETTING, None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{KEY_SETTING} is not set")
+    return found or DEMO_KEY
+
+
+def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """``(doc_id, text, n_found, n_changed)`` per input row; a null text stays null with zeros.
 
-    Nothing is shuffled: equal values are linked by the key alone. Rows are kept as they come,
-    repeated and null ids too.
+    Nothing is shuffled: equal values are linked by the key alone, which is the session's unless one
+    is given. Rows are kept as they come, repeated and null ids too, and an empty table gives an
+    empty result.
     """
+    key = key or key_of(docs.sparkSession)
     rows = columns_apart(docs, id_col, text_col).toDF("doc_id", "text")
     text = F.col("text")
     found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1))).otherwise(F.array().cast("array<string>"))

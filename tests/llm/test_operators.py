@@ -444,6 +444,45 @@ def test_pseudonyms(spark):
     assert re.search(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", out)
 
 
+def test_pseudonyms_of_more_forms(spark):
+    text = "born 31/12/1984 and 29/02/2012, card 3782 822463 10005, to DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819, not DE88 3704 0044 0532 0130 00"
+    out = pseudonyms.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    got = out["text"]
+    assert out["n_found"] == 6 and out["n_changed"] == 5 and got.endswith("not DE88 3704 0044 0532 0130 00")
+    day, month, _ = re.search(r"born (\d\d)/(\d\d)/(\d{4})", got).groups()
+    assert int(day) > 12 and 1 <= int(month) <= 12 and re.search(r"and 29/02/(\d{4})", got) and "29/02/2012" not in got
+    card = re.search(r"card (\d{4} \d{6} \d{5})", got)[1].replace(" ", "")
+    assert sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(card))) % 10 == 0
+    for found in (re.search(r"to (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d)", got)[1], re.search(r"or (GB\d\dNWBK\d{14})", got)[1]):
+        x = found.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert "0440532" not in got and "60161331926819" not in got
+
+
+def test_dates_are_permuted_within_their_form(spark):
+    leap = spark.createDataFrame([(f"29/02/{y}",) for y in range(1904, 2097, 4)] + [(f"{y}-02-29",) for y in range(1904, 2097, 4)], "t string")
+    out = [r["p"] for r in leap.select(pseudonyms.pseudonym(F.col("t"), "k").alias("p")).collect()]
+    assert len(set(out)) == 98 and all("29/02" in x for x in out[:49]) and all("-02-29" in x for x in out[49:])
+    moved = {(int(x[:4]) - y) % 196 for x, y in zip(out[49:], range(1904, 2097, 4))}
+    assert len(moved) > 10  # no fixed shift
+    late = spark.sql("SELECT explode(sequence(date'2023-01-01', date'2023-12-31')) AS d").where("day(d) > 12").select(F.date_format("d", "dd/MM/yyyy").alias("t"))
+    out = [r["p"] for r in late.select(pseudonyms.pseudonym(F.col("t"), "k").alias("p")).collect()]
+    assert len(set(out)) == 221 and all(int(x[:2]) > 12 and pd.Timestamp(int(x[6:]), int(x[3:5]), int(x[:2])) for x in out)
+
+
+def test_long_and_hostile_texts_are_read(spark):
+    rows = [("a@" + "a." * 500_000,), ("1-1-1-" * 200_000,), ("+1 1 1 " * 150_000,), ("password=" * 100_000,), ("1.1.1." * 150_000,), ("AB12 " * 200_000,), ("x@b" + ".b" * 300_000 + " jo@do.org",), ("4111 " * 200_000,), ("(212) " * 150_000,), ("key:'" * 150_000,)]
+    got = pseudonyms.pseudonymise(spark.createDataFrame([(k, t) for k, (t,) in enumerate(rows)], "doc_id long, text string")).select("doc_id", F.right("text", F.lit(30)).alias("t")).collect()
+    assert len(got) == len(rows) and not any("jo@do.org" in r["t"] for r in got)
+    assert pseudonyms.pseudonymise(spark.createDataFrame([], "doc_id long, text string, found int")).count() == 0
+
+
+def test_the_key_decides(spark):
+    df = spark.createDataFrame([(1, "jo@do.org 4111 1111 1111 1111", 1, 2)], "doc_id long, text string, found int, new int")
+    one, two, again = (pseudonyms.pseudonymise(df, key=k).first()["text"] for k in ("a", "b", "a"))
+    assert one == again != two
+
+
 def test_feistel_is_a_permutation(spark):
     rows = spark.range(24).select(F.col("id").alias("x"))
     s = pseudonyms.feistel(F.floor(F.col("x") / 6), F.col("x") % 6, F.lit(4), F.lit(6), "k", F.lit("t"))
