@@ -415,7 +415,9 @@ def dropped_lines(docs: DataFrame, least: float = JACCARD, short_lines: bool = F
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "line_no")
     alike = stage(lines.join(named.select("h", "check", "root"), ["h", "check"]).select("root", place.alias("place")), "alike")
     unstage(lines)
-    gone = alike.join(alike.groupBy("root").agg(F.min("place").alias("keep")), "root").where(F.col("place") != F.col("keep"))
+    # written, so that the join reads two shuffles and a component with many lines can be split
+    keep = stage(alike.groupBy("root").agg(F.min("place").alias("keep")), "keep")
+    gone = alike.join(keep, "root").where(F.col("place") != F.col("keep"))
     return gone.groupBy(F.col("place.row").alias("row")).agg(F.array_sort(F.collect_set("place.line_no")).alias("drop"))
 
 
