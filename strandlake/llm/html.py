@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -40,19 +42,30 @@ NO_ARTICLE = frozenset(
     " object embed svg canvas audio video menu dialog noembed noframes xmp".split()
 )
 CONTENT = frozenset(("article", "main"))
-#: Words in class, id or role that mark what is no article.
+#: Words that mark what is no article. A name in class, id or role says so if all its parts are such words
+#: or ``_NEUTRAL`` ones, with one of the former at least: "cookie-notice" and "site-footer" do, "share-price",
+#: "notice-board-history" and "with-sidebar" don't.
 _BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising advertorial adsense banner promo promoted promotion sponsor sponsored sponsors"
     " nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside complementary contentinfo"
     " comment comments disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter"
     " subscribe subscription signup login share sharing social related recommended widget search pagination pager toolbar copyright".split()
 )
+_NEUTRAL = frozenset(
+    "all area article articles bar block blocks bottom box btn button buttons col column container content count each first floating form global"
+    " group holder icon icons inner item items last layer left link links list lists main message messages outer page panel post posts primary"
+    " right row secondary section sections site slot slots small social sticky stories strip text thread title top unit units user widget widgets wrap wrapper".split()
+)
+#: Elements deeper than this become their parent's siblings, as in browsers; it bounds every walk up.
+DEEPEST = 512
 #: An opening tag of the key ends an open element of these kinds.
 _P_ENDERS = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead"), "option": ("option",), "body": ("head",)}
 _SCOPES = frozenset("table ul ol dl select body html article main section div".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_ATTRS = re.compile(r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*")
+_ENDS = {"<!--": "-->", "<![CDATA[": "]]>", "<!": ">", "<?": ">"}
 _MARK = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -70,6 +83,12 @@ class Node:
         self.tag, self.off, self.parts = tag, off, []
 
 
+@lru_cache(1 << 14)
+def _says_no_article(name: str) -> bool:
+    parts = _NAME.findall(name)
+    return not _BOILERPLATE.isdisjoint(parts) and all(x in _BOILERPLATE or x in _NEUTRAL for x in parts)
+
+
 def _is_off(tag: str, attrs: str) -> bool:
     """Whether an element is no article by its own tag or attributes."""
     if tag in NO_ARTICLE:
@@ -79,7 +98,7 @@ def _is_off(tag: str, attrs: str) -> bool:
     for name, value in _MARK.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            if any(not _BOILERPLATE.isdisjoint(_NAME.findall(word)) for word in value.split()):
+            if any(map(_says_no_article, value.split())):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
             return True
@@ -87,61 +106,75 @@ def _is_off(tag: str, attrs: str) -> bool:
 
 
 def parse(page: str) -> Node:
-    """A tree from tag soup: omitted end tags are filled in, stray ones skipped."""
+    """A tree from tag soup: omitted end tags are filled in, stray ones skipped. Takes time in proportion to the page.
+
+    A tag ends at the first ">" outside quotes. Once a page has shown a quote that isn't closed, quotes
+    in its later tags count for nothing.
+    """
     root = Node("html")
-    stack = [root]
-    at, raw_until = 0, None
-    n = len(page)
-    while at < n:
-        if raw_until is not None:
-            found = _RAW_ENDS[raw_until].search(page, at)
-            stack[-1].parts.append(page[at : found.start() if found else n])
-            stack.pop()
-            at, raw_until = found.end() if found else n, None
-            continue
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else n]
+    stack, open_ = [root], Counter()
+    at, last, quotes = 0, page.rfind(">"), True
+
+    def shut(i: int) -> None:
+        open_.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
+    def say(text: str) -> None:
         if text:
             stack[-1].parts.append(entities.unescape(text) if "&" in text else text)
-        if not m:
-            break
+
+    while m := _START.search(page, at):
+        say(page[at : m.start()])
         at = m.end()
         if not m[2]:
+            end = page.find(_ENDS[m[0]], at)
+            at = len(page) if end < 0 else end + len(_ENDS[m[0]])
+            continue
+        if at > last:  # nothing ends the tag: it is text
+            say(m[0])
             continue
+        end = _ATTRS.match(page, at).end() if quotes else page.find(">", at)
+        if page[end : end + 1] != ">":
+            quotes, end = False, page.find(">", at)
+        attrs, at = page[m.end() : end], end + 1
         tag = m[2].lower()
         if m[1]:
-            _close(stack, tag)
+            if open_[tag] > 0:
+                _close(stack, tag, shut)
             continue
         if tag == "html":
             continue
-        if tag in _P_ENDERS:
-            _end(stack, ("p",))
+        if tag in _P_ENDERS and open_["p"] > 0:
+            _end(stack, ("p",), shut)
         if tag in _SIBLINGS:
-            _end(stack, _SIBLINGS[tag])
-        node = Node(tag, _is_off(tag, m[3]))
+            _end(stack, _SIBLINGS[tag], shut)
+        node = Node(tag, _is_off(tag, attrs))
         stack[-1].parts.append(node)
         if tag in RAW:
+            found = _RAW_ENDS[tag].search(page, at)
+            node.parts.append(page[at : found.start() if found else len(page)])
+            at = found.end() if found else len(page)
+        elif tag not in VOID and not attrs.endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
-            raw_until = tag
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            open_[tag] += 1
+    say(page[at:])
     return root
 
 
-def _end(stack: list[Node], tags: tuple[str, ...]) -> None:
+def _end(stack: list[Node], tags: tuple[str, ...], shut) -> None:
     """Close the innermost open element of these kinds, unless a wider one stands between."""
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
-            del stack[i:]
+            shut(i)
             return
         if stack[i].tag in _SCOPES:
             return
 
 
-def _close(stack: list[Node], tag: str) -> None:
+def _close(stack: list[Node], tag: str, shut) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == tag:
-            del stack[i:]
+            shut(i)
             return
         if stack[i].tag in CONTENT and tag not in BLOCKS:
             return
@@ -157,16 +190,19 @@ def candidates(root: Node) -> dict[int, tuple[int, int | None, int | None]]:
     """
     holds: set[int] = set()
     order: list[tuple[Node, Node | None, int]] = []
-    todo: list = [(root, (), None)]
+    todo: list = [(root, None, None)]
+    above: dict[int, int | None] = {}
     while todo:
-        node, above, inside = todo.pop()
+        node, parent, inside = todo.pop()
+        above[id(node)] = parent
         order.append((node, inside, len(order)))
         if node.tag in CONTENT and not node.off:
-            holds.update(above)
+            while parent is not None and parent not in holds:
+                holds.add(parent)
+                parent = above[parent]
             if inside is None or inside.tag == "main" and node.tag == "article":
                 inside = node
-        inner = (*above, id(node))
-        todo += [(p, inner, inside) for p in reversed(node.parts) if isinstance(p, Node)]
+        todo += [(p, id(node), inside) for p in reversed(node.parts) if isinstance(p, Node)]
     hashes: dict[int, int] = {}
     ends: dict[int, int] = {}
     leaf: list[int | None] = [None] * len(order)
@@ -211,8 +247,15 @@ def _least(values: list[int | None]) -> list[int | None]:
 
 
 def blocks_of(root: Node, trees: dict[int, tuple]) -> list[tuple[str, list[int]]]:
-    """The blocks that markup leaves, each with single spaces, and the hashes of the ``trees`` around it."""
+    """The blocks that markup leaves, each with single spaces, and the hashes of the ``trees`` around it.
+
+    Where classes would leave nothing of a page, its tags alone decide.
+    """
     content = _content_roots(root)
+    return _blocks(content, trees, False) or _blocks(content, trees, True)
+
+
+def _blocks(content: list[Node], trees: dict[int, tuple], tags_only: bool) -> list[tuple[str, list[int]]]:
     blocks: list[tuple[str, list[int]]] = []
     line: list[str] = []
     around: list[int] = []
@@ -232,7 +275,7 @@ def blocks_of(root: Node, trees: dict[int, tuple]) -> list[tuple[str, list[int]]
                 flush()
                 if part[0]:
                     around.pop()
-            elif part.off and part not in content:
+            elif part.off and part not in content and (not tags_only or part.tag in NO_ARTICLE):
                 if part.tag in BLOCKS:
                     flush()
             elif part.tag == "br":

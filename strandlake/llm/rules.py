@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import columns_apart
 
-#: The largest share of a text's word characters that may lie in n-grams which
+#: Chosen here: the largest share of a text's word characters that may lie in n-grams which
 #: repeat an earlier one, by n, and in lines that repeat an earlier one; symbols a word.
 NGRAM_SHARES = {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25}
 LINE_SHARE = 0.30

@@ -30,7 +30,7 @@ LEXICON_SIZE = 3_000
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 
-#: Common insults, and words that address somebody.
+#: Common insults, and words that address somebody: chosen here, and added to by what labelled rows show.
 INSULTS = frozenset(
     "asshole bastard bitch clown coward creep cretin crap cunt damn dirtbag disgusting dumb dumbass fag faggot filth fool freak fuck fucking garbage"
     " hate hideous idiot idiotic imbecile jerk kill loser lunatic maggot moron moronic nasty nazi parasite pathetic pig prick psycho retard retarded"

@@ -362,6 +362,58 @@ def test_main_text():
     assert html.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_class_words_empty_no_article():
+    assert html.main_text('<body><div class="layout with-sidebar"><h1>T</h1><p>Story text</p></div></body>') == "T\n\nStory text"
+    assert html.main_text('<p class="share-price">Up</p><div class="notice-board-history">Old</div><div class="entry-header"><h1>Title</h1></div>') == "Up\n\nOld\n\nTitle"
+    assert html.main_text('<div class="sidebar-wrapper"><p>All of the page</p><footer>End</footer></div>') == "All of the page"
+    off = ("cookie-notice", "site-footer", "comments", "related-posts", "ad", "newsletter_signup", "social-share", "main-nav", "comment-list")
+    assert html.main_text("<p>Text</p>" + "".join(f'<div class="{c}">No</div>' for c in off)) == "Text"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    n = 60_000
+    for page in ("<a " * n, '<a b="' * n + ">", "<div>" * n + "</b>" * n, "<p>" * n, "<!--" * n, "<![CDATA[" * n, "<b><article>" + "<div>" * n + "</b>" * n, "<script>" * n, "<ul><li>" * n, "&" * n, "<a class='" * n + ">x"):
+        html.candidates(root := html.parse(page))
+        html.blocks_of(root, {})
+    assert time.time() - began < 30
+    assert html.main_text("1 <a 2") == "1 <a 2" and html.main_text('<p title="x>1</p><p>2</p>') == "1\n\n2"
+
+
+def test_main_texts_against_a_plain_count(spark, sf):
+    """The templates counted page by page in plain dictionaries, on all pages and on a site with boxes."""
+    made = [(10_000 + k, f"http://box.org/{k}", f"<main><article><p>Own {k} text</p><div><p>Join our list</p></div><p>More {k}</p></article></main><div>Part {k % 3}</div>", "x") for k in range(9)]
+    odd = [(20_001, None, None, "x"), (20_002, "http://box.org/", "", "x"), (None, "http://box.org/1", made[1][2], "x"), (10_001, "http://box.org/1", made[1][2], "x")]
+    given = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html", F.lit("y").alias("host"))
+    pages = given.unionByName(spark.createDataFrame(made + odd, given.schema))
+    rows = pages.collect()
+    places, surroundings, on = {}, {}, collections.Counter()
+    trees = {}
+    for r in rows:
+        host = (re.match("[a-z]+://([^/]*)", r["url"] or "") or [None, ""])[1]
+        page = r["html"] or ""
+        found = trees[host, page] = html.candidates(html.parse(page))
+        for t, article, beside in found.values():
+            places.setdefault((host, t, article is None, page if article is None else article), set()).add(beside)
+    for (host, t, free, _), beside in places.items():
+        surroundings.setdefault((host, t, free), []).append(None if free else min(beside))
+    for (host, t, free), sides in surroundings.items():
+        on[host, t] += len(sides) if free else len(set(sides)) * (len(set(sides)) >= html.UNLIKE * len(sides))
+    want = []
+    for r in rows:
+        host = (re.match("[a-z]+://([^/]*)", r["url"] or "") or [None, ""])[1]
+        gone = frozenset(t for (h, t), n in on.items() if h == host and n >= html.LEAST_PAGES)
+        want.append((str(r["page_id"]), html.main_text(r["html"] or "", gone)))
+    out = html.extract(pages)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    got = [(str(r["page_id"]), r["text"]) for r in out.collect()]
+    assert sorted(got) == sorted(want)
+    assert ("10004", "Own 4 text\n\nMore 4") in got and ("20001", "") in got
+    assert html.extract(pages.where("false")).count() == 0
+
+
 def test_templates_go_and_paragraphs_stay(spark):
     body = lambda k: f"<div><p>Welcome to our site</p></div><div><p>Story {k} is told</p></div>"
     rows = [(k, f"http://a.org/{k}", body(k), "t") for k in range(20)] + [(100 + k, "http://a.org/same", body(3), "t") for k in range(30)]
