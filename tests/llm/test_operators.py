@@ -469,6 +469,47 @@ def test_ann(spark, sf):
     assert ann.search(every.where("false"), lambda i: i % 20 == 0).count() == 0
 
 
+def recall_of(got, ids, x, k=20):
+    hit = n = 0
+    for i in got.query_id.unique():
+        score = x @ x[np.searchsorted(ids, i)]
+        score[np.searchsorted(ids, i)] = -np.inf
+        top = np.lexsort((ids, -score))[:k]
+        hit, n = hit + len(set(ids[top]) & set(got[got.query_id == i].vec_id)), n + len(top)
+    return hit / n
+
+
+def test_ann_recall_at_a_larger_size(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.search(vectors, lambda i: i % 20 == 0, 20).toPandas()
+    t = vectors.toPandas().sort_values("vec_id")
+    assert recall_of(got, t.vec_id.to_numpy(), np.stack(t.embedding).astype(float)) >= 0.93
+
+
+@pytest.mark.parametrize("size", [1e8, 1e160, 1e200])
+def test_ann_with_a_few_large_vectors(spark, size):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 16))
+    x[[7, 40, 300]] *= size
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, list int")
+    got = ann.search(df, lambda i: i % 20 == 0, 10, lists=20).toPandas()
+    assert len(got) == 300 and recall_of(got, np.arange(600), x, 10) >= 0.9
+    large = got[got.query_id == 20].vec_id.tolist()
+    assert {k for k in (7, 40, 300) if x[k] @ x[20] > 0} <= set(large)
+
+
+def test_few_probes_where_vectors_lie_in_groups(spark):
+    rng = np.random.default_rng(9)
+    centres = 10 * rng.standard_normal((40, 12))
+    x = centres[rng.integers(0, 40, 1500)] + rng.standard_normal((1500, 12))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.Index(x, float(ann.norms(x).max()) * 1.001, 40)
+    listed = spark.createDataFrame([(k, v.tolist(), int(m)) for k, (v, m) in enumerate(zip(x, index.lists_of(x)))], "id long, v array<double>, list int")
+    assert ann.enough_probes(listed, [(k, x[k].tolist()) for k in range(0, 1500, 30)], index, 10) < 15
+    got = ann.search(df, lambda i: i % 20 == 0, 10).toPandas()
+    assert recall_of(got, np.arange(1500), x, 10) >= 0.9
+
+
 def test_ann_ties_and_few(spark):
     rows = [(i, [1.0, 0.0]) for i in range(30)] + [(40, [0.0, 1.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i == 5, 4).orderBy("rank").collect()
