@@ -194,8 +194,9 @@ def search(vectors: DataFrame, query_if, k: int = 20, probes: int | None = None,
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    norm = largest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest)))
+    largest = F.greatest(F.array_max("v"), -F.array_min("v"))
+    # an array of one, so that the largest part is found once a row
+    norm = F.transform(F.array(largest), lambda m: m * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / m) * (x / m))))[0]
     shapes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("most"), F.percentile_approx(norm, 0.99, 1000).alias("usual"))
     top = shapes.orderBy(F.desc("n"), "dim").limit(1).collect()
     if not top:
