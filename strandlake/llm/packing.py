@@ -262,10 +262,11 @@ def _deal(cut: DataFrame, slots: DataFrame) -> DataFrame:
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1)
-    placed = ranked.join(starts.select("length", "bucket", "base"), ["length", "bucket"]).withColumn("rank", F.col("r") + F.col("base"))
+    # tables of (length, bucket) grow with the input: they are merged with the pieces, which are dealt so already
+    placed = ranked.join(starts.select("length", "bucket", "base").hint("merge"), ["length", "bucket"]).withColumn("rank", F.col("r") + F.col("base"))
     # the slots that meet a bucket's stretch of ranks, in order, as one array a (length, bucket)
     met = starts.join(slots, "length").where("lo < base + n and hi > base")
     held = met.groupBy("length", "bucket").agg(F.sort_array(F.collect_list(F.struct("lo", "k", "at", "first"))).alias("slots"))
     slot = F.element_at(F.filter("slots", lambda s: s["lo"] <= F.col("rank")), -1)
-    out = placed.join(held, ["length", "bucket"]).withColumn("s", slot).withColumn("i", F.col("rank") - F.col("s.lo"))
+    out = placed.join(held.hint("merge"), ["length", "bucket"]).withColumn("s", slot).withColumn("i", F.col("rank") - F.col("s.lo"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("s.first") + F.floor(F.col("i") / F.col("s.k"))).cast("long").alias("sequence_id"), (F.col("s.at") + F.col("i") % F.col("s.k") * F.col("length")).cast("long").alias("offset"))
