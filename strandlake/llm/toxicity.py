@@ -42,6 +42,10 @@ _EDGE = "\"'`.,;:!?()[]{}<>«»„“”‚‘’…-–—/\\|&%#*~_+=^"
 _INSIDE = re.compile(r"(?<=[^\W\d_])[0-9@$!|*#_.+-]+(?=[^\W\d_])")
 _LETTER = re.compile(r"[^\W\d_]")
 
+#: What `look` says of most words, and how many words a task remembers.
+PLAIN = (0.0, False, False)
+MOST_SEEN = 200_000
+
 FEATURES = [
     "log_words", "hits_per_100", "weight_per_100", "top_weight", "distinct_hits", "insults_per_100", "hidden_hits_per_100", "any_hit",
     "hits_near_you_per_100", "you_per_100", "upper_share", "shouted_share", "exclamations_per_100", "questions_per_100", "punctuation_share",
@@ -66,22 +70,40 @@ def weight(word: str, lexicon: dict[str, float]) -> float:
     return found
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
-    """The numbers of ``FEATURES``; all 0 for a text without words."""
+def look(word: str, lexicon: dict[str, float]) -> tuple[float, bool, bool]:
+    """A word's weight, whether something stands between its letters, and whether that hides a lexicon word."""
+    found, odd = weight(word, lexicon), bool(_INSIDE.search(word))
+    hidden = odd and not found and bool(weight(word.translate(_LEET), lexicon) or weight(_INSIDE.sub("", word), lexicon))
+    return (found, odd, hidden) if found or odd else PLAIN
+
+
+def features(text: str, lexicon: dict[str, float], seen: dict[str, tuple[float, bool, bool]] | None = None) -> list[float]:
+    """The numbers of ``FEATURES``; all 0 for a text without words. ``seen`` remembers words for later texts."""
     raw = text.split()
     n = len(raw)
     if not n:
         return [0.0] * len(FEATURES)
-    words = [bare(w) for w in text.lower().split()]
-    counts = Counter(words)
-    weights = {w: found for w in counts if (found := weight(w, lexicon))}
-    hits = sum(counts[w] for w in weights)
-    hidden, odd = 0, 0
+    seen = {} if seen is None else seen
+    low = text.lower().split()
+    counts: dict[str, int] = {}
+    for token, k in Counter(low).items():
+        w = bare(token)
+        counts[w] = counts.get(w, 0) + k
+    weights: dict[str, float] = {}
+    hits, hidden, odd = 0, 0, 0
     for w, k in counts.items():
-        if _INSIDE.search(w):
-            odd += k
-            if w not in weights and (weight(w.translate(_LEET), lexicon) or weight(_INSIDE.sub("", w), lexicon)):
-                hidden += k
+        if (known := seen.get(w)) is None:
+            known = seen[w] = look(w, lexicon)
+        if known is PLAIN:
+            continue
+        if known[0]:
+            weights[w] = known[0]
+            hits += k
+        odd += k * known[1]
+        hidden += k * known[2]
+    if len(seen) > MOST_SEEN:
+        seen.clear()
+    words = list(map(bare, low)) if weights or min(map(len, counts)) <= 1 else []
     near = 0
     if weights and not YOU.isdisjoint(counts):
         you = [i for i, w in enumerate(words) if w in YOU]
@@ -98,7 +120,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     per = 100.0 / n
     return [
         math.log1p(n), hits * per, sum(counts[w] * x for w, x in weights.items()) * per, max(weights.values(), default=0.0), float(min(len(weights), 20)),
-        sum(counts[w] for w in INSULTS & counts.keys()) * per, hidden * per, float(bool(weights) or hidden > 0), near * per, sum(counts[w] for w in YOU & counts.keys()) * per,
+        sum(counts[w] for w in INSULTS.intersection(weights)) * per, hidden * per, float(bool(weights) or hidden > 0), near * per, sum(counts[w] for w in YOU & counts.keys()) * per,
         upper / chars, sum(1 for w in raw if len(w) > 2 and w.isupper()) / n, text.count("!") * per, text.count("?") * per, (chars - letters) / chars,
         odd * per, spelled * per, len(counts) / n, sum(map(text.count, "#*$%&|<>@")) * per, letters / n,
     ]
@@ -110,9 +132,10 @@ def feature_rows(docs: DataFrame, lexicon: dict[str, float], *keep: str) -> Data
     schema = docs.select("id", *keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, seen = shared.value, {}
         for b in batches:
             texts = b.column(1)
-            rows = [features(t.as_py() or "", shared.value) for t in texts]
+            rows = [features(t.as_py() or "", lexicon, seen) for t in texts]
             n = pa.array([round(math.expm1(r[0])) for r in rows], pa.int64())
             others = [b.column(i) for i in range(b.num_columns) if i != 1]
             yield pa.RecordBatch.from_arrays([*others, n, pa.array(rows, pa.list_(pa.float64()))], ["id", *keep, "n_words", "features"])
@@ -143,7 +166,8 @@ def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], rows_a_labe
     picked = wanted.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < chance * 1_000_000)
     most = 2 * rows_a_label * max(1, len(sizes))  # far above what the chances pick; it makes the bound of the broadcast a fact
     found = docs.select("id", "text").join(F.broadcast(picked.limit(most)), "id")
-    return stage(found.where("text is not null").dropDuplicates(["text"]), "labelled")
+    # of equal texts the one with the smallest id is learned from
+    return stage(found.where("text is not null").groupBy("text").agg(F.min_by(F.struct(*[c for c in found.columns if c != "text"]), "id").alias("x")).select("x.id", "text", *[f"x.{c}" for c in columns]), "labelled")
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]:
@@ -193,6 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_a_label: int = ROWS_A_LABEL) ->
     Parts 0 and 1 give lexicon and trees, part 3 the calibration. Without both labels in each,
     every text has the share of toxic rows as its score (0 without any rows).
     """
+    labels = labels.where(F.col("toxic").isin(0, 1))
     rows = labelled(docs, labels, ["toxic"], rows_a_label).withColumn("part", part_of())
     have = {(r["calibrate"], r["toxic"]): r["count"] for r in rows.groupBy((F.col("part") == 3).alias("calibrate"), "toxic").count().collect()}
     if any(not have.get((c, t)) for c in (True, False) for t in (0, 1)):
