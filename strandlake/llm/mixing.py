@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import toxicity
-from .common import columns_apart, stage
+from .common import columns_apart, stage, unused
 
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of the mixture's tokens, and its size: the tokens of the first domain times ANCHOR
@@ -46,6 +46,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, rows_a_label: int = ROWS_A_LA
 
     Domains that no labelled row has get 0; without any labelled row all are clean.
     """
+    labels = labels.where(F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1))
     rows = toxicity.labelled(docs, labels, ["quality", "toxic"], rows_a_label, parts=(0, 1, 2, 3))
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     rows = rows.withColumn("domain", domain)
@@ -145,6 +146,7 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     null id.
     """
     rows = columns_apart(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long"), F.col("text").cast("string"))
-    of_id = rates(rows, labels).groupBy("id").agg(F.max("copies").alias("__copies")).withColumnRenamed("id", "__id")
-    joined = docs.join(of_id, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__n", F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies"))).otherwise(F.array().cast("array<int>")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, copies, n = unused(docs, "id_of"), unused(docs, "copies"), unused(docs, "n")
+    of_id = rates(rows, labels).groupBy("id").agg(F.max("copies").alias(copies)).withColumnRenamed("id", own)
+    joined = docs.join(of_id, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own)))
+    return joined.where(F.col(copies) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_apart, is_empty, stage, union_all
+from .common import columns_apart, is_empty, stage, union_all, unused
 from ..operators.components import connected_components
 
 SEED = 42
@@ -205,11 +205,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     cols = docs.columns
     text = F.col(f"`{text_col}`").cast("string")
-    key = {"__id": F.col(f"`{id_col}`").cast("long"), "__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(7), text)}
-    rows = docs.select(key["__id"].alias("id"), text.alias("text"), key["__h1"].alias("h1"), key["__h2"].alias("h2"))
+    own, h1, h2 = (unused(docs, c) for c in ("id_of", "h1", "h2"))
+    key = {own: F.col(f"`{id_col}`").cast("long"), h1: F.xxhash64(text), h2: F.xxhash64(F.lit(7), text)}
+    rows = docs.select(key[own].alias("id"), text.alias("text"), key[h1].alias("h1"), key[h2].alias("h2"))
     fps = stage(_fingerprints(rows), "fps")
     found = fps.join(_roots(fps.select("id", "fp")).select("fp", "root"), "fp")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h1", "h2")).alias("k")).select("k.id", "k.h1", "k.h2")
     kept = docs.withColumns(key)
-    same = kept["__id"].eqNullSafe(first["id"]) & (kept["__h1"] == first["h1"]) & (kept["__h2"] == first["h2"])
+    first = first.toDF(*[unused(kept, f"first_{c}") for c in ("id", "h1", "h2")])
+    same = kept[own].eqNullSafe(F.col(first.columns[0])) & (kept[h1] == F.col(first.columns[1])) & (kept[h2] == F.col(first.columns[2]))
     return kept.join(first, same, "left_semi").dropDuplicates(list(key)).select(*[F.col(f"`{c}`") for c in cols])

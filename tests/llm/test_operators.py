@@ -613,6 +613,43 @@ def test_toxicity(spark):
     assert (none.score == 0).all()
 
 
+def test_features_do_not_depend_on_what_was_seen(spark, sf):
+    lexicon = {"fool": 3.0, "zorg*": 2.0, "stupid": 3.0}
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(200).collect()] + ["You f00l, you st*pid s-t-u-p-i-d! Zorgish", "f o o l", "", "... ,"]
+    seen = {}
+    for t in texts:
+        assert toxicity.features(t, lexicon, seen) == toxicity.features(t, lexicon)
+    words = [toxicity.bare(w) for w in texts[-4].lower().split()]
+    row = dict(zip(toxicity.FEATURES, toxicity.features(texts[-4], lexicon)))
+    assert row["hits_per_100"] == 100 / len(words) and row["hidden_hits_per_100"] > 0 and row["insults_per_100"] == 0
+    assert dict(zip(toxicity.FEATURES, toxicity.features("f o o l", lexicon)))["spelled_out_per_100"] == 25
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("k")).collect()
+    share = {r["toxic"]: r["k"] / r["n"] for r in got}
+    assert share[1] >= 0.8 and share[0] <= 0.03
+
+
+def test_toxicity_with_odd_labels_and_long_texts(spark):
+    docs, labels = toy(spark)
+    more = spark.createDataFrame([(0, 1, 7), (1, None, None), (None, 1, 1)], labels.schema)
+    long = spark.createDataFrame([(9100, "stupid " * 200_000), (9101, LONG)], docs.schema).withColumn("score", F.lit(1)).withColumn("features", F.lit("x"))
+    got = toxicity.toxicity(docs.withColumns({"score": F.lit(0), "features": F.lit("y")}).unionByName(long), labels.unionByName(more)).toPandas()
+    assert len(got) == 242 and set(got.columns) == {"doc_id", "held_out", "score", "predicted"}
+    assert toxicity.toxicity(docs.where("false"), labels).count() == 0
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    docs, labels = toy(spark)
+    more = docs.withColumns({"copies": F.lit(5), "n": F.lit(6), "id_of": F.lit(7), "H1": F.lit(8), "first_id": F.lit(9)})
+    out = mixing.mix(more, labels)
+    assert out.columns == more.columns and out.select("copies", "n", "id_of").distinct().collect() == [(5, 6, 7)]
+    kept = simhash.drop_near_copies(more)
+    assert kept.columns == more.columns and kept.select("H1", "first_id").distinct().collect() == [(8, 9)]
+
+
 def test_mixing(spark):
     docs, labels = toy(spark)
     got = mixing.rates(docs.withColumnRenamed("doc_id", "id"), labels).toPandas()
