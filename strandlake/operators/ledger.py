@@ -150,6 +150,18 @@ def newest_by(rows: DataFrame, key: str, time: str, k: int, tie: str) -> DataFra
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def progress_history(progress: DataFrame, executions: DataFrame, k: int | None = None) -> DataFrame:
+    """Each unit's progress rows, newest first (``rank`` 1), at most k of them."""
+    rows = progress.join(executions.select(F.col("id").alias("execution_id"), "unit_id"), "execution_id")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("unit_id").orderBy(F.desc("ts"), F.desc("id"))))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def events_of(events: DataFrame, field: str, value) -> DataFrame:
+    """Events whose JSON names this value, such as a unit's id."""
+    return events.where(F.get_json_object("entity_data_json", f"$.{field}") == F.lit(str(value)))
+
+
 def next_queued(combos: DataFrame) -> DataFrame:
     return combos.where("status = 'queued'").groupBy("work_id").agg(F.min("id").alias("id"))
 
@@ -216,6 +228,25 @@ def of_work(child: DataFrame, parent: DataFrame, on: Column) -> DataFrame:
     return child.join(parent, on, "left_semi")
 
 
+def work_tables(work_id: str, combos: DataFrame, executions: DataFrame, progress: DataFrame, events: DataFrame, sequences: DataFrame) -> dict[str, DataFrame]:
+    """All that one work owns, by table."""
+    own = combos.where(F.col("work_id") == work_id)
+    runs = of_work(executions, own.select(F.col("id").alias("of")), F.col("combination_id") == F.col("of"))
+    steps = of_work(progress, runs.select(F.col("id").alias("of")), F.col("execution_id") == F.col("of"))
+    seqs = of_work(sequences, own.select(F.col("dataset_id").alias("of")), F.col("dataset_id") == F.col("of"))
+    return {"combinations": own, "executions": runs, "execution_progress": steps, "events": events.where(F.col("work_id") == work_id), "sequences": seqs}
+
+
+def without(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in no row of ``others``."""
+    return rows.join(others.select(key), key, "left_anti")
+
+
+def among(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in some row of ``others``."""
+    return rows.join(others.select(key), key, "left_semi")
+
+
 def with_prefix(executions: DataFrame, mode: str) -> DataFrame:
     """Executions of a mode; the prefix reaches the Parquet scan."""
     return executions.where(F.col("unit_id").startswith(f"{mode}:"))
@@ -236,6 +267,11 @@ def bulk_update(df: DataFrame, filters: dict, values: dict) -> DataFrame:
     return df.withColumns({k: F.when(hit, F.lit(v)).otherwise(F.col(k)) for k, v in values.items() if k in df.columns})
 
 
+def update_count(df: DataFrame, filters: dict) -> DataFrame:
+    """How many rows `bulk_update` sets."""
+    return df.where(predicate(df, filters)).agg(F.count(F.lit(1)).alias("updated"))
+
+
 def normal_status(status: str | Column = "status") -> Column:
     """Trimmed and in lower case; null if it is none of the known ones."""
     s = F.lower(F.trim(F.col(status) if isinstance(status, str) else status))
@@ -247,12 +283,25 @@ def may_move(old: Column, new: Column) -> Column:
 
 
 def apply_moves(rows: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``moves(id, new_status, at)`` -> the table after the allowed ones, and the refused ones."""
-    wanted = F.col("new_status").isNotNull()
-    both = rows.join(moves, "id", "left").withColumn("ok", wanted & may_move(F.col("status"), F.col("new_status")))
-    refused = both.where(wanted & ~F.col("ok")).select("id", "status", "new_status")
-    new = both.withColumns({"status": F.when(F.col("ok"), F.col("new_status")).otherwise(F.col("status")), "updated_at": F.when(F.col("ok"), F.col("at"))})
-    return new.drop("new_status", "at", "ok"), refused
+    """``moves(id, new_status, at)`` -> the table after the allowed ones, and the refused ones.
+
+    Several moves of a row are tried in the order of ``at``. A row that doesn't move keeps its
+    ``updated_at``, which is null in a table without that column; moves without a status are none.
+    """
+    tried = moves.where("new_status is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "new_status"))).alias("tried"))
+    held = rows if "updated_at" in rows.columns else rows.withColumn("updated_at", F.lit(None).cast(dict(moves.dtypes)["at"]))
+    refusal = "array<struct<status:string,new_status:string>>"
+    start = F.struct("status", F.col("updated_at").cast(dict(moves.dtypes)["at"]).alias("updated_at"), F.array().cast(refusal).alias("refused"))
+
+    def step(now: Column, move: Column) -> Column:
+        ok = may_move(now["status"], move["new_status"])
+        moved = F.struct(move["new_status"].alias("status"), move["at"].alias("updated_at"), now["refused"].alias("refused"))
+        stays = F.struct(now["status"].alias("status"), now["updated_at"].alias("updated_at"), F.concat(now["refused"], F.array(F.struct(now["status"].alias("status"), move["new_status"].alias("new_status")))).alias("refused"))
+        return F.when(ok, moved).otherwise(stays)
+
+    both = held.join(tried, "id", "left").withColumn("end", F.when(F.col("tried").isNull(), start).otherwise(F.aggregate("tried", start, step)))
+    refused = both.select("id", F.explode("end.refused").alias("r")).select("id", "r.status", "r.new_status")
+    return both.withColumns({"status": F.col("end.status"), "updated_at": F.col("end.updated_at")}).drop("tried", "end"), refused
 
 
 def status_times(changes: DataFrame) -> DataFrame:
@@ -267,9 +316,17 @@ def cascade(gone: DataFrame, combos: DataFrame, executions: DataFrame, progress:
     return combos.join(gone, "work_id", "left_anti"), executions.join(lost, "combination_id", "left_anti"), progress.join(runs, "execution_id", "left_anti")
 
 
-def clear_open_progress(progress: DataFrame, executions: DataFrame) -> DataFrame:
-    """Progress without the rows of executions that aren't final."""
-    open_ = executions.where(~is_final()).select(F.col("id").alias("execution_id"))
+def clear_open_progress(progress: DataFrame, executions: DataFrame, combos: DataFrame | None = None, work_id: str | None = None, combination_id: int | None = None, execution_id: int | None = None) -> DataFrame:
+    """Progress without the rows of executions that aren't final: all, or those of a work, a combination or an execution."""
+    open_ = executions.where(~is_final())
+    if execution_id is not None:
+        open_ = open_.where(F.col("id") == execution_id)
+    if combination_id is not None:
+        open_ = open_.where(F.col("combination_id") == combination_id)
+    if work_id is not None:
+        of = combos.where(F.col("work_id") == work_id).select(F.col("id").alias("combination_id"))
+        open_ = open_.join(of, "combination_id", "left_semi")
+    open_ = open_.select(F.col("id").alias("execution_id"))
     return progress.join(open_, "execution_id", "left_anti")
 
 

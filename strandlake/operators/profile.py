@@ -140,11 +140,13 @@ def uniformise(seqs: DataFrame, policy: str | None, pad: str = "N") -> DataFrame
     return both.withColumn("sequence", new).drop("lo", "hi")
 
 
-def block_spans(lengths: DataFrame, rule: str = "even", blocks: int = 4, size: int = 4, least: int = 1) -> DataFrame:
+def block_spans(lengths: DataFrame, rule: str = "even", blocks: int = 4, size: int = 4, least: int = 1, most_blocks: int | None = None) -> DataFrame:
     """``lengths(dataset_id, length)`` -> half-open spans ``(dataset_id, block_no, l, r)``.
 
     even: so many blocks, the first ones longer by the remainder; sqrt: ceil(sqrt(length))
-    blocks; fixed: blocks of a size. A last block under ``least`` joins the one before.
+    blocks; fixed: blocks of a size; proportional: block i ends at the floor of (i + 1) * length /
+    blocks. Of more than ``most_blocks`` the first ones stay and the last of these reaches to the
+    end. A block under ``least`` joins the one before; a first one has none before.
     """
     n = F.col("length")
     if rule == "fixed":
@@ -156,13 +158,23 @@ def block_spans(lengths: DataFrame, rule: str = "even", blocks: int = 4, size: i
         base, rest = F.floor(n / count).cast("int"), (n % count).cast("int")
         l = lambda i: i * base + F.least(i, rest)
         r = lambda i: (i + 1) * base + F.least(i + 1, rest)
+    elif rule == "proportional":
+        count = F.greatest(F.lit(1), F.least(n, F.lit(blocks)))
+        l = lambda i: F.floor(i * n / count)
+        r = lambda i: F.floor((i + 1) * n / count)
     else:
         raise ValueError(f"unknown rule {rule!r}")
+    if most_blocks is not None:
+        count, whole = F.least(count, F.lit(most_blocks)), r
+        r = lambda i: F.when(i == count - 1, n).otherwise(whole(i))
     spans = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(l(i).cast("int").alias("l"), r(i).cast("int").alias("r")))
-    last = F.element_at(spans, -1)
-    short = (F.size(spans) > 1) & (last["r"] - last["l"] < least)
-    before = F.element_at(spans, -2)
-    merged = F.when(short, F.concat(F.slice(spans, 1, F.greatest(F.size(spans) - 2, F.lit(0))), F.array(F.struct(before["l"].alias("l"), last["r"].alias("r"))))).otherwise(spans)
+
+    def join(done: Column, s: Column) -> Column:
+        before = F.element_at(done, -1)
+        wider = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(before["l"].alias("l"), s["r"].alias("r"))))
+        return F.when((F.size(done) > 0) & (s["r"] - s["l"] < least), wider).otherwise(F.concat(done, F.array(s)))
+
+    merged = F.aggregate(spans, F.array().cast("array<struct<l:int,r:int>>"), join) if least > 1 else spans
     return lengths.where("length > 0").select("dataset_id", F.posexplode(merged).alias("block_no", "s")).select("dataset_id", "block_no", "s.l", "s.r")
 
 

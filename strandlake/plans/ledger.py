@@ -52,6 +52,14 @@ def _moves(v: Views):
 _MOVES = "mv AS (SELECT execution_id AS id, ts, max(CASE WHEN progress > 0.5 THEN 'completed' WHEN progress > 0.2 THEN 'running' ELSE 'queued' END) AS status FROM prog GROUP BY ALL)"
 _STATS = "SELECT work_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status IN ('failed','error')) AS failed, count(*) AS total FROM ecombos GROUP BY work_id"
 _PAGE = {"status": ["queued", "running"], "total_sequences": {"gte": 11, "lt": 13}, "task_id": {"like": "%E"}, "nowhere": 1}
+
+
+def _two_moves(v: Views):
+    """To running, then to completed, for all combinations."""
+    ends = F.explode(F.array(F.struct(F.lit("completed").alias("new_status"), F.lit(2.0).alias("at")), F.struct(F.lit("running").alias("new_status"), F.lit(1.0).alias("at"))))
+    return v.combinations.select("id", ends.alias("m")).select("id", "m.*")
+
+
 _EVENT_SPREAD = ["error", "progress", "warning"]
 
 QUERIES = {
@@ -86,6 +94,8 @@ QUERIES = {
     "w7_newest_warnings": (lambda v: led.newest(v.run_events.where("event_type = 'warning'"), "ts", 10, "id").select("id", F.get_json_object("entity_data_json", "$.k").alias("k")), "SELECT id, json_extract_string(entity_data_json, '$.k') AS k FROM evts WHERE event_type = 'warning' ORDER BY ts DESC, id DESC LIMIT 10"),
     "w8_newest_events": (lambda v: led.newest(v.run_events, "ts", 100, "id").select("id", "event_type"), "SELECT id, event_type FROM evts ORDER BY ts DESC, id DESC LIMIT 100"),
     "w9_newest_by_category": (lambda v: led.newest_by(v.run_events, "event_category", "ts", 3, "id").select("event_category", "id", "rank"), "SELECT event_category, id, row_number() OVER (PARTITION BY event_category ORDER BY ts DESC, id DESC) AS rank FROM evts QUALIFY rank <= 3"),
+    "w9_unit_events": (lambda v: led.events_of(v.run_events, "k", 7).select("id", "work_id"), "SELECT id, work_id FROM evts WHERE json_extract_string(entity_data_json, '$.k') = '7'"),
+    "w9_progress_history": (lambda v: led.progress_history(v.progress, v.executions, 3).groupBy("unit_id").agg(F.max("progress").alias("most"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("newest")), "SELECT unit_id, max(progress) AS most, count(*) AS n, max(ts) AS newest FROM (SELECT p.*, e.unit_id FROM prog p JOIN execs e ON p.execution_id = e.id QUALIFY row_number() OVER (PARTITION BY e.unit_id ORDER BY p.ts DESC, p.id DESC) <= 3) GROUP BY unit_id"),
     "w10_next_queued": (lambda v: led.next_queued(v.combinations), "SELECT work_id, min(id) AS id FROM combos WHERE status = 'queued' GROUP BY ALL"),
     "w11_elapsed": (lambda v: led.elapsed(v.progress.groupBy("execution_id").agg(F.min("ts").alias("started_at"), F.max(F.when(F.col("progress") > 0.4, F.col("ts"))).alias("finished_at")), F.lit(1.0e9)).select("execution_id", "elapsed"), "SELECT execution_id, coalesce(max(ts) FILTER (progress > 0.4), 1.0e9) - min(ts) AS elapsed FROM prog GROUP BY ALL"),
     # ---- listings
@@ -95,16 +105,26 @@ QUERIES = {
     "o7_prefix": (lambda v: led.with_prefix(v.executions, "optimization").select("unit_id", "status"), "SELECT unit_id, status FROM execs WHERE unit_id LIKE 'optimization:%'"),
     "o8_json_events": (lambda v: v.run_events.where(F.get_json_object("entity_data_json", "$.k").cast("int") > 50).select("id", "ts"), "SELECT id, ts FROM evts WHERE json_extract_string(entity_data_json, '$.k')::INT > 50"),
     "o9_difference": (lambda v: v.combinations.select("id").exceptAll(v.executions.select(F.col("combination_id").alias("id")).distinct()), "SELECT id FROM combos EXCEPT SELECT combination_id FROM execs"),
+    "o2_all_rows": (lambda v: led.list_rows(v.executions), "SELECT * FROM execs"),
+    "o3_point": (lambda v: led.list_rows(v.executions, {"id": 7}), "SELECT * FROM execs WHERE id = 7"),
+    "o4_filtered": (lambda v: led.list_rows(v.combinations, {"status": {"ne": "queued"}, "task_id": {"ilike": "%machinery%"}, "total_sequences": {"in": [10, 12]}}), "SELECT * FROM combos WHERE status <> 'queued' AND task_id ILIKE '%machinery%' AND total_sequences IN (10, 12)"),
+    "o6_work_tables": (lambda v: store.manifest({k: t.select(t.columns[0]) for k, t in led.work_tables("w2", v.combinations, v.executions, v.progress, v.run_events, v.names.withColumn("dataset_id", F.concat(F.lit("d"), F.col("seq_index") % 40))).items()}).drop("n_columns"), "SELECT 'combinations' AS table_name, count(*) AS n_rows FROM combos WHERE work_id = 'w2' UNION ALL SELECT 'executions', count(*) FROM ecombos WHERE work_id = 'w2' UNION ALL SELECT 'execution_progress', count(*) FROM prog WHERE execution_id IN (SELECT id FROM ecombos WHERE work_id = 'w2') UNION ALL SELECT 'events', count(*) FROM evts WHERE work_id = 'w2' UNION ALL SELECT 'sequences', count(*) FROM names WHERE 'd' || seq_index % 40 IN (SELECT dataset_id FROM combos WHERE work_id = 'w2')"),
+    "o9_without": (lambda v: led.without(v.combinations.select("id"), v.executions.where("status = 'completed'").select(F.col("combination_id").alias("id")), "id"), "SELECT id FROM combos WHERE id NOT IN (SELECT combination_id FROM execs WHERE status = 'completed')"),
+    "o9_among": (lambda v: led.among(v.combinations.select("id"), v.executions.where("status = 'completed'").select(F.col("combination_id").alias("id")), "id"), "SELECT id FROM combos INTERSECT SELECT combination_id FROM execs WHERE status = 'completed'"),
     "p13_search": (lambda v: led.search_works(_works(v), author="segment", tags=["D3", "d5"], text="machinery").select("id", "status"), "WITH w AS (SELECT task_id || '-' || work_id AS id, min(status) AS status, list(DISTINCT dataset_id) AS tags FROM combos GROUP BY task_id, work_id) SELECT id, status FROM w WHERE (list_contains(tags, 'd3') OR list_contains(tags, 'd5')) AND lower(id) LIKE '%machinery%'"),
     # ---- writes
     "m1_bulk_insert": (lambda v: led.bulk_insert(v.combinations.where("status = 'completed'"), v.combinations, ["work_id", "task_id", "dataset_id", "preset_id", "algorithm_id"], "id").select("id"), "WITH n AS (SELECT work_id, task_id, dataset_id, preset_id, algorithm_id, min(id) AS id FROM combos GROUP BY ALL) SELECT n.id FROM n WHERE NOT EXISTS (SELECT 1 FROM combos c WHERE c.status = 'completed' AND (c.work_id, c.task_id, c.dataset_id, c.preset_id, c.algorithm_id) = (n.work_id, n.task_id, n.dataset_id, n.preset_id, n.algorithm_id))"),
     "m2_bulk_update": (lambda v: led.bulk_update(v.combinations, {"status": ["failed", "error"]}, {"status": "queued", "total_sequences": 0}), "SELECT * REPLACE (CASE WHEN status IN ('failed','error') THEN 'queued' ELSE status END AS status, CASE WHEN status IN ('failed','error') THEN 0 ELSE total_sequences END AS total_sequences) FROM combos"),
-    "m3_moves": (lambda v: led.apply_moves(v.combinations, v.combinations.select("id", F.lit("running").alias("new_status"), F.lit(1.0).alias("at")))[0].select("id", "status", "updated_at"), "SELECT id, CASE WHEN status IN ('queued','paused') THEN 'running' ELSE status END AS status, CASE WHEN status IN ('queued','paused') THEN 1.0 END AS updated_at FROM combos"),
+    "m3_moves": (lambda v: led.apply_moves(v.combinations, v.combinations.select("id", F.lit("running").alias("new_status"), F.lit(1.0).alias("at")))[0].select("id", "status", "updated_at"), "SELECT id, CASE WHEN status IN ('queued','paused') THEN 'running' ELSE status END AS status, CASE WHEN status IN ('queued','paused') THEN 1.0::DOUBLE END AS updated_at FROM combos"),
+    "m3_moves_in_order": (lambda v: led.apply_moves(v.combinations.withColumn("updated_at", F.col("id").cast("double")), _two_moves(v))[0].select("id", "status", "updated_at"), "SELECT id, CASE WHEN status IN ('queued','paused','running') THEN 'completed' ELSE status END AS status, CASE WHEN status IN ('queued','paused','running') THEN 2.0::DOUBLE ELSE id::DOUBLE END AS updated_at FROM combos"),
+    "m3_refused_in_order": (lambda v: led.apply_moves(v.combinations, _two_moves(v))[1].groupBy("id").count().withColumnRenamed("count", "n"), "SELECT id, CASE WHEN status = 'running' THEN 1 ELSE 2 END::BIGINT AS n FROM combos WHERE status NOT IN ('queued','paused')"),
     "m3_refused": (lambda v: led.apply_moves(v.combinations, v.combinations.select("id", F.lit("running").alias("new_status"), F.lit(1.0).alias("at")))[1], "SELECT id, status, 'running' AS new_status FROM combos WHERE status NOT IN ('queued','paused')"),
     "m4_normal_status": (lambda v: v.table("events").select("event_id", led.normal_status(F.concat(F.lit("  "), F.upper("event_type"))).alias("status")), "SELECT event_id, CASE WHEN lower(trim(event_type)) IN ('queued','running','paused','canceled','completed','failed','error') THEN lower(trim(event_type)) END AS status FROM events"),
     "m5_status_times": (lambda v: led.status_times(_moves(v)), f"WITH {_MOVES} SELECT id, min(ts) FILTER (status = 'running') AS started_at, min(ts) FILTER ({_FINAL}) AS finished_at FROM mv GROUP BY id"),
     "m6_cascade": (lambda v: led.cascade(v.combinations.where("work_id = 'w2'").select("work_id").distinct(), v.combinations, v.executions, v.progress)[2].groupBy("execution_id").count().withColumnRenamed("count", "n"), "SELECT execution_id, count(*) AS n FROM prog WHERE execution_id NOT IN (SELECT id FROM ecombos WHERE work_id = 'w2') GROUP BY ALL"),
     "m7_clear_progress": (lambda v: led.clear_open_progress(v.progress, v.executions).groupBy("execution_id").count().withColumnRenamed("count", "n"), f"SELECT execution_id, count(*) AS n FROM prog WHERE execution_id NOT IN (SELECT id FROM execs WHERE NOT {_FINAL}) GROUP BY ALL"),
+    "m7_clear_progress_of_work": (lambda v: led.clear_open_progress(v.progress, v.executions, v.combinations, work_id="w2").groupBy("execution_id").count().withColumnRenamed("count", "n"), f"SELECT execution_id, count(*) AS n FROM prog WHERE execution_id NOT IN (SELECT id FROM ecombos WHERE work_id = 'w2' AND NOT {_FINAL}) GROUP BY ALL"),
+    "m2_update_count": (lambda v: led.update_count(v.combinations, {"status": ["failed", "error"]}), "SELECT count(*) AS updated FROM combos WHERE status IN ('failed','error')"),
     "m8_requeue": (lambda v: led.requeue(v.combinations), "SELECT * REPLACE (CASE WHEN status IN ('running','paused','canceled') THEN 'queued' ELSE status END AS status) FROM combos"),
     "m9_reset": (lambda v: led.reset(v.executions), "SELECT * REPLACE (CASE WHEN status IN ('running','paused') THEN 'queued' ELSE status END AS status, CASE WHEN status NOT IN ('running','paused') THEN objective END AS objective, CASE WHEN status NOT IN ('running','paused') THEN started_at END AS started_at) FROM execs"),
     "m10_event_rows": (lambda v: led.event_rows(v.run_events, "progress", "unit", F.from_json("entity_data_json", "map<string,string>"), id=F.col("id")).select("work_id", "event_type", F.get_json_object("entity_data_json", "$.k").alias("k"), F.get_json_object("entity_data_json", "$.id").alias("id")), "SELECT work_id, 'progress' AS event_type, json_extract_string(entity_data_json, '$.k') AS k, id::VARCHAR AS id FROM evts"),

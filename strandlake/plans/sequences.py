@@ -10,6 +10,7 @@ from ..operators import consensus as cons
 from ..operators import distance as dist
 from ..operators import profile as prof
 from ..sources import synthetic as syn
+from ..sources.datasets import load_datasets
 from .views import Views
 
 DNA = "ACGT"
@@ -79,6 +80,25 @@ def _both(one: str, two: str, frm: str = "couples") -> str:
     return f"SELECT dataset_id, pair * 2 AS cand_id, {one} AS candidate FROM {frm} UNION ALL SELECT dataset_id, pair * 2 + 1, {two} FROM {frm}"
 
 
+def _substituted(c: str, k: int) -> str:
+    """``c`` with a hashed letter at its k-th hashed place, other than the one there."""
+    at = _pick("32", "'0'", "'p'", "dataset_id", "cand_id", f"'{k}'")
+    rest = f"replace('ACGT', substr({c}, {at} + 1, 1), '')"
+    return f"substr({c}, 1, {at}) || substr({rest}, {_pick('3', chr(39) + '0' + chr(39), chr(39) + 's' + chr(39), 'dataset_id', 'cand_id', chr(39) + str(k) + chr(39))} + 1, 1) || substr({c}, {at} + 2)"
+
+
+def _improved(moves: str) -> str:
+    """The best of one round of ``moves(dataset_id, no, nc)``, if it is better than the centre."""
+    return f"WITH mv AS ({moves}), ms AS (SELECT mv.dataset_id, no, nc, max(hamming(nc, sequence)) AS m FROM mv JOIN dna USING (dataset_id) GROUP BY ALL), mb AS (SELECT * FROM ms QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY m, no) = 1), nw AS (SELECT dataset_id, center, max(d) AS m0 FROM dist GROUP BY ALL) SELECT dataset_id, CASE WHEN m < m0 THEN nc ELSE center END AS center, least(m, m0) AS max_distance FROM nw JOIN mb USING (dataset_id)"
+
+
+def _loaded(v: Views):
+    """A dataset for each nation, made up, and the names of one brand as an external feed."""
+    made = _specs(v).select("dataset_id", F.lit(None).cast("string").alias("name"), F.lit("synthetic").alias("type"), F.create_map(*[x for k in ("n", "length", "alphabet", "seed") for x in (F.lit(k), F.col(k).cast("string"))]).alias("parameters"))
+    fed = v.spark.createDataFrame([("Brand#11", "feed", "external", {"min_length": "8", "max_length": "11"})], "dataset_id string, name string, type string, parameters map<string,string>")
+    return load_datasets(made.unionByName(fed), landed=v.names)[0]
+
+
 QUERIES = {
     # ---- profiles
     "p1_sizes": (lambda v: prof.sizes(v.names), "SELECT dataset_id, count(*) AS size, min(length(sequence)) AS min_length, max(length(sequence)) AS max_length, avg(length(sequence)) AS avg_length, sum(length(sequence))::BIGINT AS total_chars FROM names GROUP BY dataset_id"),
@@ -101,6 +121,8 @@ QUERIES = {
     "s12_external": (lambda v: syn.external_clean(v.names, 8, 11, policy="trim"), "WITH k AS (SELECT * FROM names WHERE length(sequence) BETWEEN 8 AND 11) SELECT dataset_id, seq_index, substr(sequence, 1, min(length(sequence)) OVER (PARTITION BY dataset_id)) AS sequence FROM k"),
     "p14_spans_even": (lambda v: prof.block_spans(_lengths(v), "even", blocks=5), "SELECT dataset_id, b AS block_no, b * 6 + least(b, 2) AS l, (b + 1) * 6 + least(b + 1, 2) AS r FROM (SELECT DISTINCT dataset_id FROM dna), range(5) t(b)"),
     "p14_spans_fixed": (lambda v: prof.block_spans(_lengths(v), "fixed", size=6, least=3), "SELECT dataset_id, b AS block_no, b * 6 AS l, CASE WHEN b = 4 THEN 32 ELSE (b + 1) * 6 END AS r FROM (SELECT DISTINCT dataset_id FROM dna), range(5) t(b)"),
+    "p14_spans_proportional": (lambda v: prof.block_spans(_lengths(v), "proportional", blocks=5), "SELECT dataset_id, b AS block_no, floor(b * 32 / 5)::INT AS l, floor((b + 1) * 32 / 5)::INT AS r FROM (SELECT DISTINCT dataset_id FROM dna), range(5) t(b)"),
+    "p14_spans_capped": (lambda v: prof.block_spans(_lengths(v), "fixed", size=6, most_blocks=3), "SELECT dataset_id, b AS block_no, b * 6 AS l, CASE WHEN b = 2 THEN 32 ELSE (b + 1) * 6 END AS r FROM (SELECT DISTINCT dataset_id FROM dna), range(3) t(b)"),
     "p15_segments": (lambda v: prof.segments(v.dna, _spans(v)), f"WITH {_SPANS} SELECT * FROM segs"),
     "p16_repair": (lambda v: v.names.select("dataset_id", "seq_index", prof.repair_length(F.col("sequence"), F.lit(9)).alias("sequence")), "SELECT dataset_id, seq_index, rpad(substr(sequence, 1, 9), 9, right(sequence, 1)) AS sequence FROM names"),
     # ---- distances
@@ -120,7 +142,7 @@ QUERIES = {
     "c2_consensus_random": (lambda v: cons.greedy_consensus(v.dna, "random", seed=3), f"WITH {_COUNTS} {_JOINED}{_TOP.format(tie=_u(chr(39) + '3' + chr(39), 'pos', 'ch'))} GROUP BY dataset_id"),
     "c3_plurality": (lambda v: cons.plurality(v.dna), f"WITH {_SEEN} SELECT * FROM seenc"),
     "c4_entropy": (lambda v: prof.entropies(v.days), "WITH c AS (SELECT dataset_id, pos, ch, count(*) AS n FROM ychars GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY dataset_id, pos) AS p FROM c) SELECT dataset_id, pos, -sum(p * log2(p)) AS entropy FROM p GROUP BY ALL"),
-    "c5_entropy_spans": (lambda v: prof.entropy_spans(v.dna), None),
+    "c5_entropy_spans": (lambda v: prof.entropy_spans(v.dna), "WITH RECURSIVE ec AS (SELECT dataset_id, pos, ch, count(*) AS n FROM dchars GROUP BY ALL), ep AS (SELECT *, n / sum(n) OVER (PARTITION BY dataset_id, pos) AS p FROM ec), en AS (SELECT dataset_id, pos, -sum(p * log2(p)) AS e FROM ep GROUP BY ALL), hi AS (SELECT *, e > 0.7 * max(e) OVER (PARTITION BY dataset_id) AS high FROM en), walk(dataset_id, block_no, l, r) AS (SELECT dataset_id, 0, 0, CASE WHEN high THEN 2 ELSE 4 END FROM hi WHERE pos = 0 UNION ALL SELECT w.dataset_id, w.block_no + 1, w.r, least(32, w.r + CASE WHEN high THEN 2 ELSE 4 END) FROM walk w JOIN hi ON hi.dataset_id = w.dataset_id AND hi.pos = w.r WHERE w.r < 32) SELECT dataset_id, block_no, l, r FROM walk"),
     "c6_observed": (lambda v: prof.observed_symbols(v.days), "SELECT dataset_id, pos, string_agg(ch, '' ORDER BY ch) AS symbols FROM (SELECT DISTINCT dataset_id, pos, ch FROM ychars) GROUP BY ALL"),
     "c7_difficulty": (lambda v: cons.block_difficulty(v.dna, _spans(v)).select("dataset_id", "block_no", "difficulty"), f"WITH {_SEEN}, {_SPANS} SELECT s.dataset_id, block_no, max(hamming(seg, substr(center, l::INT + 1, 8))) AS difficulty FROM segs s JOIN seenc USING (dataset_id) GROUP BY ALL"),
     "c8_tiers": (lambda v: cons.block_difficulty(v.dna, _spans(v)).select("dataset_id", "block_no", cons.technique(F.col("difficulty"), 6, 8, 7).alias("technique")), f"WITH {_SEEN}, {_SPANS}, q AS (SELECT s.dataset_id, block_no, max(hamming(seg, substr(center, l::INT + 1, 8))) AS d FROM segs s JOIN seenc USING (dataset_id) GROUP BY ALL) SELECT dataset_id, block_no, CASE WHEN d <= 6 THEN 'exhaustive' WHEN d <= 7 THEN 'reduced_beam' ELSE 'beam' END AS technique FROM q"),
@@ -137,11 +159,12 @@ QUERIES = {
     "h2_beam": (lambda v: cons.beam_blocks(v.dna, prof.block_spans(_lengths(v), "fixed", size=8), DNA, 8, 3), None),
     "h4_block_heuristic": (lambda v: cons.block_heuristic(v.dna, DNA, width=8, k=3, rounds=2), None),
     "r1_hill_climb": (lambda v: cons.hill_climb(v.dna, v.centers, 1).select("dataset_id", "center", "max_distance"), "WITH alt AS (SELECT DISTINCT dataset_id, pos, ch AS b FROM dchars), mv AS (SELECT dataset_id, pos, b, center, substr(center, 1, pos::INT) || b || substr(center, pos::INT + 2) AS nc FROM centers JOIN alt USING (dataset_id) WHERE substr(center, pos::INT + 1, 1) <> b), sc AS (SELECT mv.dataset_id, pos, b, nc, max(hamming(nc, sequence)) AS d FROM mv JOIN dna USING (dataset_id) GROUP BY ALL), best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY d, pos, b) = 1), now AS (SELECT dataset_id, center, max(d) AS m FROM dist GROUP BY ALL) SELECT dataset_id, CASE WHEN d < m THEN nc ELSE center END AS center, least(d, m) AS max_distance FROM now JOIN best USING (dataset_id)"),
-    "r2_greedy": (lambda v: cand.refine_greedy(v.dna, v.centers, 4), None),
-    "r3_swap": (lambda v: cand.refine_swap(v.dna, v.centers), None),
-    "r4_insertion": (lambda v: cand.refine_insertion(v.dna, v.centers), None),
-    "r5_2opt": (lambda v: cand.refine_2opt(v.dna, v.centers, 2), None),
-    "g1_mutate_multi": (lambda v: cand.mutate_multi(_cands(v), DNA, 2), None),
+    "r2_greedy": (lambda v: cand.refine_greedy(v.dna, v.centers), None),
+    "r3_swap": (lambda v: cand.refine_swap(v.dna, v.centers), _improved("SELECT dataset_id, i * 32 + j AS no, substr(center, 1, i::INT) || substr(center, j::INT + 1, 1) || substr(center, i::INT + 2, (j - i - 1)::INT) || substr(center, i::INT + 1, 1) || substr(center, j::INT + 2) AS nc FROM centers, range(32) a(i), range(32) b(j) WHERE i < j")),
+    "r5_one_reversal": (lambda v: cand.refine_2opt(v.dna, v.centers, 1), _improved("SELECT dataset_id, i * 32 + j AS no, substr(center, 1, i::INT) || reverse(substr(center, i::INT + 1, (j - i + 1)::INT)) || substr(center, j::INT + 2) AS nc FROM centers, range(32) a(i), range(32) b(j) WHERE i < j")),
+    "r4_insertion": (lambda v: cand.refine_insertion(v.dna, v.centers), _improved("SELECT dataset_id, (n * 32 + i) * 33 + t AS no, substr(rest, 1, t::INT) || substr(center, i::INT + 1, n::INT) || substr(rest, t::INT + 1) AS nc FROM (SELECT dataset_id, center, n, i, substr(center, 1, i::INT) || substr(center, (i + n)::INT + 1) AS rest FROM centers, range(1, 4) x(n), range(32) y(i) WHERE i <= 32 - n), range(32) z(t) WHERE t <= 32 - n AND t <> i")),
+    "r5_2opt": (lambda v: cand.refine_2opt(v.dna, v.centers), None),
+    "g1_mutate_multi": (lambda v: cand.mutate_multi(_cands(v), DNA, 2), f"WITH one AS (SELECT dataset_id, cand_id, {_substituted('c', 1)} AS c FROM {_C}) SELECT dataset_id, cand_id, {_substituted('c', 2)} AS candidate FROM one"),
     "g2_inversion": (lambda v: cand.mutate_inversion(_cands(v)), f"WITH {_STRETCH} SELECT dataset_id, cand_id, substr(c, 1, i) || reverse(substr(c, i + 1, j - i + 1)) || substr(c, j + 2) AS candidate FROM st"),
     "g3_transposition": (lambda v: cand.mutate_transposition(_cands(v)), f"WITH {_STRETCH}, rs AS (SELECT *, substr(c, 1, i) || substr(c, j + 2) AS rest FROM st), pt AS (SELECT *, floor({_u(chr(39) + '0' + chr(39), chr(39) + 't' + chr(39), 'dataset_id', 'cand_id')} * (length(rest) + 1))::INT AS p FROM rs) SELECT dataset_id, cand_id, substr(rest, 1, p) || substr(c, i + 1, j - i + 1) || substr(rest, p + 1) AS candidate FROM pt"),
     "g4_one_point": (lambda v: cand.crossover_one_point(_cands(v)), f"WITH {_COUPLES}, cut AS (SELECT *, 1 + {_pick('31', chr(39) + '0' + chr(39), 'dataset_id', 'pair')} AS p FROM couples) " + _both("substr(a, 1, p) || substr(b, p + 1)", "substr(b, 1, p) || substr(a, p + 1)", "cut")),
@@ -158,6 +181,7 @@ QUERIES = {
     "s8_mutations": (lambda v: syn.mutated_sequences(_specs(v, mutation_rate=0.2, mutation_types="substitution,insertion,deletion")), None),
     "s9_clustered": (lambda v: syn.clustered_sequences(_specs(v)), f"WITH {_SPEC}, ch AS (SELECT dataset_id, seq_index, p, CASE WHEN {_u('seed', chr(39) + 'cd' + chr(39), 'dataset_id', 'seq_index', 'p')} < 0.2 THEN {_letter('seed', chr(39) + 'cl' + chr(39), 'dataset_id', 'seq_index', 'p')} ELSE {_letter('seed', chr(39) + 'c' + chr(39), 'dataset_id', '(seq_index % 2)', 'p')} END AS x FROM rows_, range(64) t(p) WHERE p < length) SELECT dataset_id, seq_index, string_agg(x, '' ORDER BY p) AS sequence, seq_index % 2 AS cluster_id FROM ch GROUP BY ALL"),
     "s10_dispatch": (lambda v: syn.synthetic(_specs(v).withColumn("mode", F.get(F.array(*[F.lit(m) for m in ("random", "noise", "mutations", "clustered")]), (F.col("seed") % 4).cast("int")))), None),
+    "s11_datasets": (lambda v: _loaded(v), f"WITH {_SPEC} SELECT dataset_id, seq_index, string_agg({_letter('seed', chr(39) + 'r' + chr(39), 'dataset_id', 'seq_index', 'p')}, '' ORDER BY p) AS sequence FROM rows_, range(64) t(p) WHERE p < length GROUP BY ALL UNION ALL SELECT dataset_id, seq_index, sequence FROM names WHERE dataset_id = 'Brand#11' AND length(sequence) BETWEEN 8 AND 11"),
     "hash_unit": (lambda v: v.names.select("dataset_id", "seq_index", unit(7, F.col("sequence")).alias("u")), f"SELECT dataset_id, seq_index, {_u(chr(39) + '7' + chr(39), 'sequence')} AS u FROM names"),
     "u3_metric": (lambda v: dist.center_distances(v.dna, v.centers, " Hamming ").groupBy("dataset_id").agg(F.sum("d").alias("total")), "SELECT dataset_id, sum(d)::BIGINT AS total FROM dist GROUP BY dataset_id"),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..tables import is_empty
+from ..tables import drop_path, is_empty
 
 
 def read_fasta(spark: SparkSession, path: str, glob: str = "*.{fasta,fa,txt}", stream: bool = False) -> DataFrame:
@@ -58,7 +58,20 @@ def write_fasta(seqs: DataFrame, path: str) -> None:
     text.repartition("dataset_id").sortWithinPartitions("dataset_id", "seq_index").select("dataset_id", "value").write.partitionBy("dataset_id").text(path)
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
+def exists(spark: SparkSession, name: str, base: str) -> bool:
+    """Whether there is a FASTA file of this stem (or name) under a folder; contents aren't read."""
+    return not is_empty(listing(spark, base).where(F.col("name") == name.removesuffix(".fasta")))
+
+
+def delete(spark: SparkSession, name: str, base: str) -> bool:
+    """Delete the folder's FASTA files of this stem; says whether there was one."""
+    found = [r["path"] for r in listing(spark, base, with_path=True).where(F.col("name") == name.removesuffix(".fasta")).collect()]  # files of one name
+    for path in found:
+        drop_path(spark, path)
+    return bool(found)
+
+
+def listing(spark: SparkSession, path: str, with_path: bool = False) -> DataFrame:
     """The FASTA files under a folder: name, bytes, time; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{fasta,fa,txt}").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name"), "length", "modificationTime")
+    return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name"), "length", "modificationTime", *(["path"] if with_path else []))

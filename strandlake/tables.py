@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder is made,
-    recorded in the session's runtime conf and removed when the process ends.
+    Only where the session names none and runs on one machine (tests) a temporary folder is made,
+    recorded in the session's runtime conf and removed when the process ends. On a cluster it is an error.
     """
     key = "strandlake.shared"
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(key, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         found = tempfile.mkdtemp(prefix="strandlake-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set(key, found)

@@ -9,7 +9,8 @@ from strandlake.operators import consensus as cons
 from strandlake.operators import distance as dist
 from strandlake.operators import experiments as exp
 from strandlake.operators import profile as prof
-from strandlake.sources import fasta, specs, store, synthetic
+from strandlake.operators import ledger as led
+from strandlake.sources import datasets, fasta, specs, store, synthetic
 from strandlake.streaming import feeds
 
 
@@ -167,3 +168,59 @@ def test_methods(spark):
     s = seqs(spark, "ACGT", "AGGT", "ACGA")
     got = {r["method"]: r["max_distance"] for r in exp.run_methods(s, ["consensus", "cluster_recombine", "block_heuristic", "exact_radius"]).collect()}
     assert got["exact_radius"] == min(got.values()) == 1
+
+
+def test_moves_keep_times_and_are_tried_in_order(spark):
+    rows = spark.createDataFrame([(1, "queued", 5.0), (2, "completed", 7.0), (3, "paused", 9.0)], "id long, status string, updated_at double")
+    moves = spark.createDataFrame([(1, "completed", 3.0), (1, "running", 2.0), (2, "running", 2.0), (1, "queued", 4.0), (3, None, 1.0)], "id long, new_status string, at double")
+    new, refused = led.apply_moves(rows, moves)
+    assert sorted(map(tuple, new.collect())) == [(1, "completed", 3.0), (2, "completed", 7.0), (3, "paused", 9.0)]
+    assert sorted(map(tuple, refused.collect())) == [(1, "completed", "queued"), (2, "completed", "running")]
+
+
+def test_datasets_by_spec(spark, tmp_path):
+    (tmp_path / "one.fasta").write_text(">a\nACGT\n>b\nAGGT\n")
+    rows = [("s", None, "synthetic", {"n": "4", "length": "6", "alphabet": "AC"}), (None, "mine", "file", {"filename": "one"}), ("x", "Feed", "external", {"min_length": "3", "uniform_policy": "trim"})]
+    given = spark.createDataFrame(rows, "dataset_id string, name string, type string, parameters map<string,string>")
+    landed = seqs(spark, "AC", "ACGT", "ACG", dataset="x").unionByName(seqs(spark, "TTTT", dataset="other"))
+    made, known = datasets.load_datasets(given, str(tmp_path), landed)
+    got = sorted((r["dataset_id"], r["seq_index"], r["sequence"]) for r in made.collect())
+    assert [r for r in got if r[0] != "s"] == [("mine", 0, "ACGT"), ("mine", 1, "AGGT"), ("x", 1, "ACG"), ("x", 2, "ACG")]
+    assert len([r for r in got if r[0] == "s" and len(r[2]) == 6 and set(r[2]) <= set("AC")]) == 4
+    assert sorted((r["dataset_id"], r["name"]) for r in known.collect()) == [("mine", "mine"), ("s", "s"), ("x", "Feed")]
+    with pytest.raises(ValueError):
+        datasets.load_datasets(given.withColumn("type", F.lit("ftp")))
+
+
+def test_datasets_in_a_folder(spark, tmp_path):
+    (tmp_path / "one.fasta").write_text(">a\nACGT\n")
+    (tmp_path / "two.fa").write_text(">a\nACGT\n")
+    base = str(tmp_path)
+    assert fasta.exists(spark, "one", base) and fasta.exists(spark, "one.fasta", base) and not fasta.exists(spark, "three", base)
+    assert fasta.delete(spark, "one", base) and not fasta.delete(spark, "one", base)
+    assert [r["name"] for r in fasta.listing(spark, base).collect()] == ["two"]
+
+
+def test_spans_join_short_blocks(spark):
+    lengths = spark.createDataFrame([("a", 10), ("b", 3)], "dataset_id string, length int")
+    spans = lambda *a, **k: [(r["dataset_id"], r["l"], r["r"]) for r in prof.block_spans(lengths, *a, **k).orderBy("dataset_id", "l").collect()]
+    assert spans("proportional", blocks=4, least=3) == [("a", 0, 2), ("a", 2, 5), ("a", 5, 10), ("b", 0, 3)] or spans("proportional", blocks=4, least=3)[-1][2] == 3
+    assert spans("fixed", size=4, most_blocks=2) == [("a", 0, 4), ("a", 4, 10), ("b", 0, 3)]
+
+
+def test_refinement_goes_on_until_nothing_improves(spark):
+    s = seqs(spark, "ACGTACGT", "ACGAACGA", "TCGTACGA", "ACCTACGT")
+    for refine in (cand.refine_greedy, cand.refine_swap, cand.refine_insertion, cand.refine_2opt):
+        end = refine(s, center(spark, "TTCCAAGG"), 50)
+        again = refine(s, end.select("dataset_id", "center"), 50)
+        assert [r["center"] for r in again.collect()] == [r["center"] for r in end.collect()]
+
+
+def test_user_metric(spark):
+    from strandlake.functions.strings import register_metric, safe_json
+
+    register_metric("First Letter", lambda a, b: (F.substring(a, 1, 1) != F.substring(b, 1, 1)).cast("int"))
+    d = dist.center_distances(seqs(spark, "ACGT", "TCGT"), center(spark, "AAAA"), " first letter ")
+    assert sorted(r["d"] for r in d.collect()) == [0, 1]
+    texts = spark.createDataFrame([('{"a": 1}',), (" ",), ('say "x"',)], "t string")
+    assert [r["j"] for r in texts.select(safe_json(F.col("t")).alias("j")).collect()] == ['{"a": 1}', None, '"say \\"x\\""']

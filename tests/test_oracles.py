@@ -1,5 +1,6 @@
 """Registered queries against their SQL in DuckDB on the smallest tables."""
 
+import decimal
 import math
 
 import duckdb
@@ -27,7 +28,7 @@ def duck():
 def plain(x):
     if x is None or isinstance(x, float) and math.isnan(x):
         return None
-    if isinstance(x, (int, float)) and not isinstance(x, bool):
+    if isinstance(x, (int, float, decimal.Decimal)) and not isinstance(x, bool):
         return f"{float(x):.8g}"
     return str(x)
 
