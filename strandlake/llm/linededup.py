@@ -352,7 +352,9 @@ def line_components(docs: DataFrame, lines: DataFrame, least: float = JACCARD) -
         return None
     texts = stage(texts_of(docs, members.select("h").distinct()), "texts")
     pairs = members.where("h <> pivot").select(F.col("pivot").alias("src"), F.col("h").alias("dst")).distinct()
-    roots = stage(connected_components(verified(pairs, texts, least)), "components")
+    links = stage(verified(pairs, texts, least), "links")  # components read them more than once
+    roots = stage(connected_components(links), "components")
+    unstage(links)
     more = _open_links(members, roots, texts, least)
     unstage(members, texts)
     if is_empty(more):
