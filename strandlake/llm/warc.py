@@ -16,9 +16,11 @@ from base64 import b32encode
 from collections.abc import Iterator
 from hashlib import sha1
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import columns_apart, is_empty, new_path, stage
 
@@ -179,24 +181,49 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(run, RECORDS)
 
 
-def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Join the records of each batch by their first column; ``whole`` says that nothing is missing."""
+    for b in batches:
+        ids, parts = b.column(0).to_pylist(), b.columns[1:]
+        at: dict[str | None, list[int | None]] = {}
+        for k, part in enumerate(parts):
+            for i in np.flatnonzero(part.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                places = at.setdefault(ids[i], [None] * len(parts))
+                if places[k] is None:
+                    places[k] = i
+        whole = [x is not None and None not in places for x, places in at.items()]
+        taken = [part.take(pa.array([places[k] for places in at.values()], pa.int64())) for k, part in enumerate(parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(at), b.schema.types[0]), *taken, pa.array(whole, pa.bool_())], [*b.schema.names, "whole"])
+
+
+def assemble(records: DataFrame, unique_ids: bool = False) -> DataFrame:
     """One nested row a capture: ``capture_id, response, request, metadata`` (structs; null if absent).
 
     The records are joined on the identifier of the response or revisit: its own, or that in
     WARC-Concurrent-To. As one key has a few records only, the join is a grouping, which reads
     the archives once. A transaction without a response is left out; of several requests of one
-    transaction the row has one. ``with_payload=False`` leaves the payloads where they are.
+    transaction the row has one, and so of responses that share an identifier.
+
+    Archives have a transaction's records side by side. With ``unique_ids`` (no identifier names two
+    responses, as the standard demands and `write_archives` makes them) records are joined where
+    they are read. Only transactions that are not whole there are shuffled, so payloads hardly
+    move, and the archives are read a second time for these.
     """
     fields = F.str_to_map(F.regexp_replace(F.decode("payload", "UTF-8"), r"(\r\n)+$", ""), F.lit("\r\n"), F.lit(": "))
-    answer = F.struct("record_type", "target_uri", "warc_date", "refers_to", "payload_digest", "payload_bytes", "http_status", "http_headers", (F.col("payload") if with_payload else F.lit(None).cast("binary")).alias("payload"))
+    answer = F.struct("record_type", "target_uri", "warc_date", "refers_to", "payload_digest", "payload_bytes", "http_status", "http_headers", "payload")
     keyed = records.select(
         F.coalesce("concurrent_to", "record_id").alias("capture_id"),
         F.when(F.col("record_type").isin("response", "revisit"), answer).alias("response"),
         F.when(F.col("record_type") == "request", F.struct("record_id", "http_status", "http_headers")).alias("request"),
         F.when(F.col("record_type") == "metadata", F.struct("record_id", fields.alias("fields"))).alias("metadata"),
     )
-    parts = [F.first(c, ignorenulls=True).alias(c) for c in ("response", "request", "metadata")]
-    return keyed.groupBy("capture_id").agg(*parts).where("response is not null")
+    names = keyed.columns
+    if unique_ids:
+        joined = keyed.mapInArrow(_together, StructType([*keyed.schema.fields, StructField("whole", BooleanType())]))
+        keyed = joined.where("not whole").select(*names)
+    parts = [F.first(c, ignorenulls=True).alias(c) for c in names[1:]]
+    grouped = keyed.groupBy("capture_id").agg(*parts).where("response is not null")
+    return joined.where("whole").select(*names).unionByName(grouped) if unique_ids else grouped
 
 
 def page_records(found: DataFrame) -> DataFrame:
@@ -213,9 +240,9 @@ def page_records(found: DataFrame) -> DataFrame:
     return first.unionByName(again.select(*out))
 
 
-def round_trip(pages: DataFrame, dedup_from: int = 0, with_payload: bool = True) -> DataFrame:
+def round_trip(pages: DataFrame, dedup_from: int = 0) -> DataFrame:
     """Write ``pages`` to archives in the shared folder, read them back and assemble the captures."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, dedup_from=dedup_from)
-    return assemble(read_archives(spark, path), with_payload)
+    return assemble(read_archives(spark, path), unique_ids=True)

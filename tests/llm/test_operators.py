@@ -340,6 +340,22 @@ def test_warc_round_trip(spark, sf):
             assert r.refers_to == first[h]
 
 
+def test_warc_transactions_over_batches(spark, sf):
+    """Records that come together and those that do not give the same captures, payloads included."""
+    pages = queries.table(spark, sf, "pages")
+    path = warc.new_path(spark, "warc")
+    warc.write_archives(pages, path)
+    records = warc.read_archives(spark, path).where("not (record_type = 'request' and target_uri like '%1%')").repartition(7)
+    known = lambda df: sorted(map(repr, df.selectExpr("capture_id", "response", "request is null as r", "metadata.fields['page-id'] as page").collect()))
+    expected = known(warc.assemble(records))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        assert known(warc.assemble(records, unique_ids=True)) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert known(warc.assemble(records.coalesce(1), unique_ids=True)) == expected and len(expected) == pages.count()
+
+
 def test_warc_threshold_and_empty(spark):
     schema = "page_id long, url string, html string, digest string"
     pages = spark.createDataFrame([(2, "u", "abc", "x"), (1, "u", "abc", "x"), (4, "u", "abcdef", "x"), (3, "u", "abcdef", "x")], schema)
