@@ -62,6 +62,26 @@ def _two_moves(v: Views):
 
 _EVENT_SPREAD = ["error", "progress", "warning"]
 
+#: The fold of T1: each row is compared with the last that passed.
+_THROTTLED = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY ts, id, progress) AS n FROM prog),
+    f AS (SELECT execution_id, n, ts, progress, ts AS last_ts, progress AS last_progress, TRUE AS passed FROM o WHERE n = 1
+          UNION ALL SELECT o.execution_id, o.n, o.ts, o.progress, CASE WHEN g.go THEN o.ts ELSE f.last_ts END, CASE WHEN g.go THEN o.progress ELSE f.last_progress END, g.go
+          FROM f JOIN o ON o.execution_id = f.execution_id AND o.n = f.n + 1, LATERAL (SELECT o.progress - f.last_progress >= 0.15::DOUBLE AND o.ts - f.last_ts >= 86400 AS go) g)
+    SELECT execution_id, ts, progress FROM f WHERE passed"""
+_SNAPSHOTS = """WITH o AS (SELECT l_orderkey::VARCHAR AS unit_id, l_shipdate::TIMESTAMP AS ts, min(CASE l_returnflag WHEN 'A' THEN 'queued' WHEN 'N' THEN 'running' ELSE 'completed' END) AS status FROM lineitem GROUP BY ALL),
+    s AS (SELECT *, lag(ts) OVER w AS old_ts, lag(status) OVER w AS old_status, lead(ts) OVER w AS next FROM o WINDOW w AS (PARTITION BY unit_id ORDER BY ts)),
+    c AS (SELECT unit_id, ts, CASE WHEN old_ts IS NULL OR ts - old_ts > INTERVAL 30 DAY THEN 'new' WHEN status = 'completed' AND old_status <> 'completed' THEN 'completed' WHEN status <> old_status THEN 'updated' END AS change FROM s)
+    SELECT * FROM c WHERE change IS NOT NULL
+    UNION ALL SELECT unit_id, ts + INTERVAL 30 DAY, 'removed' FROM s WHERE coalesce(next - ts > INTERVAL 30 DAY, ts + INTERVAL 30 DAY < (SELECT max(ts) FROM o) - INTERVAL 1 DAY)"""
+_FEED = """WITH r AS (SELECT work_id, epoch(started_at)::DOUBLE AS ts, CASE WHEN status <> 'queued' THEN (combination_id % 2)::VARCHAR END AS c, CASE WHEN status <> 'queued' THEN unit_id END AS unit_id, status, objective AS progress FROM ecombos),
+    p AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY ts, c NULLS FIRST, unit_id NULLS FIRST, status, progress NULLS FIRST) AS pos FROM r),
+    b AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY work_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM p),
+    n AS (SELECT *, c IS NOT NULL AND c IS DISTINCT FROM previous AS opens FROM b),
+    q AS (SELECT *, sum(opens::INT) OVER (PARTITION BY work_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM n),
+    e AS (SELECT work_id, run, min(pos) AS stop, min_by(ts, pos) AS at FROM q WHERE c IS NULL GROUP BY ALL UNION ALL SELECT work_id, run - 1, pos, ts FROM q WHERE opens)
+    SELECT work_id, ts, 'changed' AS event, previous, c AS combination_id, NULL::VARCHAR AS unit_id, NULL::VARCHAR AS status, NULL::DOUBLE AS progress FROM q WHERE opens
+    UNION ALL SELECT q.work_id, e.at, 'flush', NULL, q.c, q.unit_id, max_by(q.status, q.pos), arg_max_null(q.progress, q.pos) FROM q JOIN e ON q.work_id = e.work_id AND q.run = e.run AND q.pos < e.stop AND q.c IS NOT NULL GROUP BY q.work_id, e.stop, e.at, q.c, q.unit_id"""
+
 QUERIES = {
     # ---- tallies
     "a1_task_status": (lambda v: led.level_status(v.combinations, 1), _level(1)),
@@ -145,7 +165,9 @@ QUERIES = {
     "s15_full_results": (lambda v: store.full_results(v.combinations, v.executions).select("work_id", F.size("combinations").cast("long").alias("n"), F.aggregate("combinations", F.lit(0), lambda s, c: s + F.size(c["executions"])).cast("long").alias("runs")), "SELECT work_id, count(DISTINCT c.id) AS n, count(e.id) AS runs FROM combos c LEFT JOIN execs e ON e.combination_id = c.id GROUP BY work_id"),
     "s16_manifest": (lambda v: store.manifest({"combinations": v.combinations, "executions": v.executions, "events": v.run_events}), "SELECT 'combinations' AS table_name, count(*) AS n_rows, 8 AS n_columns FROM combos UNION ALL SELECT 'executions', count(*), 6 FROM execs UNION ALL SELECT 'events', count(*), 6 FROM evts"),
     # ---- feeds (batch twins)
-    "t1_throttle": (lambda v: feeds.throttled(v.progress, 0.15, 86_400.0), None),
+    "t1_throttle": (lambda v: feeds.throttled(v.progress, 0.15, 86_400.0), _THROTTLED),
+    "t2_snapshots": (lambda v: feeds.snapshot_changes(_seen(v), 30 * 86_400.0, 86_400.0), _SNAPSHOTS),
+    "t6_feed": (lambda v: feeds.combination_feed(_running(v)), _FEED),
     "t2_changes": (lambda v: feeds.changes(*_snapshots(v)), f"WITH o AS (SELECT unit_id, CASE WHEN status = 'completed' THEN 'running' ELSE status END AS status, objective FROM execs WHERE started_at < '1999-01-01'), n AS (SELECT unit_id, status, objective FROM execs WHERE started_at >= '1994-01-01') SELECT * FROM (SELECT coalesce(o.unit_id, n.unit_id) AS unit_id, CASE WHEN o.unit_id IS NULL THEN 'new' WHEN n.unit_id IS NULL THEN 'removed' WHEN n.status IN ('completed','failed','error') AND o.status NOT IN ('completed','failed','error') THEN 'completed' WHEN o.status <> n.status THEN 'updated' END AS change FROM o FULL JOIN n ON o.unit_id = n.unit_id) WHERE change IS NOT NULL"),
     "t3_new_events": (lambda v: feeds.new_events(v.run_events, ["error", "warning"]).groupBy("work_id", "event_type").count().withColumnRenamed("count", "n"), "SELECT work_id, event_type, count(*) AS n FROM evts WHERE event_type IN ('error','warning') GROUP BY ALL"),
     "t4_fingerprint_changes": (lambda v: feeds.fingerprint_changes(v.progress.select("execution_id", "id", F.floor(F.col("progress") * 4).alias("quarter")), "execution_id", "id", "quarter").select("execution_id", "id", "quarter"), "SELECT execution_id, id, floor(progress * 4)::BIGINT AS quarter FROM (SELECT *, lag(floor(progress * 4)) OVER (PARTITION BY execution_id ORDER BY id) AS b FROM (SELECT DISTINCT * FROM (SELECT execution_id, id, progress FROM prog))) WHERE b IS DISTINCT FROM floor(progress * 4)"),
@@ -156,6 +178,19 @@ QUERIES = {
 }
 
 
+def _seen(v: Views):
+    """Line items as snapshots of their orders."""
+    status = F.when(F.col("l_returnflag") == "A", "queued").when(F.col("l_returnflag") == "N", "running").otherwise("completed")
+    return v.table("lineitem").select(F.col("l_orderkey").cast("string").alias("unit_id"), F.col("l_shipdate").cast("timestamp").alias("ts"), status.alias("status"))
+
+
+def _running(v: Views):
+    """What was seen of each work's running combination, one of two; queued executions stand for none."""
+    some = F.col("status") != "queued"
+    rows = v.executions.join(v.combinations.select(F.col("id").alias("combination_id"), "work_id"), "combination_id")
+    return rows.select("work_id", F.unix_timestamp("started_at").cast("double").alias("ts"), F.when(some, F.col("combination_id") % 2).alias("combination_id"), F.when(some, F.col("unit_id")).alias("unit_id"), "status", F.col("objective").alias("progress"))
+
+
 def _works(v: Views):
     """A work for each task and region, with metadata as JSON."""
     rows = v.combinations.groupBy("task_id", "work_id").agg(F.min("status").alias("status"), F.array_sort(F.collect_set("dataset_id")).alias("tags"))
