@@ -64,7 +64,8 @@ _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 _SCOPES = frozenset("table ul ol dl select body html article main section div".split())
 
 _START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
-_ATTRS = re.compile(r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*")
+#: A quote opens a string only right after an equals sign, and only if it is closed somewhere.
+_ATTRS = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+")
 _ENDS = {"<!--": "-->", "<![CDATA[": "]]>", "<!": ">", "<?": ">"}
 _MARK = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -108,12 +109,12 @@ def _is_off(tag: str, attrs: str) -> bool:
 def parse(page: str) -> Node:
     """A tree from tag soup: omitted end tags are filled in, stray ones skipped. Takes time in proportion to the page.
 
-    A tag ends at the first ">" outside quotes. Once a page has shown a quote that isn't closed, quotes
-    in its later tags count for nothing.
+    A tag ends at the first ">" outside quoted values. A quote that isn't closed is the last of its
+    kind on the page, so looking for its end in vain happens once for each kind.
     """
     root = Node("html")
     stack, open_ = [root], Counter()
-    at, last, quotes = 0, page.rfind(">"), True
+    at, last = 0, page.rfind(">")
 
     def shut(i: int) -> None:
         open_.subtract(x.tag for x in stack[i:])
@@ -133,9 +134,9 @@ def parse(page: str) -> Node:
         if at > last:  # nothing ends the tag: it is text
             say(m[0])
             continue
-        end = _ATTRS.match(page, at).end() if quotes else page.find(">", at)
-        if page[end : end + 1] != ">":
-            quotes, end = False, page.find(">", at)
+        end = _ATTRS.match(page, at).end()
+        if page[end : end + 1] != ">":  # the last ">" stands in a quoted value
+            end = page.find(">", at)
         attrs, at = page[m.end() : end], end + 1
         tag = m[2].lower()
         if m[1]:
