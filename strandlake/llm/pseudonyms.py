@@ -25,19 +25,35 @@ KEY_SETTING = "spark.strandlake.pseudonym.key"
 #: Only for sessions on one machine that set no key, such as tests.
 DEMO_KEY = "strandlake-demo-key"
 
+#: The lengths of international bank account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+
+
+def _iban_form(length: int, countries: str) -> str:
+    """In groups of four or without spaces, and not a character longer than the country's numbers are."""
+    fours, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+_IBAN = "|".join(_iban_form(n, names) for n, names in IBAN_LENGTHS.items())
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: The forms that are looked for, in order of preference where several begin at one place.
 FORMS = {
     "secret": r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\b\s*[=:]\s*(?:\"[^\"\s]+\"|'[^'\s]+'|[^\s\"']+)",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,20}[A-Za-z]{2,63}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "iso_date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "dot_date": r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}(?!\.?[0-9])",
     "slash_date": r"(?<![0-9/])[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}(?![0-9/])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+(])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])|\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    # a known country's length first, so that no capitals behind the number are taken into it
+    "iban": rf"\b(?:{_IBAN})\b|\b[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
 }
 PATTERN = "|".join(FORMS.values())
@@ -145,7 +161,8 @@ def _respace(form: Column, text: Column) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """North American numbers keep +1 and valid area and exchange codes; others their first two digits."""
+    """North American numbers keep +1 and valid area and exchange codes; others their first two digits, and a trunk zero in brackets."""
+    m = F.replace(m, F.lit("(0)"), F.lit("(o)"))
     national = m.rlike(r"^(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}$")
 
     def north(d: Column) -> Column:
@@ -156,7 +173,7 @@ def _phone(m: Column, key: str) -> Column:
         return _let(s, lambda s: F.concat(F.substring(d, F.lit(1), n - 10), pad(s["a"] + 200, 3), pad(F.floor(s["b"] / 10_000) + 200, 3), pad(s["b"] % 10_000, 4)))
 
     other = lambda d: F.concat(F.substring(d, 1, 2), permute_digits(F.substring(d, F.lit(3), F.char_length(d) - 2), key, F.lit("phone")))
-    return _let(_digits(m), lambda d: _refill(m, F.when(national, north(d)).otherwise(other(d))))
+    return _let(_digits(m), lambda d: F.replace(_refill(m, F.when(national, north(d)).otherwise(other(d))), F.lit("(o)"), F.lit("(0)")))
 
 
 def _ssn(m: Column, key: str) -> Column:
