@@ -423,6 +423,12 @@ def dropped_lines(docs: DataFrame, least: float = JACCARD, short_lines: bool = F
     return gone.groupBy(F.col("place.row").alias("row")).agg(F.array_sort(F.collect_set("place.line_no")).alias("drop"))
 
 
+def _between(lines: Column, drop: str) -> Column:
+    """The lines less those whose numbers ``drop`` names in order: the stretches between these, in linear time."""
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(drop, i - 1) + 1)
+    return F.flatten(F.transform(F.concat(drop, F.array(F.size(lines))), lambda d, i: F.slice(lines, begin(i) + 1, d - begin(i))))
+
+
 def _marked(docs: DataFrame, id_col: str, text_col: str, least: float, short_lines: bool) -> tuple[DataFrame, str, Column, Column]:
     """The input's rows beside the numbers of the lines that go (in a column of the name given), their lines and new text."""
     row, drop = unused(docs, "row"), unused(docs, "drop")
@@ -432,7 +438,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, least: float, short_lin
     drops = dropped_lines(rows, least, short_lines).select(F.col("row").alias(row), F.col("drop").alias(drop))
     joined = held.join(drops, row, "left").withColumns({c: F.lit(None) for c in void})
     lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n")
+    kept = F.array_join(F.transform(F.array(lines), lambda all_: _between(all_, drop))[0], "\n")
     return joined, drop, lines, F.when(F.col(drop).isNull(), F.col(f"`{text_col}`")).otherwise(kept)
 
 
