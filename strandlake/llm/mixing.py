@@ -7,13 +7,22 @@ E_d = sum of r * n * p_d tokens of domain d. Rates minimise
 
     sum over d of (E_d - T_d)^2 / (2 T_d)  +  ridge / 2 * sum of n * (r - 1)^2
 
-for the target tokens T_d, by projected gradient steps in the metric in which a document weighs
-its tokens: r <- max(0, y - step * (sum over d of p_d (E_d(y) - T_d) / T_d + ridge * (y - 1))),
-with y the rates carried on by Nesterov's momentum.
+for the target tokens T_d, by projected gradient steps with Nesterov's momentum, y being the rates
+that momentum carries on:
 
-A step changes r by what the document's own posterior and the D sums E say. So a pass sends D
+    r <- max(0, y - (sum over d of p_d (E_d(y) - T_d) / T_d + ridge * (y - 1)) / (sum over d of p_d c_d + ridge)).
+
+Here c_d = E_d(1) / T_d, and n times the divisor is the sum of the document's row in the matrix of
+second derivatives. That matrix has no negative entry, so the diagonal of its row sums bounds it
+and the step is never too long, while documents of a rare domain take long steps where a common
+domain far above its target would dictate short ones.
+
+A step changes r by what the document's own posterior and the D sums E say. So a pass sends 2 D
 numbers to the driver, and the rates of the last pass are the fold of all these vectors, made
 anew from the posterior in each pass: nothing of the corpus's size is kept, sent or rewritten.
+Passes go on until the rates' own totals are within the tolerance of the targets or stand still
+(targets that no rates reach, such as those of a domain without documents); what is left is in
+the result as ``residual``.
 """
 
 from __future__ import annotations
@@ -36,8 +45,9 @@ DOMAINS = ("clean", "poor", "toxic")
 WEIGHTS = {"clean": 0.93, "poor": 0.05, "toxic": 0.02}
 ANCHOR = 1.1
 RIDGE = 1e-3
-PASSES = 30
 TOLERANCE = 1e-3
+#: Passes in a row that move no total by more than a thousandth of the tolerance end the fit.
+STILL = 3
 ROWS_A_LABEL = 4_000
 
 
@@ -70,10 +80,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, rows_a_label: int = ROWS_A_LA
     return out.select("id", F.col("n_words").alias("n"), p.alias("p"))
 
 
-def _fold(p: np.ndarray, errors: np.ndarray, step: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+def _fold(p: np.ndarray, errors: np.ndarray, scale: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
     """The rates after one step for each row of ``errors`` ((E - T) / T), from rates of 1, and the next y."""
     r = y = np.ones(len(p))
-    t = 1.0
+    t, step = 1.0, 1.0 / (p @ scale + ridge)
     for e in errors:
         new = np.maximum(0.0, y - step * (p @ e + ridge * (y - 1)))
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
@@ -85,38 +95,46 @@ def _arrays(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(b.column("n"), np.float64), np.asarray(b.column("p").flatten(), np.float64).reshape(-1, dim)
 
 
-def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE, passes: int = PASSES, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
-    """Error vectors and step size that give the rates of ``members(id, n, p)`` by `_fold`."""
+def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE, passes: int | None = None, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Error vectors and scale that give the rates of ``members(id, n, p)`` by `_fold`; at most so many ``passes`` if given."""
+    return _fit(members, targets, ridge, passes, tolerance)[:2]
+
+
+def _fit(members: DataFrame, targets: list[float], ridge: float, passes: int | None, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `fit_rates`, and by how much of its target each domain's total is off."""
     dim, goal = len(targets), np.array(targets)
 
-    def totals(errors: np.ndarray, step: float) -> np.ndarray:
+    def totals(errors: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(dim)
+            sums = np.zeros((2, dim))
             for b in batches:
                 n, p = _arrays(b, dim)
-                sums += (n * _fold(p, errors, step, ridge)[1]) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [f"e{k}" for k in range(dim)])
+                sums += (n * np.stack(_fold(p, errors, scale, ridge))) @ p
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums.ravel()], [f"e{k}" for k in range(2 * dim)])
 
-        one = members.mapInArrow(run, ", ".join(f"e{k} double" for k in range(dim))).agg(*[F.sum(f"e{k}") for k in range(dim)]).first()
-        return np.array([x or 0.0 for x in one])
+        one = members.mapInArrow(run, ", ".join(f"e{k} double" for k in range(2 * dim))).agg(*[F.sum(f"e{k}") for k in range(2 * dim)]).first()
+        of_r, of_y = np.array([x or 0.0 for x in one]).reshape(2, dim)
+        return of_r, of_y
 
     live = goal > 0
     relative = lambda e: np.where(live, (e - goal) / np.where(live, goal, 1.0), 0.0)
-    errors, step = np.zeros((0, dim)), 1.0
-    now = totals(errors, step)
-    step = 1.0 / (float(np.max(np.where(live, now / np.where(live, goal, 1.0), 0.0), initial=1.0)) + ridge)
-    for _ in range(passes):
-        e = relative(now)
-        if np.abs(e).max(initial=0.0) < tolerance or len(errors) > 4 and np.abs(e - errors[-1]).max() < tolerance / 5:
-            break
-        errors = np.vstack([errors, e])
-        now = totals(errors, step)
-    return errors, step
+    errors = np.zeros((0, dim))
+    of_r, of_y = totals(errors, np.ones(dim))
+    scale, left, still = relative(of_r) + live, relative(of_r), 0
+    while np.abs(left).max(initial=0.0) > tolerance and still < STILL and (passes is None or len(errors) < passes):
+        errors = np.vstack([errors, relative(of_y)])
+        of_r, of_y = totals(errors, scale)
+        now = relative(of_r)
+        still = still + 1 if np.abs(now - left).max() < tolerance / 1000 else 0
+        left = now
+    return errors, scale, left
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, anchor: float = ANCHOR, ridge: float = RIDGE) -> DataFrame:
-    """``(id, n, p, rate, copies)`` for each row of ``docs(id, text)``.
+    """``(id, n, p, rate, residual, copies)`` for each row of ``docs(id, text)``.
 
+    residual says for each domain by what share of its target the mixture's expected tokens are
+    off; it is the same in all rows.
     copies is the rate rounded to a neighbour by the id's hash, up with the chance of its
     fraction. Documents without words have no say in the totals; their rate follows their
     posterior as others' does. An empty table gives an empty result.
@@ -127,14 +145,14 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     have = members.agg(*[F.sum(F.col("n") * F.col("p")[k]) for k in range(dim)]).first()
     first = have[0] or 0.0
     total = anchor * first / weights[DOMAINS[0]]
-    errors, step = fit_rates(members, [weights[d] * total for d in DOMAINS], ridge)
+    errors, scale, left = _fit(members, [weights[d] * total for d in DOMAINS], ridge, None, TOLERANCE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, p = _arrays(b, dim)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_fold(p, errors, step, ridge)[0])], ["id", "n", "p", "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_fold(p, errors, scale, ridge)[0])], ["id", "n", "p", "rate"])
 
-    out = members.mapInArrow(run, "id long, n long, p array<double>, rate double")
+    out = members.mapInArrow(run, "id long, n long, p array<double>, rate double").withColumn("residual", F.array(*[F.lit(float(x)) for x in left]))
     chance = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 20)) / float(1 << 20)
     return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 

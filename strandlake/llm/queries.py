@@ -13,7 +13,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     found = mixing.rates(docs, table(spark, sf_dir, "labels"))
     p = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), *p, "rate", "copies")
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), *p, "rate", "copies", *[F.col("residual")[k].alias(f"residual_{d}") for k, d in enumerate(mixing.DOMAINS)])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
