@@ -44,7 +44,8 @@ DOMAINS = ("clean", "poor", "toxic")
 #: fill that domain's share, so that its documents are kept and some come twice.
 WEIGHTS = {"clean": 0.93, "poor": 0.05, "toxic": 0.02}
 ANCHOR = 1.1
-RIDGE = 1e-3
+#: Keeps rates near 1 where the targets leave a choice; it holds totals off their targets by about its size times (rate - 1).
+RIDGE = 1e-4
 TOLERANCE = 1e-3
 #: Passes in a row that move no total by more than a thousandth of the tolerance end the fit.
 STILL = 3
