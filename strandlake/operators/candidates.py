@@ -6,11 +6,13 @@ seed and the row's keys, so a result depends on no partitioning and on no order
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import pick, replace_at, symbols, unit
-from ..tables import is_empty, stage
+from ..tables import is_empty, stage, unstage
 from .consensus import best_candidate, hill_climb, plurality, score_candidates
 from .distance import center_distances, neighbours
 from .profile import alphabets, chars
@@ -20,25 +22,26 @@ def _length() -> Column:
     return F.char_length("candidate")
 
 
-def refine_greedy(seqs: DataFrame, centers: DataFrame, rounds: int = 200) -> DataFrame:
-    """Best symbol of the whole alphabet at any position until nothing improves (or ``rounds``)."""
+def refine_greedy(seqs: DataFrame, centers: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Best symbol of the whole alphabet at any position until nothing improves, or for so many ``rounds``."""
     letters = alphabets(seqs).select("dataset_id", F.explode(symbols("alphabet")).alias("b"))
     places = chars(seqs).select("dataset_id", "pos").distinct()
     return hill_climb(seqs, centers, rounds, places.join(letters, "dataset_id"))
 
 
-def _improve(seqs: DataFrame, centers: DataFrame, moves, rounds: int) -> DataFrame:
-    """Rounds of: all texts that ``moves`` makes of each centre, the best kept if it is better."""
+def _improve(seqs: DataFrame, centers: DataFrame, moves, rounds: int | None) -> DataFrame:
+    """Rounds of: all texts that ``moves`` makes of each centre, the best kept if it is better; without a number until none is."""
     state = stage(center_distances(seqs, centers.select("dataset_id", "center")).groupBy("dataset_id", "center").agg(F.max("d").alias("max_distance")), "moves")
-    for _ in range(rounds):
-        made = moves(state.select("dataset_id", F.col("center").alias("candidate")))
+    state = state.withColumn("better", F.lit(True))
+    for _ in count() if rounds is None else range(rounds):
+        made = moves(state.where("better").select("dataset_id", F.col("center").alias("candidate")))
         best = best_candidate(score_candidates(seqs, made)).select("dataset_id", F.col("center").alias("new"), F.col("max_distance").alias("new_d"))
-        both = state.join(best, "dataset_id", "left").withColumn("better", F.coalesce(F.col("new_d") < F.col("max_distance"), F.lit(False)))
-        nxt = stage(both.select("dataset_id", F.when(F.col("better"), F.col("new")).otherwise(F.col("center")).alias("center"), F.when(F.col("better"), F.col("new_d")).otherwise(F.col("max_distance")).alias("max_distance"), "better"), "moves")
-        state = nxt.drop("better")
-        if is_empty(nxt.where("better")):
+        both = state.drop("better").join(best, "dataset_id", "left").withColumn("better", F.coalesce(F.col("new_d") < F.col("max_distance"), F.lit(False)))
+        before, state = state, stage(both.select("dataset_id", F.when(F.col("better"), F.col("new")).otherwise(F.col("center")).alias("center"), F.when(F.col("better"), F.col("new_d")).otherwise(F.col("max_distance")).alias("max_distance"), "better"), "moves")
+        unstage(before)
+        if is_empty(state.where("better")):
             break
-    return state
+    return state.drop("better")
 
 
 def _pairs_of_places(df: DataFrame) -> DataFrame:
@@ -80,7 +83,7 @@ def refine_insertion(seqs: DataFrame, centers: DataFrame, rounds: int = 1) -> Da
     return _improve(seqs, centers, insertions, rounds)
 
 
-def refine_2opt(seqs: DataFrame, centers: DataFrame, rounds: int = 20) -> DataFrame:
+def refine_2opt(seqs: DataFrame, centers: DataFrame, rounds: int | None = None) -> DataFrame:
     return _improve(seqs, centers, reversals, rounds)
 
 

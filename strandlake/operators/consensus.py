@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import hamming, unit
-from ..tables import is_empty, stage
+from ..tables import is_empty, stage, unstage
 from .components import connected_components
 from .distance import center_distances, neighbours, summary
 from .profile import block_spans, mean_pair_distance, repair_length, segments, sizes, symbol_counts
@@ -186,34 +188,36 @@ def with_fallback(seqs: DataFrame, centers: DataFrame) -> DataFrame:
     return centers.select("dataset_id", "center", F.lit(False).alias("fallback_used")).unionByName(fill)
 
 
-def hill_climb(seqs: DataFrame, centers: DataFrame, rounds: int = 3, alternatives: DataFrame | None = None) -> DataFrame:
+def hill_climb(seqs: DataFrame, centers: DataFrame, rounds: int | None = None, alternatives: DataFrame | None = None) -> DataFrame:
     """One-symbol steps while the largest distance falls: ``(dataset_id, center, max_distance)``.
 
     A step takes the best (distance, position, symbol). With m the largest distance of the rows
     that have symbol x at a position, putting b there for a gives the maximum over x of
     m - [x != a] + [x != b]; so a round reads the rows once and joins position tables only.
     ``alternatives(dataset_id, pos, b)`` may offer more symbols than those seen at a position.
+    Without a number of ``rounds`` it goes on until no dataset gains, which ends, as every round
+    lowers a distance. A dataset that gained nothing is not looked at again.
     """
     from .profile import chars
 
-    state = stage(center_distances(seqs, centers.select("dataset_id", "center")).groupBy("dataset_id", "center").agg(F.max("d").alias("max_distance")), "climb")
-    for _ in range(rounds):
-        d = center_distances(seqs, state.where("max_distance > 0").select("dataset_id", "center")).select("dataset_id", "seq_index", "center", "sequence", "d")
+    state = stage(center_distances(seqs, centers.select("dataset_id", "center")).groupBy("dataset_id", "center").agg(F.max("d").alias("max_distance")).withColumn("better", F.lit(True)), "climb")
+    for _ in count() if rounds is None else range(rounds):
+        d = center_distances(seqs, state.where("better AND max_distance > 0").select("dataset_id", "center")).select("dataset_id", "seq_index", "center", "sequence", "d")
         at = chars(d).join(d.select("dataset_id", "seq_index", "d", "center"), ["dataset_id", "seq_index"])
         worst = at.groupBy("dataset_id", "pos", "ch").agg(F.max("d").alias("m"), F.first(F.substring("center", F.col("pos") + 1, F.lit(1))).alias("a"))
         offers = worst.select("dataset_id", "pos", F.col("ch").alias("b")) if alternatives is None else alternatives
         new = worst.join(offers, ["dataset_id", "pos"]).where("a <> b").groupBy("dataset_id", "pos", "b").agg(F.max(F.col("m") - (F.col("ch") != F.col("a")).cast("int") + (F.col("ch") != F.col("b")).cast("int")).alias("d"))
         best = new.groupBy("dataset_id").agg(F.min(F.struct("d", "pos", "b")).alias("s"))
-        gain = state.join(best, "dataset_id", "left").withColumn("better", F.coalesce(F.col("s.d") < F.col("max_distance"), F.lit(False)))
+        gain = state.drop("better").join(best, "dataset_id", "left").withColumn("better", F.coalesce(F.col("s.d") < F.col("max_distance"), F.lit(False)))
         moved = F.overlay("center", F.col("s.b"), F.col("s.pos") + 1, F.lit(1))
-        nxt = stage(gain.select("dataset_id", F.when(F.col("better"), moved).otherwise(F.col("center")).alias("center"), F.when(F.col("better"), F.col("s.d")).otherwise(F.col("max_distance")).alias("max_distance"), "better"), "climb")
-        state = nxt.drop("better")
-        if is_empty(nxt.where("better")):
+        before, state = state, stage(gain.select("dataset_id", F.when(F.col("better"), moved).otherwise(F.col("center")).alias("center"), F.when(F.col("better"), F.col("s.d")).otherwise(F.col("max_distance")).alias("max_distance"), "better"), "climb")
+        unstage(before)
+        if is_empty(state.where("better")):
             break
-    return state
+    return state.drop("better")
 
 
-def cluster_recombine(seqs: DataFrame, radius: int, n_blocks: int = 2, mode: str = "per_block", rounds: int = 50, limit: int = MAX_CANDIDATES) -> DataFrame:
+def cluster_recombine(seqs: DataFrame, radius: int, n_blocks: int = 2, mode: str = "per_block", rounds: int | None = None, limit: int = MAX_CANDIDATES) -> DataFrame:
     """Clusters, their centres, recombined, the best refined; without clusters the consensus."""
     centers = cluster_consensus(seqs, clusters(seqs, radius))
     best = best_candidate(score_candidates(seqs, recombine(centers, n_blocks, mode, limit)))
@@ -274,7 +278,7 @@ def fuse_blocks(choices: DataFrame, spans: DataFrame, alphabet: str = "A") -> Da
     return joined(fixed, ["dataset_id"], "block_no", "part", "center")
 
 
-def block_heuristic(seqs: DataFrame, alphabet: str, width: int = BEAM_WIDTH, k: int = K_CANDIDATES, rounds: int = 3) -> DataFrame:
+def block_heuristic(seqs: DataFrame, alphabet: str, width: int = BEAM_WIDTH, k: int = K_CANDIDATES, rounds: int | None = None) -> DataFrame:
     """Blocks of about sqrt(length), searched by their difficulty, fused and refined."""
     lengths = seqs.groupBy("dataset_id").agg(F.min(F.char_length("sequence")).alias("length"))
     spans = stage(block_spans(lengths, "sqrt"), "spans")

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import hamming, metric
+from ..functions.strings import hamming, hamming_of, metric, packed
 from .profile import diversity, mean_pair_distance
 
 
 def center_distances(seqs: DataFrame, centers: DataFrame, name: str = "hamming") -> DataFrame:
     """``centers(dataset_id, center)`` joined to all rows of their dataset, with the distance d."""
-    return seqs.join(centers, "dataset_id").withColumn("d", metric(name)(F.col("center"), F.col("sequence")))
+    a, b = F.col("center"), F.col("sequence")
+    if metric(name) is not hamming:
+        return seqs.join(centers, "dataset_id").withColumn("d", metric(name)(a, b))
+    # packed before they meet: once a row and once a centre
+    both = seqs.withColumn("packed_row", packed(b)).join(centers.withColumn("packed_center", packed(a)), "dataset_id")
+    return both.withColumn("d", hamming_of(a, b, F.col("packed_center"), F.col("packed_row"))).drop("packed_row", "packed_center")
 
 
 def summary(distances: DataFrame, *keys: str) -> DataFrame:
@@ -50,9 +55,11 @@ def compare(seqs: DataFrame, first: DataFrame, second: DataFrame, name: str = "h
 
 def pair_table(seqs: DataFrame, name: str = "hamming") -> DataFrame:
     """All pairs of a dataset once, with their distance: for datasets small enough to square."""
-    a = seqs.select("dataset_id", F.col("seq_index").alias("i"), F.col("sequence").alias("a"))
-    b = seqs.select("dataset_id", F.col("seq_index").alias("j"), F.col("sequence").alias("b"))
-    return a.join(b, "dataset_id").where("i < j").select("dataset_id", "i", "j", metric(name)(F.col("a"), F.col("b")).alias("d"))
+    a = seqs.select("dataset_id", F.col("seq_index").alias("i"), F.col("sequence").alias("a"), packed(F.col("sequence")).alias("pa"))
+    b = seqs.select("dataset_id", F.col("seq_index").alias("j"), F.col("sequence").alias("b"), packed(F.col("sequence")).alias("pb"))
+    texts = F.col("a"), F.col("b")
+    d = hamming_of(*texts, F.col("pa"), F.col("pb")) if metric(name) is hamming else metric(name)(*texts)
+    return a.join(b, "dataset_id").where("i < j").select("dataset_id", "i", "j", d.alias("d"))
 
 
 def pair_extremes(seqs: DataFrame) -> DataFrame:
@@ -74,7 +81,8 @@ def neighbours(seqs: DataFrame, radius: int) -> DataFrame:
     Cut into radius + 1 blocks, near strings agree on a whole block, so an equi-join on
     (dataset, length, block, text) finds all; equal strings are joined as one class and linked to
     their first row, which keeps a group of copies linear. Rows are the classes' first ones, and
-    copies are given as links of distance 0 to theirs.
+    copies are given as links of distance 0 to theirs. A pair is given at its first common block
+    alone, so nothing is left to make distinct.
     """
     n = F.char_length("sequence")
     keys = ["dataset_id", "sequence"]
@@ -84,7 +92,13 @@ def neighbours(seqs: DataFrame, radius: int) -> DataFrame:
     piece = lambda k: F.substring("sequence", F.floor(k * n / count).cast("int") + 1, (F.floor((k + 1) * n / count) - F.floor(k * n / count)).cast("int"))
     whole = F.array(F.struct(F.lit(-1).alias("k"), F.lit("").alias("seg")))  # at a radius of the length all are near
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(k.alias("k"), piece(k).alias("seg")))
-    banded = first.select("dataset_id", "i", "sequence", n.alias("n"), F.explode(F.when(n <= radius, whole).otherwise(cut)).alias("b")).select("dataset_id", "i", "sequence", "n", "b.k", "b.seg")
-    other = banded.select("dataset_id", "n", "k", "seg", F.col("i").alias("j"), F.col("sequence").alias("other"))
-    met = banded.join(other, ["dataset_id", "n", "k", "seg"]).where("i < j").withColumn("d", hamming(F.col("sequence"), F.col("other"))).where(F.col("d") <= radius)
-    return met.select("dataset_id", "i", "j", "d").distinct().unionByName(copies)
+    blocks = F.when(n <= radius, whole).otherwise(cut)
+    banded = first.select("dataset_id", "i", "sequence", packed(F.col("sequence")).alias("p"), n.alias("n"), F.explode(blocks).alias("b")).select("dataset_id", "i", "sequence", "p", "n", "b.k", "b.seg")
+    other = banded.select("dataset_id", "n", "k", "seg", F.col("i").alias("j"), F.col("sequence").alias("other"), F.col("p").alias("q"))
+    met = banded.join(other, ["dataset_id", "n", "k", "seg"]).where("i < j")
+    near = met.withColumn("d", hamming_of(F.col("sequence"), F.col("other"), F.col("p"), F.col("q"))).where(F.col("d") <= radius)
+    begin = lambda k: F.floor(k * n / count).cast("int")
+    same = lambda k: F.substring("sequence", begin(k) + 1, begin(k + 1) - begin(k)) == F.substring("other", begin(k) + 1, begin(k + 1) - begin(k))
+    # only pairs that are near are looked at again: does an earlier block agree?
+    before = (F.col("k") > 0) & F.exists(F.sequence(F.lit(0), F.greatest(F.col("k") - 1, F.lit(0))), same)
+    return near.where(~before).select("dataset_id", "i", "j", "d").unionByName(copies)

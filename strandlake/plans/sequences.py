@@ -154,10 +154,10 @@ QUERIES = {
     "k5_recombine": (lambda v: cons.recombine(v.dna.select("dataset_id", F.col("seq_index").alias("cluster_id"), F.col("sequence").alias("center")), 2), "SELECT a.dataset_id, (row_number() OVER (PARTITION BY a.dataset_id ORDER BY a.seq_index, b.seq_index) - 1) AS cand_no, substr(a.sequence, 1, 16) || substr(b.sequence, 17, 16) AS candidate FROM dna a JOIN dna b ON a.dataset_id = b.dataset_id QUALIFY cand_no < 5000"),
     "k6_best_candidate": (lambda v: cons.best_candidate(cons.score_candidates(v.dna, v.dna.select("dataset_id", F.col("seq_index").alias("cand_no"), F.col("sequence").alias("candidate")))), "WITH s AS (SELECT a.dataset_id, a.seq_index, a.sequence AS center, max(hamming(a.sequence, b.sequence)) AS max_distance FROM dna a JOIN dna b ON a.dataset_id = b.dataset_id GROUP BY ALL) SELECT dataset_id, center, max_distance FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY max_distance, seq_index) AS r FROM s) WHERE r = 1"),
     "k7_fallback": (lambda v: cons.with_fallback(v.dna, cons.best_candidate(cons.score_candidates(v.dna, cons.recombine(cons.cluster_consensus(v.dna, cons.clusters(v.dna, 7)), 2)))).select("dataset_id", "center", "fallback_used"), None),
-    "k8_cluster_recombine": (lambda v: cons.cluster_recombine(v.dna, RADIUS, rounds=3), None),
+    "k8_cluster_recombine": (lambda v: cons.cluster_recombine(v.dna, RADIUS), None),
     "h1_exhaustive": (lambda v: cons.exhaustive_blocks(v.dna, prof.block_spans(_lengths(v), "fixed", size=4), DNA, 3), "WITH al AS (SELECT unnest(['A','C','G','T']) AS x), tx AS (SELECT a.x || b.x || c.x || d.x AS candidate FROM al a, al b, al c, al d), sg AS (SELECT DISTINCT dataset_id, b AS block_no, substr(sequence, b::INT * 4 + 1, 4) AS seg FROM dna, range(8) t(b)), sc AS (SELECT dataset_id, block_no, candidate, max(hamming(candidate, seg)) AS d FROM sg, tx GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY dataset_id, block_no ORDER BY d, candidate) - 1 AS cand_no FROM sc QUALIFY cand_no < 3"),
     "h2_beam": (lambda v: cons.beam_blocks(v.dna, prof.block_spans(_lengths(v), "fixed", size=8), DNA, 8, 3), None),
-    "h4_block_heuristic": (lambda v: cons.block_heuristic(v.dna, DNA, width=8, k=3, rounds=2), None),
+    "h4_block_heuristic": (lambda v: cons.block_heuristic(v.dna, DNA, width=8, k=3), None),
     "r1_hill_climb": (lambda v: cons.hill_climb(v.dna, v.centers, 1).select("dataset_id", "center", "max_distance"), "WITH alt AS (SELECT DISTINCT dataset_id, pos, ch AS b FROM dchars), mv AS (SELECT dataset_id, pos, b, center, substr(center, 1, pos::INT) || b || substr(center, pos::INT + 2) AS nc FROM centers JOIN alt USING (dataset_id) WHERE substr(center, pos::INT + 1, 1) <> b), sc AS (SELECT mv.dataset_id, pos, b, nc, max(hamming(nc, sequence)) AS d FROM mv JOIN dna USING (dataset_id) GROUP BY ALL), best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY d, pos, b) = 1), now AS (SELECT dataset_id, center, max(d) AS m FROM dist GROUP BY ALL) SELECT dataset_id, CASE WHEN d < m THEN nc ELSE center END AS center, least(d, m) AS max_distance FROM now JOIN best USING (dataset_id)"),
     "r2_greedy": (lambda v: cand.refine_greedy(v.dna, v.centers), None),
     "r3_swap": (lambda v: cand.refine_swap(v.dna, v.centers), _improved("SELECT dataset_id, i * 32 + j AS no, substr(center, 1, i::INT) || substr(center, j::INT + 1, 1) || substr(center, i::INT + 2, (j - i - 1)::INT) || substr(center, i::INT + 1, 1) || substr(center, j::INT + 2) AS nc FROM centers, range(32) a(i), range(32) b(j) WHERE i < j")),

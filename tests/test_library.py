@@ -224,3 +224,34 @@ def test_user_metric(spark):
     assert sorted(r["d"] for r in d.collect()) == [0, 1]
     texts = spark.createDataFrame([('{"a": 1}',), (" ",), ('say "x"',)], "t string")
     assert [r["j"] for r in texts.select(safe_json(F.col("t")).alias("j")).collect()] == ['{"a": 1}', None, '"say \\"x\\""']
+
+
+def test_packed_distances(spark):
+    from strandlake.functions.strings import hamming, hamming_of, packed
+
+    texts = ["", "A", "ACGTACG", "ACGTACGT", "ACGTTCGA", "ACGTACGTACGTACGTACGT", "TCGTACGTACGTACGTACGA", "Äbc", "Abc", "\x00\x7f ", "\x7f\x00 ", None]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = rows.select(hamming(a, b).alias("x"), hamming_of(a, b, packed(a), packed(b)).alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in got) and any(r["x"] == 2 for r in got)
+
+
+def test_neighbours_are_given_once(spark):
+    import itertools
+    import random
+
+    rnd = random.Random(7)
+    base = ["".join(rnd.choice("ACGT") for _ in range(24)) for _ in range(12)]
+    texts = [b if k == 0 else "".join(rnd.choice("ACGT") if rnd.random() < 0.08 else c for c in b) for b in base for k in range(12)] + ["AC", "AG", "CGT", "", "ÄÖÜ", "ÄÖU"]
+    got = sorted((r["i"], r["j"], r["d"]) for r in dist.neighbours(seqs(spark, *texts), 4).collect() if r["d"] > 0)
+    want = sorted((i, j, d) for (i, x), (j, y) in itertools.combinations(enumerate(texts), 2) if len(x) == len(y) and x != y and (d := sum(p != q for p, q in zip(x, y))) <= 4 and texts.index(x) == i and texts.index(y) == j)
+    assert got == want and len(got) > 100
+
+
+def test_climbs_end_where_nothing_is_gained(spark):
+    s = seqs(spark, "ACGTACGT", "ACGAACGA", "TCGTACGA", "ACCTACGT").unionByName(seqs(spark, "AAAA", "AAAA", dataset="same"))
+    begin = center(spark, "TTCCAAGG").unionByName(center(spark, "AAAT", "same"))
+    for refine in (cons.hill_climb, cand.refine_greedy, cand.refine_2opt):
+        end = {r["dataset_id"]: (r["center"], r["max_distance"]) for r in refine(s, begin).collect()}
+        again = {r["dataset_id"]: (r["center"], r["max_distance"]) for r in refine(s, spark.createDataFrame([(k, c) for k, (c, _) in end.items()], "dataset_id string, center string")).collect()}
+        assert end == again
