@@ -17,12 +17,16 @@ second derivatives. That matrix has no negative entry, so the diagonal of its ro
 and the step is never too long, while documents of a rare domain take long steps where a common
 domain far above its target would dictate short ones.
 
-A step changes r by what the document's own posterior and the D sums E say. So a pass sends 2 D
-numbers to the driver, and the rates of the last pass are the fold of all these vectors, made
-anew from the posterior in each pass: nothing of the corpus's size is kept, sent or rewritten.
-Passes go on until the rates' own totals are within the tolerance of the targets or stand still
-(targets that no rates reach, such as those of a domain without documents); what is left is in
-the result as ``residual``.
+A step changes r by what the document's own posterior and the D sums E say. So the rates are the
+fold of the steps' D error numbers, made anew from the posterior wherever they are needed: nothing
+of the corpus's size is kept, sent or rewritten.
+
+Steps are many where posteriors are soft or targets out of reach, so the first of them are taken on
+cells: Spark adds up the tokens of documents with about the same posterior, in a number of cells
+that the grid bounds whatever the corpus. Then each step is a pass over all documents, which sends
+2 D numbers to the driver. Passes go on until the rates' own totals are within the tolerance of
+the targets, or stand still (targets that no rates reach, such as those of a domain without
+documents); what is left is in the result as ``residual``.
 """
 
 from __future__ import annotations
@@ -47,8 +51,12 @@ ANCHOR = 1.1
 #: Keeps rates near 1 where the targets leave a choice; it holds totals off their targets by about its size times (rate - 1).
 RIDGE = 1e-4
 TOLERANCE = 1e-3
-#: Passes in a row that move no total by more than a thousandth of the tolerance end the fit.
+#: Passes in a row that move no total by more than half the tolerance end the fit.
 STILL = 3
+#: The grid of the cells: how many to a doubling of a posterior, and the least posterior told from 0.
+CELLS_A_DOUBLING, LEAST_POSTERIOR = 4, 2.0**-16
+#: Steps on cells, at most. They are a start only: passes over all documents follow.
+CELL_STEPS = 500
 ROWS_A_LABEL = 4_000
 
 
@@ -81,14 +89,22 @@ def posteriors(docs: DataFrame, labels: DataFrame, rows_a_label: int = ROWS_A_LA
     return out.select("id", F.col("n_words").alias("n"), p.alias("p"))
 
 
+def _step(p: np.ndarray, r: np.ndarray, y: np.ndarray, t: float, e: np.ndarray, scale: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The next rates, carried-on rates and momentum."""
+    new = np.maximum(0.0, y - (p @ e + ridge * (y - 1)) / (p @ scale + ridge))
+    after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+    return new, new + (t - 1) / after * (new - r), after
+
+
 def _fold(p: np.ndarray, errors: np.ndarray, scale: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rates after one step for each row of ``errors`` ((E - T) / T), from rates of 1, and the next y."""
+    """The rates after one step for each row of ``errors`` ((E - T) / T), from rates of 1, and the next y.
+
+    At a row of NaN momentum starts anew.
+    """
     r = y = np.ones(len(p))
-    t, step = 1.0, 1.0 / (p @ scale + ridge)
+    t = 1.0
     for e in errors:
-        new = np.maximum(0.0, y - step * (p @ e + ridge * (y - 1)))
-        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        y, r = new + (before - 1) / t * (new - r), new
+        r, y, t = (r, r, 1.0) if np.isnan(e).any() else _step(p, r, y, t, e, scale, ridge)
     return r, y
 
 
@@ -101,6 +117,15 @@ def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE, pa
     return _fit(members, targets, ridge, passes, tolerance)[:2]
 
 
+def _cells(members: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and mean posteriors of the cells: at most (16 doublings of 4 cells, and one) to the power ``dim`` - 1, times a few."""
+    cell = [F.round(CELLS_A_DOUBLING * F.log2(F.greatest(F.col("p")[k], F.lit(LEAST_POSTERIOR)))).alias(f"c{k}") for k in range(dim)]
+    sums = [F.sum(F.col("n") * F.col("p")[k]).alias(f"s{k}") for k in range(dim)]
+    rows = members.where("n > 0").groupBy(*cell).agg(F.sum("n").alias("n"), *sums).collect()
+    n = np.array([r["n"] for r in rows], np.float64)
+    return n, np.array([[r[f"s{k}"] for k in range(dim)] for r in rows]).reshape(-1, dim) / n[:, None]
+
+
 def _fit(members: DataFrame, targets: list[float], ridge: float, passes: int | None, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As `fit_rates`, and by how much of its target each domain's total is off."""
     dim, goal = len(targets), np.array(targets)
@@ -121,16 +146,31 @@ def _fit(members: DataFrame, targets: list[float], ridge: float, passes: int | N
     relative = lambda e: np.where(live, (e - goal) / np.where(live, goal, 1.0), 0.0)
     errors = np.zeros((0, dim))
     of_r, of_y = totals(errors, np.ones(dim))
-    scale, left, still = relative(of_r) + live, relative(of_r), 0
-    while np.abs(left).max(initial=0.0) > tolerance and still < STILL and (passes is None or len(errors) < passes):
-        errors = np.vstack([errors, relative(of_y)])
+    scale, left, still, done = relative(of_r) + live, relative(of_r), 0, 0
+    if np.abs(left).max(initial=0.0) > tolerance:
+        errors = np.vstack([_steps_on_cells(*_cells(members, dim), relative, scale, ridge, tolerance / 4), np.full(dim, np.nan)])
+        of_r, of_y = totals(errors, scale)
+        left = relative(of_r)
+    while np.abs(left).max(initial=0.0) > tolerance and still < STILL and (passes is None or done < passes):
+        errors, done = np.vstack([errors, relative(of_y)]), done + 1
         of_r, of_y = totals(errors, scale)
         now = relative(of_r)
-        still = still + 1 if np.abs(now - left).max() < tolerance / 1000 else 0
+        still = still + 1 if np.abs(now - left).max() < tolerance / 2 else 0
         left = now
     return errors, scale, left
 
 
+def _steps_on_cells(n: np.ndarray, p: np.ndarray, relative, scale: np.ndarray, ridge: float, tolerance: float) -> np.ndarray:
+    """Error vectors of the steps that bring the cells' totals to their targets, or as near as ``CELL_STEPS`` do."""
+    errors: list[np.ndarray] = []
+    r = y = np.ones(len(n))
+    t = 1.0
+    while len(errors) < CELL_STEPS and np.abs(relative((n * r) @ p)).max(initial=0.0) > tolerance:
+        errors.append(relative((n * y) @ p))
+        r, y, t = _step(p, r, y, t, errors[-1], scale, ridge)
+    return np.array(errors).reshape(-1, len(scale))
+
+
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, anchor: float = ANCHOR, ridge: float = RIDGE) -> DataFrame:
     """``(id, n, p, rate, residual, copies)`` for each row of ``docs(id, text)``.
 
