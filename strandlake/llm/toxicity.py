@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
@@ -28,6 +29,7 @@ from .common import columns_apart, stage
 ROWS_A_LABEL = 6_000
 LEXICON_SIZE = 3_000
 PREFIXES = (4, 5, 6)
+HEAD = min(PREFIXES)
 THRESHOLD = 0.3
 
 #: Common insults, and words that address somebody: chosen here, and added to by what labelled rows show.
@@ -42,6 +44,9 @@ _EDGE = "\"'`.,;:!?()[]{}<>«»„“”‚‘’…-–—/\\|&%#*~_+=^"
 _INSIDE = re.compile(r"(?<=[^\W\d_])[0-9@$!|*#_.+-]+(?=[^\W\d_])")
 _LETTER = re.compile(r"[^\W\d_]")
 
+_ASCII = re.compile(r"[\x00-\x7f]+")
+_CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
+
 #: What `look` says of most words, and how many words a task remembers.
 PLAIN = (0.0, False, False)
 MOST_SEEN = 200_000
@@ -77,25 +82,39 @@ def look(word: str, lexicon: dict[str, float]) -> tuple[float, bool, bool]:
     return (found, odd, hidden) if found or odd else PLAIN
 
 
-def features(text: str, lexicon: dict[str, float], seen: dict[str, tuple[float, bool, bool]] | None = None) -> list[float]:
-    """The numbers of ``FEATURES``; all 0 for a text without words. ``seen`` remembers words for later texts."""
+def heads(lexicon: dict[str, float]) -> frozenset[str]:
+    """How the lexicon's words and word beginnings begin: a word of letters that begins otherwise has no weight."""
+    return frozenset(term[:HEAD] for term in lexicon)
+
+
+def capitals(text: str) -> int:
+    """Upper-case letters of a text."""
+    plain = text.encode("ascii", "ignore")
+    others = 0 if len(plain) == len(text) else sum(map(str.isupper, _ASCII.sub("", text)))
+    return len(plain) - len(plain.translate(None, _CAPITALS)) + others
+
+
+def features(text: str, lexicon: dict[str, float], seen: dict[str, tuple[float, bool, bool]] | None = None, begins: frozenset[str] | None = None) -> list[float]:
+    """The numbers of ``FEATURES``; all 0 for a text without words.
+
+    ``seen`` remembers what `look` says of words, for later texts; ``begins`` are the lexicon's `heads`.
+    """
     raw = text.split()
     n = len(raw)
     if not n:
         return [0.0] * len(FEATURES)
     seen = {} if seen is None else seen
-    low = text.lower().split()
-    counts: dict[str, int] = {}
-    for token, k in Counter(low).items():
-        w = bare(token)
-        counts[w] = counts.get(w, 0) + k
+    begins = heads(lexicon) if begins is None else begins
+    words = list(map(str.strip, text.lower().split(), repeat(_EDGE)))
+    counts = Counter(words)
     weights: dict[str, float] = {}
     hits, hidden, odd = 0, 0, 0
-    for w, k in counts.items():
+    for w in [w for w in counts if w[:HEAD] in begins or not w.isalpha()]:
         if (known := seen.get(w)) is None:
             known = seen[w] = look(w, lexicon)
         if known is PLAIN:
             continue
+        k = counts[w]
         if known[0]:
             weights[w] = known[0]
             hits += k
@@ -103,25 +122,24 @@ def features(text: str, lexicon: dict[str, float], seen: dict[str, tuple[float,
         hidden += k * known[2]
     if len(seen) > MOST_SEEN:
         seen.clear()
-    words = list(map(bare, low)) if weights or min(map(len, counts)) <= 1 else []
     near = 0
     if weights and not YOU.isdisjoint(counts):
         you = [i for i, w in enumerate(words) if w in YOU]
         close = {j for i in you for j in range(i - 3, i + 4)}
         near = sum(1 for j in close if 0 <= j < n and words[j] in weights)
     spelled, run = 0, 0
-    if any(len(w) == 1 for w in counts):
+    if 1 in set(map(len, counts)):
         for w in (*words, ""):
             run = run + 1 if len(w) == 1 and w.isalpha() else 0
             spelled += run >= 4
     chars = sum(map(len, raw))
-    letters = sum(k * len(w) for w, k in counts.items()) or 1
-    upper = sum(map(str.isupper, text)) if not text.islower() else 0
+    letters = sum(map(len, words)) or 1
+    shouted = sum(1 for w in compress(raw, map(str.isupper, raw)) if len(w) > 2)
     per = 100.0 / n
     return [
         math.log1p(n), hits * per, sum(counts[w] * x for w, x in weights.items()) * per, max(weights.values(), default=0.0), float(min(len(weights), 20)),
         sum(counts[w] for w in INSULTS.intersection(weights)) * per, hidden * per, float(bool(weights) or hidden > 0), near * per, sum(counts[w] for w in YOU & counts.keys()) * per,
-        upper / chars, sum(1 for w in raw if len(w) > 2 and w.isupper()) / n, text.count("!") * per, text.count("?") * per, (chars - letters) / chars,
+        capitals(text) / chars, shouted / n, text.count("!") * per, text.count("?") * per, (chars - letters) / chars,
         odd * per, spelled * per, len(counts) / n, sum(map(text.count, "#*$%&|<>@")) * per, letters / n,
     ]
 
@@ -133,9 +151,10 @@ def feature_rows(docs: DataFrame, lexicon: dict[str, float], *keep: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, seen = shared.value, {}
+        begins = heads(lexicon)
         for b in batches:
             texts = b.column(1)
-            rows = [features(t.as_py() or "", lexicon, seen) for t in texts]
+            rows = [features(t.as_py() or "", lexicon, seen, begins) for t in texts]
             n = pa.array([round(math.expm1(r[0])) for r in rows], pa.int64())
             others = [b.column(i) for i in range(b.num_columns) if i != 1]
             yield pa.RecordBatch.from_arrays([*others, n, pa.array(rows, pa.list_(pa.float64()))], ["id", *keep, "n_words", "features"])
