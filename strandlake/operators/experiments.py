@@ -100,9 +100,16 @@ def _exact_radius(seqs: DataFrame, most_states: float) -> DataFrame:
     return results(seqs, found.where("success").select("dataset_id", "center"), "exact_radius")
 
 
-def register_group_method(name: str, fn, **defaults) -> None:
-    """A third party's pandas function on one dataset at a time, whose groups fit in memory."""
-    METHODS[name] = Method(lambda seqs, **_: seqs.groupBy("dataset_id").applyInPandas(fn, RESULTS), defaults)
+def register_group_method(name: str, fn, deterministic: bool = True, **defaults) -> None:
+    """A third party's pandas function on one dataset at a time, whose groups fit in memory.
+
+    ``fn(rows, **params)`` gets the defaults and what a run sets over them, its seed included.
+    """
+
+    def run(seqs: DataFrame, **params) -> DataFrame:
+        return seqs.groupBy("dataset_id").applyInPandas(lambda rows: fn(rows, **params), RESULTS)
+
+    METHODS[name] = Method(run, defaults, deterministic)
 
 
 def run_methods(seqs: DataFrame, names: list[str], **params) -> DataFrame:

@@ -255,3 +255,24 @@ def test_climbs_end_where_nothing_is_gained(spark):
         end = {r["dataset_id"]: (r["center"], r["max_distance"]) for r in refine(s, begin).collect()}
         again = {r["dataset_id"]: (r["center"], r["max_distance"]) for r in refine(s, spark.createDataFrame([(k, c) for k, (c, _) in end.items()], "dataset_id string, center string")).collect()}
         assert end == again
+
+
+def test_group_method_gets_its_parameters(spark):
+    from strandlake.schema import RESULTS
+
+    def constant(rows, letter, seed=0):
+        import pandas as pd
+
+        names = [f.split()[0] for f in RESULTS.split(", ")]
+        row = dict.fromkeys(names) | {"dataset_id": rows.dataset_id.iloc[0], "center_string": letter * 4, "max_distance": seed}
+        return pd.DataFrame([row])[names]
+
+    try:
+        exp.register_group_method("constant", constant, deterministic=False, letter="A", seed=1)
+        s = seqs(spark, "ACGT", "AAAA").unionByName(seqs(spark, "TTTT", dataset="e"))
+        got = lambda **p: sorted((r["dataset_id"], r["center_string"], r["max_distance"]) for r in exp.METHODS["constant"].run(s, **p).collect())
+        assert got() == [("d", "AAAA", 1), ("e", "AAAA", 1)]
+        assert got(letter="T", seed=7) == [("d", "TTTT", 7), ("e", "TTTT", 7)]
+        assert not exp.METHODS["constant"].deterministic
+    finally:
+        exp.METHODS.pop("constant", None)
