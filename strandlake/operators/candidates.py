@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import pick, replace_at, symbols, unit
-from ..tables import is_empty, stage, unstage
+from ..tables import is_empty, number, stage, unstage
 from .consensus import best_candidate, hill_climb, plurality, score_candidates
 from .distance import center_distances, neighbours
 from .profile import alphabets, chars
@@ -132,8 +132,8 @@ def mutate_transposition(cands: DataFrame, seed: int = 0) -> DataFrame:
 
 def couples(cands: DataFrame) -> DataFrame:
     """Candidates in pairs, by order of cand_id; an odd last one has no partner and drops out."""
-    no = F.row_number().over(Window.partitionBy("dataset_id").orderBy("cand_id")) - 1
-    rows = cands.withColumn("pair", F.floor(no / 2).cast("int")).withColumn("side", no % 2)
+    no = F.col("no")
+    rows = number(cands, "dataset_id", "cand_id", name="no").withColumn("pair", F.floor(no / 2).cast("int")).withColumn("side", no % 2)
     a = rows.where("side = 0").select("dataset_id", "pair", F.col("candidate").alias("a"))
     return a.join(rows.where("side = 1").select("dataset_id", "pair", F.col("candidate").alias("b")), ["dataset_id", "pair"])
 
@@ -181,7 +181,7 @@ def pool(seqs: DataFrame, spans: DataFrame, alphabet: str, size: int | None = No
     mixed = rows.where((F.col("cand_id") >= 1) & (F.col("cand_id") <= third)).join(spans, "dataset_id")
     lend = pick(F.col("n"), seed, F.lit("row"), F.col("dataset_id"), F.col("cand_id"), F.col("block_no"))
     taken = unit(seed, F.lit("coin"), F.col("dataset_id"), F.col("cand_id"), F.col("block_no")) < 0.5
-    numbered = seqs.withColumn("no", F.row_number().over(Window.partitionBy("dataset_id").orderBy("seq_index")) - 1).select("dataset_id", "no", "sequence")
+    numbered = number(seqs, "dataset_id", "seq_index", name="no").select("dataset_id", "no", "sequence")
     cut = lambda c: F.substring(c, F.col("l") + 1, F.col("r") - F.col("l"))
     lent = mixed.withColumn("no", lend).withColumn("taken", taken).join(numbered, ["dataset_id", "no"]).withColumn("part", F.when(F.col("taken"), cut("sequence")).otherwise(cut("center")))
     from .consensus import joined

@@ -7,8 +7,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import hamming, unit
-from ..tables import is_empty, stage, unstage
+from ..functions.strings import hamming, hamming_of, packed, unit
+from ..tables import is_empty, number, stage, unstage
 from .components import connected_components
 from .distance import center_distances, neighbours, summary
 from .profile import block_spans, mean_pair_distance, repair_length, segments, sizes, symbol_counts
@@ -132,7 +132,7 @@ def clusters(seqs: DataFrame, radius: int, min_samples: int = 2) -> DataFrame:
     classes = roots.unionByName(border)
     members = seqs.join(copies.drop("n"), keys).join(classes, ["dataset_id", "i"]).select("dataset_id", "seq_index", "root")
     first = members.groupBy("dataset_id", "root").agg(F.min("seq_index").alias("first"))
-    numbered = first.withColumn("cluster_id", F.row_number().over(Window.partitionBy("dataset_id").orderBy("first")) - 1)
+    numbered = number(first, "dataset_id", "first", name="cluster_id")
     return members.join(numbered.drop("first"), ["dataset_id", "root"]).select("dataset_id", "seq_index", "cluster_id")
 
 
@@ -147,24 +147,31 @@ def recombine(centers: DataFrame, n_blocks: int = 2, mode: str = "per_block", li
     per_block: one cluster's block for each block position, k^blocks strings. reference: one
     block out of each cluster's centre, blocks^k strings, cut or filled up from the first centre
     to its length. Candidates are numbered in order of their choices, and those from ``limit`` on
-    are left out, as the choices of a number are its digits.
+    are left out, as the choices of a number are its digits. Each digit is a row that is joined to
+    its part, so no row holds a dataset's centres.
     """
-    rows = centers.withColumn("length", F.char_length("center"))
-    blocks = F.least(F.lit(n_blocks), F.col("length"))
-    base, rest = F.floor(F.col("length") / blocks), F.col("length") % blocks
-    cut = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.substring("center", (i * base + F.least(i, rest) + 1).cast("int"), (base + (i < rest).cast("int")).cast("int")))
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", "center", cut.alias("parts")))), lambda x: F.struct(x["center"].alias("center"), x["parts"].alias("parts")))
-    held = rows.where("length > 0").groupBy("dataset_id").agg(packed.alias("c"), F.min("length").alias("length"))
-    k, b = F.size("c"), F.size(F.col("c")[0]["parts"])
-    radix, digits = (k, b) if mode == "per_block" else (b, k)
-    total = F.least(F.lit(limit).cast("double"), F.pow(radix.cast("double"), digits)).cast("int")
-    rows = held.withColumn("radix", radix).withColumn("digits", digits).withColumn("cand_no", F.explode(F.sequence(F.lit(0), total - 1)))
-    digit = lambda i: F.floor(F.col("cand_no") / F.pow(F.col("radix").cast("double"), F.col("digits") - 1 - i)).cast("int") % F.col("radix")
-    part = (lambda i: F.get(F.get("c", digit(i))["parts"], i)) if mode == "per_block" else (lambda i: F.get(F.get("c", i)["parts"], digit(i)))
-    made = F.array_join(F.transform(F.sequence(F.lit(0), F.col("digits") - 1), part), "")
-    first = F.col("c")[0]["center"]
-    full = F.concat(made, F.substring(first, F.char_length(made) + 1, F.char_length(first)))
-    return rows.select("dataset_id", "cand_no", F.substring(full, F.lit(1), F.char_length(first)).alias("candidate"))
+    length = F.char_length("center")
+    ranked = stage(number(centers.where(length > 0).select("dataset_id", "cluster_id", "center"), "dataset_id", "cluster_id", name="nth"), "ranked")
+    blocks = F.least(F.lit(n_blocks), length)
+    base, rest = F.floor(length / blocks), length % blocks
+    begin = lambda i: (i * base + F.least(i, rest)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.substring("center", begin(i) + 1, begin(i + 1) - begin(i)))
+    parts = ranked.select("dataset_id", "nth", F.posexplode(cut).alias("block", "part"))
+    k = ranked.groupBy("dataset_id").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    held = ranked.where("nth = 0").select("dataset_id", F.col("center").alias("first"), blocks.alias("b")).join(k, "dataset_id")
+    radix, digits = ("k", "b") if mode == "per_block" else ("b", "k")
+    held = held.withColumn("radix", F.col(radix)).withColumn("digits", F.col(digits))
+    total = F.least(F.lit(limit).cast("double"), F.pow(F.col("radix").cast("double"), F.col("digits"))).cast("int")
+    numbers = held.withColumn("cand_no", F.explode(F.sequence(F.lit(0), total - 1))).select("dataset_id", "radix", "digits", "cand_no")
+    # a number's digits, one row each, meet the part that digit and place name
+    rows = numbers.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)))
+    digit = F.floor(F.col("cand_no") / F.pow(F.col("radix").cast("double"), F.col("digits") - 1 - F.col("place"))).cast("int") % F.col("radix")
+    nth, block = (digit, F.col("place")) if mode == "per_block" else (F.col("place"), digit)
+    met = rows.select("dataset_id", "cand_no", "place", nth.alias("nth"), block.alias("block")).join(parts, ["dataset_id", "nth", "block"], "left")
+    made = joined(met, ["dataset_id", "cand_no"], "place", "part", "made").join(held.select("dataset_id", "first"), "dataset_id")
+    size = F.char_length("first")
+    full = F.concat("made", F.substring("first", F.char_length("made") + 1, size))
+    return made.select("dataset_id", "cand_no", F.substring(full, F.lit(1), size).alias("candidate"))
 
 
 def score_candidates(seqs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -253,22 +260,28 @@ def _top_blocks(candidates: DataFrame, segs: DataFrame, k: int) -> DataFrame:
 def beam_blocks(seqs: DataFrame, spans: DataFrame, alphabet: str, width: int | Column = BEAM_WIDTH, k: int = K_CANDIDATES) -> DataFrame:
     """Candidates by beam search over positions, all blocks of all datasets in each round.
 
-    A prefix keeps its mismatches with the block's distinct segments, in their order, and the
-    ``width`` prefixes with the smallest worst one go on; ties by text.
+    The ``width`` prefixes with the smallest worst mismatch with the block's segments go on; ties
+    by text. A round reads the distinct segments as rows and keeps, for a prefix and the symbol x
+    that follows in a segment, the largest mismatch m so far; a prefix grown by c then has the
+    maximum over x of m + [x != c], so only width x symbols rows a block leave a task.
     """
-    segs = segments(seqs, spans).select("dataset_id", "block_no", "l", "r", "seg").distinct()
-    held = stage(segs.groupBy("dataset_id", "block_no").agg(F.array_sort(F.collect_list("seg")).alias("segs"), F.first(F.col("r") - F.col("l")).alias("m")), "beam_segments")
-    longest = held.agg(F.max("m")).first()[0] or 0
+    segs = stage(segments(seqs, spans).select("dataset_id", "block_no", "l", "r", "seg").distinct(), "beam_segments")
     keys = ["dataset_id", "block_no"]
-    beam = held.select(*keys, F.lit("").alias("prefix"), F.transform("segs", lambda s: F.lit(0)).alias("misses"))
+    shape = segs.groupBy(*keys).agg(F.first(F.col("r") - F.col("l")).alias("m"))
+    longest = shape.agg(F.max("m")).first()[0] or 0
+    beam = stage(shape.select(*keys, "m", F.lit("").alias("prefix")), "beam")
+    letters = F.explode(F.array(*[F.lit(x) for x in alphabet]))
     for depth in range(longest):
-        open_ = beam.join(held, keys)
-        grown = open_.where(F.col("m") > depth).withColumn("c", F.explode(F.array(*[F.lit(x) for x in alphabet])))
-        misses = F.zip_with("misses", "segs", lambda n, s: n + (F.substring(s, depth + 1, 1) != F.col("c")).cast("int"))
-        grown = grown.select(*keys, F.concat("prefix", "c").alias("prefix"), misses.alias("misses"))
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.array_max("misses"), "prefix"))
-        kept = grown.withColumn("rank", rank).where(F.col("rank") <= width).drop("rank")
-        beam = stage(kept.unionByName(open_.where(F.col("m") <= depth).select(*beam.columns)), "beam")
+        so_far, grows = F.substring("seg", F.lit(1), F.lit(depth)), F.col("m") > depth
+        met = segs.select(*keys, "seg").join(beam.where(grows), keys)
+        n = hamming_of(F.col("prefix"), so_far, packed(F.col("prefix")), packed(so_far))
+        worst = met.groupBy(*keys, "m", "prefix", F.substring("seg", depth + 1, 1).alias("x")).agg(F.max(n).alias("n"))
+        step = F.max(F.col("n") + (F.col("x") != F.col("c")).cast("int")).alias("misses")
+        grown = worst.withColumn("c", letters).groupBy(*keys, "m", F.concat("prefix", "c").alias("prefix")).agg(step)
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("misses", "prefix"))
+        kept = grown.withColumn("rank", rank).where(F.col("rank") <= width).select(*beam.columns)
+        before, beam = beam, stage(kept.unionByName(beam.where(~grows)), "beam")
+        unstage(before)
     return _top_blocks(beam.select(*keys, F.col("prefix").alias("candidate")), segs, k)
 
 

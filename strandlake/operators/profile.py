@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import size_text, symbols
+from ..tables import number
 
 
 def chars(seqs: DataFrame) -> DataFrame:
@@ -93,8 +94,8 @@ def remove(seqs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def renumber(seqs: DataFrame, *order: str) -> DataFrame:
-    index = F.row_number().over(Window.partitionBy("dataset_id").orderBy(*order)) - 1
-    return seqs.select("dataset_id", index.alias("seq_index"), "sequence")
+    """Rows numbered from 0 in each dataset by the order, in ranges, so that no task sorts a whole dataset."""
+    return number(seqs, "dataset_id", *order).select("dataset_id", "seq_index", "sequence")
 
 
 def to_records(seqs: DataFrame) -> DataFrame:

@@ -92,6 +92,24 @@ def _improved(moves: str) -> str:
     return f"WITH mv AS ({moves}), ms AS (SELECT mv.dataset_id, no, nc, max(hamming(nc, sequence)) AS m FROM mv JOIN dna USING (dataset_id) GROUP BY ALL), mb AS (SELECT * FROM ms QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY m, no) = 1), nw AS (SELECT dataset_id, center, max(d) AS m0 FROM dist GROUP BY ALL) SELECT dataset_id, CASE WHEN m < m0 THEN nc ELSE center END AS center, least(m, m0) AS max_distance FROM nw JOIN mb USING (dataset_id)"
 
 
+def _beam_sql(depth: int, width: int, k: int) -> str:
+    """A beam search as one step a position: prefixes of the block's segments, the best go on."""
+    worst = "max(hamming({p}, substr(seg, 1, {n})))"
+    by = "row_number() OVER (PARTITION BY dataset_id, block_no ORDER BY {worst}, {p})"
+    heads = [f"WITH {_SPANS}, sg AS (SELECT DISTINCT dataset_id, block_no, seg FROM segs), al AS (SELECT unnest(['A','C','G','T']) AS x), b0 AS (SELECT DISTINCT dataset_id, block_no, '' AS p FROM sg)"]
+    for n in range(1, depth + 1):
+        rank = by.format(worst=worst.format(p="p || x", n=n), p="p || x")
+        heads.append(f"b{n} AS (SELECT dataset_id, block_no, p || x AS p FROM b{n - 1} JOIN sg USING (dataset_id, block_no), al GROUP BY dataset_id, block_no, p, x QUALIFY {rank} <= {width})")
+    last = worst.format(p="p", n=depth)
+    return ", ".join(heads) + f" SELECT dataset_id, block_no, p AS candidate, {last} AS d, {by.format(worst=last, p='p')} - 1 AS cand_no FROM b{depth} JOIN sg USING (dataset_id, block_no) GROUP BY dataset_id, block_no, p QUALIFY cand_no < {k}"
+
+
+def _climbed(moves: str, order: str) -> str:
+    """Rounds of ``moves`` of the state st(dataset_id, center, m), ``order`` and nc, while the best one is better."""
+    step = f"SELECT st.dataset_id, m, {order}, nc, max(hamming(nc, sequence)) AS ms FROM ({moves}) st JOIN dna USING (dataset_id) GROUP BY st.dataset_id, m, {order}, nc QUALIFY row_number() OVER (PARTITION BY st.dataset_id ORDER BY ms, {order}) = 1"
+    return f"WITH RECURSIVE letters AS (SELECT DISTINCT dataset_id, ch AS b FROM dchars), st(dataset_id, center, m) AS (SELECT dataset_id, center, max(d) FROM dist GROUP BY ALL UNION ALL SELECT dataset_id, nc, ms FROM ({step}) WHERE ms < m) SELECT dataset_id, min_by(center, m) AS center, min(m) AS max_distance FROM st GROUP BY dataset_id"
+
+
 def _loaded(v: Views):
     """A dataset for each nation, made up, and the names of one brand as an external feed."""
     made = _specs(v).select("dataset_id", F.lit(None).cast("string").alias("name"), F.lit("synthetic").alias("type"), F.create_map(*[x for k in ("n", "length", "alphabet", "seed") for x in (F.lit(k), F.col(k).cast("string"))]).alias("parameters"))
@@ -156,14 +174,14 @@ QUERIES = {
     "k7_fallback": (lambda v: cons.with_fallback(v.dna, cons.best_candidate(cons.score_candidates(v.dna, cons.recombine(cons.cluster_consensus(v.dna, cons.clusters(v.dna, 7)), 2)))).select("dataset_id", "center", "fallback_used"), None),
     "k8_cluster_recombine": (lambda v: cons.cluster_recombine(v.dna, RADIUS), None),
     "h1_exhaustive": (lambda v: cons.exhaustive_blocks(v.dna, prof.block_spans(_lengths(v), "fixed", size=4), DNA, 3), "WITH al AS (SELECT unnest(['A','C','G','T']) AS x), tx AS (SELECT a.x || b.x || c.x || d.x AS candidate FROM al a, al b, al c, al d), sg AS (SELECT DISTINCT dataset_id, b AS block_no, substr(sequence, b::INT * 4 + 1, 4) AS seg FROM dna, range(8) t(b)), sc AS (SELECT dataset_id, block_no, candidate, max(hamming(candidate, seg)) AS d FROM sg, tx GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY dataset_id, block_no ORDER BY d, candidate) - 1 AS cand_no FROM sc QUALIFY cand_no < 3"),
-    "h2_beam": (lambda v: cons.beam_blocks(v.dna, prof.block_spans(_lengths(v), "fixed", size=8), DNA, 8, 3), None),
+    "h2_beam": (lambda v: cons.beam_blocks(v.dna, prof.block_spans(_lengths(v), "fixed", size=8), DNA, 8, 3), _beam_sql(8, 8, 3)),
     "h4_block_heuristic": (lambda v: cons.block_heuristic(v.dna, DNA, width=8, k=3), None),
     "r1_hill_climb": (lambda v: cons.hill_climb(v.dna, v.centers, 1).select("dataset_id", "center", "max_distance"), "WITH alt AS (SELECT DISTINCT dataset_id, pos, ch AS b FROM dchars), mv AS (SELECT dataset_id, pos, b, center, substr(center, 1, pos::INT) || b || substr(center, pos::INT + 2) AS nc FROM centers JOIN alt USING (dataset_id) WHERE substr(center, pos::INT + 1, 1) <> b), sc AS (SELECT mv.dataset_id, pos, b, nc, max(hamming(nc, sequence)) AS d FROM mv JOIN dna USING (dataset_id) GROUP BY ALL), best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY d, pos, b) = 1), now AS (SELECT dataset_id, center, max(d) AS m FROM dist GROUP BY ALL) SELECT dataset_id, CASE WHEN d < m THEN nc ELSE center END AS center, least(d, m) AS max_distance FROM now JOIN best USING (dataset_id)"),
-    "r2_greedy": (lambda v: cand.refine_greedy(v.dna, v.centers), None),
+    "r2_greedy": (lambda v: cand.refine_greedy(v.dna, v.centers), _climbed("SELECT dataset_id, m, pos, b, substr(center, 1, pos::INT) || b || substr(center, pos::INT + 2) AS nc FROM st JOIN letters USING (dataset_id), range(32) p(pos) WHERE substr(center, pos::INT + 1, 1) <> b", "pos, b")),
     "r3_swap": (lambda v: cand.refine_swap(v.dna, v.centers), _improved("SELECT dataset_id, i * 32 + j AS no, substr(center, 1, i::INT) || substr(center, j::INT + 1, 1) || substr(center, i::INT + 2, (j - i - 1)::INT) || substr(center, i::INT + 1, 1) || substr(center, j::INT + 2) AS nc FROM centers, range(32) a(i), range(32) b(j) WHERE i < j")),
     "r5_one_reversal": (lambda v: cand.refine_2opt(v.dna, v.centers, 1), _improved("SELECT dataset_id, i * 32 + j AS no, substr(center, 1, i::INT) || reverse(substr(center, i::INT + 1, (j - i + 1)::INT)) || substr(center, j::INT + 2) AS nc FROM centers, range(32) a(i), range(32) b(j) WHERE i < j")),
     "r4_insertion": (lambda v: cand.refine_insertion(v.dna, v.centers), _improved("SELECT dataset_id, (n * 32 + i) * 33 + t AS no, substr(rest, 1, t::INT) || substr(center, i::INT + 1, n::INT) || substr(rest, t::INT + 1) AS nc FROM (SELECT dataset_id, center, n, i, substr(center, 1, i::INT) || substr(center, (i + n)::INT + 1) AS rest FROM centers, range(1, 4) x(n), range(32) y(i) WHERE i <= 32 - n), range(32) z(t) WHERE t <= 32 - n AND t <> i")),
-    "r5_2opt": (lambda v: cand.refine_2opt(v.dna, v.centers), None),
+    "r5_2opt": (lambda v: cand.refine_2opt(v.dna, v.centers), _climbed("SELECT dataset_id, m, i * 32 + j AS no, substr(center, 1, i::INT) || reverse(substr(center, i::INT + 1, (j - i + 1)::INT)) || substr(center, j::INT + 2) AS nc FROM st, range(32) a(i), range(32) b(j) WHERE i < j", "no")),
     "g1_mutate_multi": (lambda v: cand.mutate_multi(_cands(v), DNA, 2), f"WITH one AS (SELECT dataset_id, cand_id, {_substituted('c', 1)} AS c FROM {_C}) SELECT dataset_id, cand_id, {_substituted('c', 2)} AS candidate FROM one"),
     "g2_inversion": (lambda v: cand.mutate_inversion(_cands(v)), f"WITH {_STRETCH} SELECT dataset_id, cand_id, substr(c, 1, i) || reverse(substr(c, i + 1, j - i + 1)) || substr(c, j + 2) AS candidate FROM st"),
     "g3_transposition": (lambda v: cand.mutate_transposition(_cands(v)), f"WITH {_STRETCH}, rs AS (SELECT *, substr(c, 1, i) || substr(c, j + 2) AS rest FROM st), pt AS (SELECT *, floor({_u(chr(39) + '0' + chr(39), chr(39) + 't' + chr(39), 'dataset_id', 'cand_id')} * (length(rest) + 1))::INT AS p FROM rs) SELECT dataset_id, cand_id, substr(rest, 1, p) || substr(c, i + 1, j - i + 1) || substr(rest, p + 1) AS candidate FROM pt"),

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,31 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
+def ranges(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    """``rows`` written in ranges of (by, order), each with the number ``part_no`` of its range.
+
+    Ranges rise with the order, and a large group has several. They are written, as the sampled
+    bounds may differ when a task is run again.
+    """
+    return stage(rows.repartitionByRange(by, *order).withColumn("part_no", F.spark_partition_id()), "ranges")
+
+
+def number(rows: DataFrame, by: str, *order: str, name: str = "seq_index") -> DataFrame:
+    """``rows`` with their place from 0 in each group, by ``order``; no task gets a whole group.
+
+    Places inside a range are shifted by the rows of the ranges before it. Rows that are equal in
+    ``by`` and ``order`` share a range, so the order should tell rows apart; a ``name`` that is
+    among the columns is replaced.
+    """
+    cut = ranges(rows, by, *order)
+    counts = cut.groupBy(by, "part_no").agg(F.count(F.lit(1)).alias("rows_here"))
+    before = Window.partitionBy(by).orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(F.col(by).alias("group_of"), F.col("part_no").alias("part_of"), F.coalesce(F.sum("rows_here").over(before), F.lit(0)).alias("shift"))
+    own = F.row_number().over(Window.partitionBy(by, "part_no").orderBy(*order)) - 1
+    both = cut.withColumn("place_here", own).join(shift, F.col(by).eqNullSafe(F.col("group_of")) & (F.col("part_no") == F.col("part_of")))
+    return both.withColumn(name, (F.col("place_here") + F.col("shift")).cast("int")).drop("part_no", "place_here", "group_of", "part_of", "shift")
+
+
 def columns_apart(df: DataFrame, *wanted: str) -> DataFrame:
     """Just the wanted columns, so that a caller's extra columns never clash with ours."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])

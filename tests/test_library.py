@@ -1,5 +1,8 @@
 """Known answers, files, streams and invariants of the sequence library."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from strandlake.operators import profile as prof
 from strandlake.operators import ledger as led
 from strandlake.sources import datasets, fasta, specs, store, synthetic
 from strandlake.streaming import feeds
+from strandlake.tables import number, ranges
 
 
 def seqs(spark, *rows, dataset="d"):
@@ -276,3 +280,58 @@ def test_group_method_gets_its_parameters(spark):
         assert not exp.METHODS["constant"].deterministic
     finally:
         exp.METHODS.pop("constant", None)
+
+
+def test_numbers_of_a_large_dataset_come_from_several_tasks(spark):
+    ids = spark.range(60_000)
+    rows = ids.select(F.when(F.col("id") % 3 < 2, "hot").when(F.col("id") % 60 == 2, F.lit(None).cast("string")).otherwise("cold").alias("dataset_id"), F.xxhash64("id").alias("key"), F.lit(7).alias("seq_index"))
+    small = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small, "false")  # as little data is put together otherwise
+    try:
+        cut, numbered = ranges(rows, "dataset_id", "key"), number(rows, "dataset_id", "key").collect()
+    finally:
+        spark.conf.unset(small)
+    parts = cut.where("dataset_id = 'hot'").groupBy("part_no").count().collect()
+    assert len(parts) > 1 and max(p["count"] for p in parts) < 30_000
+    place = {}
+    for g, key, no in sorted(((r["dataset_id"] or "", r["key"], r["seq_index"]) for r in numbered)):
+        assert no == place.get(g, 0)
+        place[g] = no + 1
+    assert sum(place.values()) == 60_000 and place["hot"] == 40_000
+    assert number(rows.where("false"), "dataset_id", "key").count() == 0
+
+
+@pytest.mark.parametrize(("mode", "blocks", "limit"), [("per_block", 3, 5000), ("reference", 2, 5000), ("per_block", 2, 5), ("per_block", 9, 40)])
+def test_recombination_takes_all_digits_in_order(spark, mode, blocks, limit):
+    texts = ["ACGTACG", "TTTTCCC", "GAGAGAG"]
+    given = spark.createDataFrame([("d", 10 * i, t) for i, t in enumerate(texts)] + [("e", 1, "AC"), ("f", 1, "")], "dataset_id string, cluster_id int, center string")
+    got = cons.recombine(given, blocks, mode, limit).orderBy("dataset_id", "cand_no").collect()
+    b = min(blocks, 7)
+    ends = [i * (7 // b) + min(i, 7 % b) for i in range(b + 1)]
+    cut = lambda t, i: t[ends[i] : ends[i + 1]]
+    if mode == "per_block":
+        want = ["".join(cut(texts[c], i) for i, c in enumerate(choice)) for choice in itertools.product(range(3), repeat=b)]
+    else:
+        made = ["".join(cut(texts[c], i) for c, i in enumerate(choice)) for choice in itertools.product(range(b), repeat=3)]
+        want = [(m + texts[0][len(m) :])[:7] for m in made]
+    assert [r["candidate"] for r in got if r["dataset_id"] == "d"] == want[:limit]
+    assert {r["candidate"] for r in got if r["dataset_id"] == "e"} <= {"AC", "A", "C", "AA", "CC", "CA"}
+    assert all(r["dataset_id"] != "f" for r in got)
+
+
+def test_beam_equals_a_plain_search(spark):
+    rng = random.Random(5)
+    rows = ["".join(rng.choice("ACG") for _ in range(11)) for _ in range(90)]
+    data = seqs(spark, *rows, *rows[:30])
+    spans = spark.createDataFrame([("d", 0, 0, 7), ("d", 1, 7, 10), ("d", 2, 10, 11)], "dataset_id string, block_no int, l int, r int")
+    got = {(r["block_no"], r["cand_no"]): (r["candidate"], r["d"]) for r in cons.beam_blocks(data, spans, "ACG", 4, 3).collect()}
+    want = {}
+    for no, l, r in ((0, 0, 7), (1, 7, 10), (2, 10, 11)):
+        segs = {s[l:r] for s in rows}
+        miss = lambda p: max(sum(x != y for x, y in zip(p, s)) for s in segs)  # noqa: B023, E731
+        beam = [""]
+        for _ in range(r - l):
+            beam = sorted((p + c for p in beam for c in "ACG"), key=lambda p: (miss(p), p))[:4]
+        want |= {(no, i): (p, miss(p)) for i, p in enumerate(beam[:3])}
+    assert got == want
+    assert cons.beam_blocks(data.where("false"), spans, "ACG").count() == 0
