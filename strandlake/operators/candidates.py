@@ -17,6 +17,9 @@ from .consensus import best_candidate, hill_climb, plurality, score_candidates
 from .distance import center_distances, neighbours
 from .profile import alphabets, chars
 
+#: Rows that a move is held against before it is compared with all.
+FAR_ROWS = 64
+
 
 def _length() -> Column:
     return F.char_length("candidate")
@@ -30,12 +33,22 @@ def refine_greedy(seqs: DataFrame, centers: DataFrame, rounds: int | None = None
 
 
 def _improve(seqs: DataFrame, centers: DataFrame, moves, rounds: int | None) -> DataFrame:
-    """Rounds of: all texts that ``moves`` makes of each centre, the best kept if it is better; without a number until none is."""
+    """Rounds of: all texts that ``moves`` makes of each centre, the best kept if it is better; without a number until none is.
+
+    A text at least as far from one of the ``FAR_ROWS`` rows that are farthest from its centre as
+    the centre is from them can't be better; only the others are compared with all rows.
+    """
+    rows = stage(seqs.select("dataset_id", "sequence").distinct(), "rows")
     state = stage(center_distances(seqs, centers.select("dataset_id", "center")).groupBy("dataset_id", "center").agg(F.max("d").alias("max_distance")), "moves")
     state = state.withColumn("better", F.lit(True))
     for _ in count() if rounds is None else range(rounds):
-        made = moves(state.where("better").select("dataset_id", F.col("center").alias("candidate")))
-        best = best_candidate(score_candidates(seqs, made)).select("dataset_id", F.col("center").alias("new"), F.col("max_distance").alias("new_d"))
+        open_ = state.where("better")
+        rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.desc_nulls_last("d"), "sequence"))
+        far = center_distances(rows, open_.select("dataset_id", "center")).withColumn("rank", rank).where(F.col("rank") <= FAR_ROWS).select("dataset_id", "sequence")
+        made = moves(open_.select("dataset_id", F.col("center").alias("candidate")))
+        bound = made.join(score_candidates(far, made).select("dataset_id", "candidate", F.col("max_d").alias("least")).distinct(), ["dataset_id", "candidate"])
+        able = bound.join(open_.select("dataset_id", "max_distance"), "dataset_id").where(F.coalesce("least", F.lit(-1)) < F.col("max_distance"))
+        best = best_candidate(score_candidates(rows, stage(able.select("dataset_id", "cand_no", "candidate"), "able"))).select("dataset_id", F.col("center").alias("new"), F.col("max_distance").alias("new_d"))
         both = state.drop("better").join(best, "dataset_id", "left").withColumn("better", F.coalesce(F.col("new_d") < F.col("max_distance"), F.lit(False)))
         before, state = state, stage(both.select("dataset_id", F.when(F.col("better"), F.col("new")).otherwise(F.col("center")).alias("center"), F.when(F.col("better"), F.col("new_d")).otherwise(F.col("max_distance")).alias("max_distance"), "better"), "moves")
         unstage(before)

@@ -188,6 +188,43 @@ def best_candidate(scored: DataFrame) -> DataFrame:
     return best.select("dataset_id", F.col("b.candidate").alias("center"), F.col("b.max_d").alias("max_distance"))
 
 
+def best_by_bounds(seqs: DataFrame, candidates: DataFrame, first: int = 8) -> DataFrame:
+    """As `best_candidate` of `score_candidates`, plus ``scored``, the texts compared with all rows.
+
+    A candidate's largest distance from a few rows bounds that from all. Each round compares the
+    ``first`` candidates of least bound, then twice as many, with all rows; the rows they are
+    farthest from raise the others' bounds, and candidates that can't beat the best one go. It
+    ends when none is left, so the result is exact; where bounds tell nothing, the doubling rounds
+    compare all candidates with all rows and as many rows with all candidates. Distances between
+    texts of unequal length are null and count as below 0, as in `best_candidate`.
+    """
+    rows = stage(seqs.select("dataset_id", "sequence").distinct(), "rows")
+    low = lambda c: F.coalesce(F.col(c), F.lit(-1))
+    texts = candidates.join(rows.select("dataset_id").distinct(), "dataset_id", "left_semi").groupBy("dataset_id", "candidate").agg(F.min("cand_no").alias("cand_no"))
+    open_ = stage(texts.withColumn("bound", F.lit(-1)), "open")
+    best = open_.where("false").select("dataset_id", "candidate", "cand_no", F.lit(0).alias("max_d"), F.lit(0).cast("long").alias("scored"))
+    batch = first
+    while not is_empty(open_):
+        rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy("bound", "cand_no"))
+        asked = stage(open_.withColumn("rank", rank).where(F.col("rank") <= batch).drop("rank"), "asked")
+        d = hamming_of(F.col("candidate"), F.col("sequence"), F.col("pc"), F.col("ps"))
+        met = rows.withColumn("ps", packed(F.col("sequence"))).join(asked.withColumn("pc", packed(F.col("candidate"))), "dataset_id").withColumn("d", d)
+        exact = stage(met.groupBy("dataset_id", "candidate", "cand_no").agg(F.max("d").alias("max_d"), F.max_by("sequence", "d").alias("far")), "exact")
+        both = best.unionByName(exact.select("dataset_id", "candidate", "cand_no", "max_d", F.lit(1).cast("long").alias("scored")))
+        top = F.min_by(F.struct("candidate", "cand_no", "max_d"), F.struct(low("max_d"), "cand_no"))
+        best = stage(both.groupBy("dataset_id").agg(top.alias("b"), F.sum("scored").alias("scored")).select("dataset_id", "b.*", "scored"), "best")
+        limit = best.select("dataset_id", low("max_d").alias("best_d"), F.col("cand_no").alias("best_no"))
+        can_win = F.struct("bound", "cand_no") < F.struct(F.col("best_d").alias("bound"), F.col("best_no").alias("cand_no"))
+        rest = open_.join(asked.select("dataset_id", "candidate"), ["dataset_id", "candidate"], "left_anti").join(limit, "dataset_id").where(can_win)
+        pivots = exact.where("far is not null").select("dataset_id", F.col("far").alias("sequence")).distinct()
+        raised = score_candidates(pivots, rest.select("dataset_id", "candidate")).select("dataset_id", "candidate", "max_d")
+        new = rest.join(raised, ["dataset_id", "candidate"], "left").withColumn("bound", F.greatest("bound", low("max_d"))).where(can_win)
+        before, open_ = open_, stage(new.select("dataset_id", "candidate", "cand_no", "bound"), "open")
+        unstage(before, asked, exact)
+        batch *= 2
+    return best.select("dataset_id", F.col("candidate").alias("center"), F.col("max_d").alias("max_distance"), "scored")
+
+
 def with_fallback(seqs: DataFrame, centers: DataFrame) -> DataFrame:
     """Datasets without a centre get their plurality consensus; ``fallback_used`` says which."""
     rest = seqs.join(centers.select("dataset_id").distinct(), "dataset_id", "left_anti")
@@ -227,7 +264,7 @@ def hill_climb(seqs: DataFrame, centers: DataFrame, rounds: int | None = None, a
 def cluster_recombine(seqs: DataFrame, radius: int, n_blocks: int = 2, mode: str = "per_block", rounds: int | None = None, limit: int = MAX_CANDIDATES) -> DataFrame:
     """Clusters, their centres, recombined, the best refined; without clusters the consensus."""
     centers = cluster_consensus(seqs, clusters(seqs, radius))
-    best = best_candidate(score_candidates(seqs, recombine(centers, n_blocks, mode, limit)))
+    best = best_by_bounds(seqs, recombine(centers, n_blocks, mode, limit))
     chosen = stage(with_fallback(seqs, best), "chosen")
     refined = hill_climb(seqs, chosen, rounds)
     return refined.join(chosen.select("dataset_id", "fallback_used"), "dataset_id")

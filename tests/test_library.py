@@ -335,3 +335,34 @@ def test_beam_equals_a_plain_search(spark):
         want |= {(no, i): (p, miss(p)) for i, p in enumerate(beam[:3])}
     assert got == want
     assert cons.beam_blocks(data.where("false"), spans, "ACG").count() == 0
+
+
+def test_best_by_bounds_scores_few_and_finds_the_same(spark):
+    rng = random.Random(9)
+    letter = lambda: rng.choice("ACGT")
+    base = ["".join(letter() for _ in range(30)) for _ in range(2)]
+    # "near" holds rows around two bases at many distances, "noise" random ones, "odd" unequal lengths and copies
+    near = ["".join(x if rng.random() > k / 400 else letter() for x in base[k % 2]) for k in range(300)]
+    noise = ["".join(letter() for _ in range(30)) for _ in range(60)]
+    odd = ["ACGT", "ACGT", "AC", "ACGA", ""]
+    rows = [(n, i, s) for n, group in (("near", near), ("noise", noise), ("odd", odd)) for i, s in enumerate(group)]
+    data = spark.createDataFrame(rows, "dataset_id string, seq_index int, sequence string")
+    asked = data.select("dataset_id", F.col("seq_index").alias("cand_no"), F.col("sequence").alias("candidate"))
+    asked = asked.unionByName(spark.createDataFrame([("without rows", 0, "ACGT")], asked.schema))
+    got = {r["dataset_id"]: r for r in cons.best_by_bounds(data, asked).collect()}
+    want = {r["dataset_id"]: r for r in cons.best_candidate(cons.score_candidates(data, asked)).collect()}
+    assert {k: (r["center"], r["max_distance"]) for k, r in got.items()} == {k: (r["center"], r["max_distance"]) for k, r in want.items()}
+    assert got["near"]["scored"] < 100 and got["noise"]["scored"] <= 60
+    assert cons.best_by_bounds(data, asked.where("false")).count() == 0
+    assert cons.best_by_bounds(data.where("false"), asked).count() == 0
+
+
+def test_moves_that_far_rows_rule_out_change_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    data = seqs(spark, *["".join(rng.choice("AACGT") for _ in range(9)) for _ in range(150)])
+    start = center(spark, "TTTCGAAAC")
+    plain = cand.refine_swap(data, start, 3).first()
+    monkeypatch.setattr(cand, "FAR_ROWS", 2)
+    assert cand.refine_swap(data, start, 3).first() == plain
+    monkeypatch.setattr(cand, "FAR_ROWS", 150)
+    assert cand.refine_swap(data, start, 3).first() == plain
