@@ -188,13 +188,13 @@ def best_candidate(scored: DataFrame) -> DataFrame:
     return best.select("dataset_id", F.col("b.candidate").alias("center"), F.col("b.max_d").alias("max_distance"))
 
 
-def best_by_bounds(seqs: DataFrame, candidates: DataFrame, first: int = 8) -> DataFrame:
+def best_by_bounds(seqs: DataFrame, candidates: DataFrame, first: int = 32) -> DataFrame:
     """As `best_candidate` of `score_candidates`, plus ``scored``, the texts compared with all rows.
 
     A candidate's largest distance from a few rows bounds that from all. Each round compares the
-    ``first`` candidates of least bound, then twice as many, with all rows; the rows they are
+    ``first`` candidates of least bound, then four times as many, with all rows; the rows they are
     farthest from raise the others' bounds, and candidates that can't beat the best one go. It
-    ends when none is left, so the result is exact; where bounds tell nothing, the doubling rounds
+    ends when none is left, so the result is exact; where bounds tell nothing, the growing rounds
     compare all candidates with all rows and as many rows with all candidates. Distances between
     texts of unequal length are null and count as below 0, as in `best_candidate`.
     """
@@ -221,7 +221,7 @@ def best_by_bounds(seqs: DataFrame, candidates: DataFrame, first: int = 8) -> Da
         new = rest.join(raised, ["dataset_id", "candidate"], "left").withColumn("bound", F.greatest("bound", low("max_d"))).where(can_win)
         before, open_ = open_, stage(new.select("dataset_id", "candidate", "cand_no", "bound"), "open")
         unstage(before, asked, exact)
-        batch *= 2
+        batch *= 4
     return best.select("dataset_id", F.col("candidate").alias("center"), F.col("max_d").alias("max_distance"), "scored")
 
 
