@@ -12,6 +12,7 @@ from ..tables import is_empty, number, stage, unstage
 from .components import connected_components
 from .distance import center_distances, neighbours, summary
 from .profile import block_spans, mean_pair_distance, repair_length, segments, sizes, symbol_counts
+from .tiles import farthest
 
 #: Bounds of the automatic cluster radius and block count.
 AUTO = {"min_d": 2, "d_factor": 0.8, "min_blocks": 2, "max_blocks": 4, "n_div": 6, "l_div": 25}
@@ -176,9 +177,9 @@ def recombine(centers: DataFrame, n_blocks: int = 2, mode: str = "per_block", li
 
 def score_candidates(seqs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates with their largest distance, each distinct text scored once."""
-    texts = candidates.select("dataset_id", "candidate").distinct()
-    rows = seqs.select("dataset_id", "sequence").distinct()  # a largest distance ignores copies
-    scored = rows.join(texts, "dataset_id").groupBy("dataset_id", "candidate").agg(F.max(hamming(F.col("candidate"), F.col("sequence"))).alias("max_d"))
+    texts = stage(candidates.select("dataset_id", F.col("candidate").alias("text")).distinct(), "texts")
+    rows = stage(seqs.select("dataset_id", F.col("sequence").alias("text")).distinct(), "rows")  # a largest distance ignores copies
+    scored = farthest(texts, rows).select("dataset_id", F.col("text").alias("candidate"), F.col("d").alias("max_d"))
     return candidates.join(scored, ["dataset_id", "candidate"])
 
 
