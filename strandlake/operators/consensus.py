@@ -189,11 +189,11 @@ def best_candidate(scored: DataFrame) -> DataFrame:
     return best.select("dataset_id", F.col("b.candidate").alias("center"), F.col("b.max_d").alias("max_distance"))
 
 
-def best_by_bounds(seqs: DataFrame, candidates: DataFrame, first: int = 32) -> DataFrame:
+def best_by_bounds(seqs: DataFrame, candidates: DataFrame, first: int = 1024) -> DataFrame:
     """As `best_candidate` of `score_candidates`, plus ``scored``, the texts compared with all rows.
 
     A candidate's largest distance from a few rows bounds that from all. Each round compares the
-    ``first`` candidates of least bound, then four times as many, with all rows; the rows they are
+    ``first`` candidates of least bound, then eight times as many, with all rows; the rows they are
     farthest from raise the others' bounds, and candidates that can't beat the best one go. It
     ends when none is left, so the result is exact; where bounds tell nothing, the growing rounds
     compare all candidates with all rows and as many rows with all candidates. Distances between
@@ -201,16 +201,15 @@ def best_by_bounds(seqs: DataFrame, candidates: DataFrame, first: int = 32) -> D
     """
     rows = stage(seqs.select("dataset_id", "sequence").distinct(), "rows")
     low = lambda c: F.coalesce(F.col(c), F.lit(-1))
-    texts = candidates.join(rows.select("dataset_id").distinct(), "dataset_id", "left_semi").groupBy("dataset_id", "candidate").agg(F.min("cand_no").alias("cand_no"))
+    texts = candidates.where("candidate IS NOT NULL").join(rows.select("dataset_id").distinct(), "dataset_id", "left_semi").groupBy("dataset_id", "candidate").agg(F.min("cand_no").alias("cand_no"))
     open_ = stage(texts.withColumn("bound", F.lit(-1)), "open")
     best = open_.where("false").select("dataset_id", "candidate", "cand_no", F.lit(0).alias("max_d"), F.lit(0).cast("long").alias("scored"))
     batch = first
     while not is_empty(open_):
         rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy("bound", "cand_no"))
         asked = stage(open_.withColumn("rank", rank).where(F.col("rank") <= batch).drop("rank"), "asked")
-        d = hamming_of(F.col("candidate"), F.col("sequence"), F.col("pc"), F.col("ps"))
-        met = rows.withColumn("ps", packed(F.col("sequence"))).join(asked.withColumn("pc", packed(F.col("candidate"))), "dataset_id").withColumn("d", d)
-        exact = stage(met.groupBy("dataset_id", "candidate", "cand_no").agg(F.max("d").alias("max_d"), F.max_by("sequence", "d").alias("far")), "exact")
+        far = farthest(asked.select("dataset_id", F.col("candidate").alias("text")), rows.withColumnRenamed("sequence", "text"))
+        exact = stage(asked.select("dataset_id", "candidate", "cand_no").join(far.select("dataset_id", F.col("text").alias("candidate"), F.col("d").alias("max_d"), "far"), ["dataset_id", "candidate"]), "exact")
         both = best.unionByName(exact.select("dataset_id", "candidate", "cand_no", "max_d", F.lit(1).cast("long").alias("scored")))
         top = F.min_by(F.struct("candidate", "cand_no", "max_d"), F.struct(low("max_d"), "cand_no"))
         best = stage(both.groupBy("dataset_id").agg(top.alias("b"), F.sum("scored").alias("scored")).select("dataset_id", "b.*", "scored"), "best")
@@ -222,7 +221,7 @@ def best_by_bounds(seqs: DataFrame, candidates: DataFrame, first: int = 32) -> D
         new = rest.join(raised, ["dataset_id", "candidate"], "left").withColumn("bound", F.greatest("bound", low("max_d"))).where(can_win)
         before, open_ = open_, stage(new.select("dataset_id", "candidate", "cand_no", "bound"), "open")
         unstage(before, asked, exact)
-        batch *= 4
+        batch *= 8
     return best.select("dataset_id", F.col("candidate").alias("center"), F.col("max_d").alias("max_distance"), "scored")
 
 
