@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import hamming, hamming_of, metric, packed
+from ..tables import stage
+from . import tiles
 from .profile import diversity, mean_pair_distance
 
+#: Symbols of a block from which bands tell pairs apart.
+BLOCK = 6
+
 
 def center_distances(seqs: DataFrame, centers: DataFrame, name: str = "hamming") -> DataFrame:
     """``centers(dataset_id, center)`` joined to all rows of their dataset, with the distance d."""
@@ -54,12 +59,16 @@ def compare(seqs: DataFrame, first: DataFrame, second: DataFrame, name: str = "h
 
 
 def pair_table(seqs: DataFrame, name: str = "hamming") -> DataFrame:
-    """All pairs of a dataset once, with their distance: for datasets small enough to square."""
-    a = seqs.select("dataset_id", F.col("seq_index").alias("i"), F.col("sequence").alias("a"), packed(F.col("sequence")).alias("pa"))
-    b = seqs.select("dataset_id", F.col("seq_index").alias("j"), F.col("sequence").alias("b"), packed(F.col("sequence")).alias("pb"))
-    texts = F.col("a"), F.col("b")
-    d = hamming_of(*texts, F.col("pa"), F.col("pb")) if metric(name) is hamming else metric(name)(*texts)
-    return a.join(b, "dataset_id").where("i < j").select("dataset_id", "i", "j", d.alias("d"))
+    """All pairs of a dataset once, with their distance: as many rows as that, in tiles that all tasks share."""
+    if metric(name) is hamming:
+        return tiles.pairs(_texts(seqs)).select("dataset_id", "i", "j", "d")
+    a = seqs.select("dataset_id", F.col("seq_index").alias("i"), F.col("sequence").alias("a"))
+    b = seqs.select("dataset_id", F.col("seq_index").alias("j"), F.col("sequence").alias("b"))
+    return a.join(b, "dataset_id").where("i < j").select("dataset_id", "i", "j", metric(name)(F.col("a"), F.col("b")).alias("d"))
+
+
+def _texts(seqs: DataFrame) -> DataFrame:
+    return seqs.select("dataset_id", F.col("seq_index").alias("id"), F.col("sequence").alias("text"))
 
 
 def pair_extremes(seqs: DataFrame) -> DataFrame:
@@ -68,7 +77,7 @@ def pair_extremes(seqs: DataFrame) -> DataFrame:
     Equal rows are one in the pair join, as multiplicity only matters for a least distance of 0.
     """
     classes = seqs.groupBy("dataset_id", "sequence").agg(F.count(F.lit(1)).alias("n"), F.min("seq_index").alias("seq_index"))
-    ends = pair_table(classes).groupBy("dataset_id").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    ends = tiles.extremes(_texts(classes))
     again = classes.groupBy("dataset_id").agg(F.max("n").alias("most"))
     out = mean_pair_distance(seqs).join(again, "dataset_id").join(ends, "dataset_id", "left")
     least = F.when(F.col("most") > 1, 0).otherwise(F.coalesce("lo", F.lit(0)))
@@ -76,29 +85,33 @@ def pair_extremes(seqs: DataFrame) -> DataFrame:
 
 
 def neighbours(seqs: DataFrame, radius: int) -> DataFrame:
-    """Pairs of different rows within a Hamming radius: ``dataset_id, i, j, d``, without an n^2 join.
+    """Pairs of different rows within a Hamming radius: ``dataset_id, i, j, d``.
 
     Cut into radius + 1 blocks, near strings agree on a whole block, so an equi-join on
-    (dataset, length, block, text) finds all; equal strings are joined as one class and linked to
-    their first row, which keeps a group of copies linear. Rows are the classes' first ones, and
-    copies are given as links of distance 0 to theirs. A pair is given at its first common block
-    alone, so nothing is left to make distinct.
+    (dataset, length, block, text) finds all. Where blocks would have fewer than ``BLOCK`` symbols
+    most pairs agree on one, and all are compared in tiles instead. Equal strings are one class
+    and linked to their first row, which keeps a group of copies linear: rows are the classes'
+    first ones, and copies are given as links of distance 0 to theirs. A pair is given at its
+    first common block alone, so nothing is left to make distinct.
     """
     n = F.char_length("sequence")
     keys = ["dataset_id", "sequence"]
-    first = seqs.groupBy(*keys).agg(F.min("seq_index").alias("i"))
-    copies = seqs.join(first, keys).where("seq_index <> i").select("dataset_id", "i", F.col("seq_index").alias("j"), F.lit(0).alias("d"))
-    count = F.least(F.lit(radius + 1), n)
-    piece = lambda k: F.substring("sequence", F.floor(k * n / count).cast("int") + 1, (F.floor((k + 1) * n / count) - F.floor(k * n / count)).cast("int"))
-    whole = F.array(F.struct(F.lit(-1).alias("k"), F.lit("").alias("seg")))  # at a radius of the length all are near
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(k.alias("k"), piece(k).alias("seg")))
-    blocks = F.when(n <= radius, whole).otherwise(cut)
-    banded = first.select("dataset_id", "i", "sequence", packed(F.col("sequence")).alias("p"), n.alias("n"), F.explode(blocks).alias("b")).select("dataset_id", "i", "sequence", "p", "n", "b.k", "b.seg")
+    first = stage(seqs.groupBy(*keys).agg(F.min("seq_index").alias("seq_index")), "first")
+    copies = seqs.join(first.withColumnRenamed("seq_index", "i"), keys).where("seq_index <> i").select("dataset_id", "i", F.col("seq_index").alias("j"), F.lit(0).alias("d"))
+    short = n < BLOCK * (radius + 1)
+    return _in_bands(first.where(~short), radius).unionByName(tiles.pairs(_texts(first.where(short)), radius)).unionByName(copies)
+
+
+def _in_bands(first: DataFrame, radius: int) -> DataFrame:
+    """`neighbours` of different rows that are longer than the radius."""
+    n, k = F.char_length("sequence"), F.col("k")
+    begin = lambda k: F.floor(k * n / (radius + 1)).cast("int")
+    piece = lambda text, k: F.substring(text, begin(k) + 1, begin(k + 1) - begin(k))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda k: F.struct(k.alias("k"), piece("sequence", k).alias("seg")))
+    banded = first.select("dataset_id", F.col("seq_index").alias("i"), "sequence", packed(F.col("sequence")).alias("p"), n.alias("n"), F.explode(cut).alias("b")).select("dataset_id", "i", "sequence", "p", "n", "b.k", "b.seg")
     other = banded.select("dataset_id", "n", "k", "seg", F.col("i").alias("j"), F.col("sequence").alias("other"), F.col("p").alias("q"))
     met = banded.join(other, ["dataset_id", "n", "k", "seg"]).where("i < j")
     near = met.withColumn("d", hamming_of(F.col("sequence"), F.col("other"), F.col("p"), F.col("q"))).where(F.col("d") <= radius)
-    begin = lambda k: F.floor(k * n / count).cast("int")
-    same = lambda k: F.substring("sequence", begin(k) + 1, begin(k + 1) - begin(k)) == F.substring("other", begin(k) + 1, begin(k + 1) - begin(k))
     # only pairs that are near are looked at again: does an earlier block agree?
-    before = (F.col("k") > 0) & F.exists(F.sequence(F.lit(0), F.greatest(F.col("k") - 1, F.lit(0))), same)
-    return near.where(~before).select("dataset_id", "i", "j", "d").unionByName(copies)
+    before = (k > 0) & F.exists(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), lambda k: piece("sequence", k) == piece("other", k))
+    return near.where(~before).select("dataset_id", "i", "j", "d")

@@ -366,3 +366,34 @@ def test_moves_that_far_rows_rule_out_change_nothing(spark, monkeypatch):
     assert cand.refine_swap(data, start, 3).first() == plain
     monkeypatch.setattr(cand, "FAR_ROWS", 150)
     assert cand.refine_swap(data, start, 3).first() == plain
+
+
+def _brute(pairs_of):
+    return sorted((i, j, sum(x != y for x, y in zip(a, b)) if len(a) == len(b) else None) for i, a, j, b in pairs_of)
+
+
+@pytest.mark.parametrize("length", [0, 1, 8, 33, 70, 300])
+def test_tiles_give_what_single_comparisons_give(spark, monkeypatch, length):
+    """Several blocks of a dataset, texts of other lengths, nulls, signs of more than one plane and word."""
+    from strandlake.operators import tiles
+
+    monkeypatch.setattr(tiles, "TILE", 16)
+    monkeypatch.setattr(tiles, "HELD", 64)
+    rng = random.Random(length)
+    texts = ["".join(rng.choice("ACGTé字\U0001f600") for _ in range(length)) for _ in range(40)]
+    texts += [texts[3], "A" * (length + 1), "C" * (length + 1), None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("dataset_id", F.lit("x"))
+    every = [(i, a, j, b) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j]
+    known = _brute(x for x in every if None not in x)
+    got = [(r["i"], r["j"], r["d"]) for r in tiles.pairs(rows).collect()]
+    assert sorted(got, key=str) == sorted(known + [(i, j, None) for i, a, j, b in every if None in (a, b)], key=str)
+    limit = length // 2
+    assert sorted((r["i"], r["j"], r["d"]) for r in tiles.pairs(rows, limit).collect()) == [k for k in known if k[2] is not None and k[2] <= limit]
+    ends = [k[2] for k in known if k[2] is not None]
+    assert [(r["lo"], r["hi"]) for r in tiles.extremes(rows).collect()] == [(min(ends), max(ends))]
+    asked = rows.select("dataset_id", "text").distinct().where("length(text) <> 1 OR text = 'A'")
+    far = {r["text"]: (r["d"], r["far"]) for r in tiles.farthest(asked, rows.where("id % 2 = 0").select("dataset_id", "text")).collect()}
+    for r in asked.where("text IS NOT NULL").collect():
+        ds = [sum(x != y for x, y in zip(r["text"], t)) for t in texts[::2] if t is not None and len(t) == len(r["text"])]
+        d, row = far[r["text"]]
+        assert d == (max(ds) if ds else None) and (row is None if not ds else sum(x != y for x, y in zip(r["text"], row)) == d)
