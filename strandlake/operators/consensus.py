@@ -179,7 +179,7 @@ def score_candidates(seqs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates with their largest distance, each distinct text scored once."""
     texts = stage(candidates.select("dataset_id", F.col("candidate").alias("text")).distinct(), "texts")
     rows = stage(seqs.select("dataset_id", F.col("sequence").alias("text")).distinct(), "rows")  # a largest distance ignores copies
-    scored = farthest(texts, rows).select("dataset_id", F.col("text").alias("candidate"), F.col("d").alias("max_d"))
+    scored = stage(farthest(texts, rows).select("dataset_id", F.col("text").alias("candidate"), F.col("d").alias("max_d")), "scored")
     return candidates.join(scored, ["dataset_id", "candidate"])
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, and distances that are held at a time.
 TILE = 4096
-HELD = 1 << 18
+HELD = 1 << 16
 #: Characters that are put in planes at a time.
 CHARS = 1 << 22
 
@@ -59,7 +59,8 @@ def _by_length(texts: list) -> dict[int, np.ndarray]:
 def distances(left: list, right: list, unequal: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """Places in ``left``, places in ``right`` and their distances, piece by piece.
 
-    Texts of unequal lengths and nulls have no distance; their pieces, with None, are opt-in.
+    Texts of unequal lengths and nulls have no distance; their pieces, with None, are opt-in. A
+    piece's distances are overwritten by the next.
     """
     here, there = _by_length(left), _by_length(right)
     for n, a in here.items():
@@ -71,14 +72,19 @@ def distances(left: list, right: list, unequal: bool = False) -> Iterator[tuple[
             texts = [left[k] for k in a], [right[k] for k in b]
             letters = _letters(texts[0] + texts[1], n)
             p, q = (_planes(t, letters, n) for t in texts)
+            # held in the same memory for all pieces, of which each is used before the next
+            shape = min(step, len(a)), len(b)
+            differ, more, ones = np.empty(shape, p.dtype), np.empty(shape, p.dtype), np.empty(shape, np.uint8)
             for at in range(0, len(a), step):
-                mine, total = p[:, :, at : at + step, None], 0
+                mine = p[:, :, at : at + step, None]
+                k = mine.shape[2]
+                total = 0
                 for w in range(p.shape[1]):
-                    differ = mine[0, w] ^ q[0, w]
-                    for k in range(1, len(p)):
-                        differ |= mine[k, w] ^ q[k, w]
-                    ones = np.bitwise_count(differ)
-                    total = ones if p.shape[1] == 1 else total + ones.astype(np.int32)
+                    np.bitwise_xor(mine[0, w], q[0, w], out=differ[:k])
+                    for plane in range(1, len(p)):
+                        differ[:k] |= np.bitwise_xor(mine[plane, w], q[plane, w], out=more[:k])
+                    np.bitwise_count(differ[:k], out=ones[:k])
+                    total = ones[:k] if p.shape[1] == 1 else total + ones[:k].astype(np.int32)
                 yield a[at : at + step], b, total
 
 
