@@ -5,6 +5,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.plans import ledger, sequences
 from strandlake.plans.views import Views, with_views
@@ -46,3 +47,18 @@ def test_query_equals_sql(spark, duck, name):
     names = [c[0] for c in got.description]
     assert sorted(df.columns) == sorted(names)
     assert rows(df.columns, df.collect()) == rows(names, got.fetchall())
+
+
+def test_neighbours_equal_sql_with_copies(spark, tmp_path):
+    """Copies are linked to their first row, and only first rows to others, in both."""
+    one = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 60")
+    near = F.transform("embedding", lambda x, i: F.when(i < 4, -x).otherwise(x))
+    more = [one.select((F.col("vec_id") + 1000 * k).alias("vec_id"), c.alias("embedding"), "label") for k, c in ((1, F.col("embedding")), (2, near), (3, near))]
+    one.select("vec_id", "embedding", "label").unionByName(more[0]).unionByName(more[1]).unionByName(more[2]).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    fn, sql = PLANS["k2_neighbours"]
+    df = fn(Views(spark, str(tmp_path)))
+    got = con.execute(with_views(sql))
+    want = rows([c[0] for c in got.description], got.fetchall())
+    assert rows(df.columns, df.collect()) == want and len(want) >= 180
