@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import pick, symbols, unit
+from ..tables import stage
 
 #: Defaults of a spec, and the bounds of a request.
 DEFAULTS = {"n": 20, "length": 50, "alphabet": "ACGT", "seed": 0, "noise_rate": 0.1, "mutation_rate": 0.1, "mutation_types": "substitution", "num_clusters": 2, "cluster_distance": 0.2, "pad_char": "N"}
 BOUNDS = {"n": (3, 1000), "length": (5, 10_000)}
+#: Rows of a spec that one task makes in a row.
+RUN = 1000
 
 
 def with_defaults(specs: DataFrame) -> DataFrame:
@@ -32,7 +35,12 @@ def rejected(specs: DataFrame) -> DataFrame:
 
 
 def _rows(specs: DataFrame) -> DataFrame:
-    return specs.where("n > 0").withColumn("seq_index", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    """A row for each index of each spec. Specs are few and make many rows, so runs of ``RUN``
+    indices are dealt to tasks by number, not by their size, before they become rows."""
+    n = F.col("n").cast("int")
+    tasks = int(specs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = specs.where("n > 0").withColumn("from", F.explode(F.sequence(F.lit(0), n - 1, F.lit(RUN)))).repartition(tasks)
+    return runs.withColumn("seq_index", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + RUN, n) - 1))).drop("from")
 
 
 def _letter(*keys) -> Column:
@@ -93,7 +101,8 @@ def mutated_sequences(specs: DataFrame) -> DataFrame:
         return F.when(unit(*own("m")) < F.col("mutation_rate"), changed).otherwise(x)
 
     made = F.array_join(F.transform(symbols("base_sequence"), at), "")
-    rows = rows.select("dataset_id", "seq_index", F.when(made == "", F.right("base_sequence", F.lit(1))).otherwise(made).alias("sequence"), "pad_char")
+    rows = rows.select("dataset_id", "seq_index", made.alias("made"), F.right("base_sequence", F.lit(1)).alias("last"), "pad_char")
+    rows = stage(rows.select("dataset_id", "seq_index", F.coalesce(F.nullif("made", F.lit("")), "last").alias("sequence"), "pad_char"), "mutated")  # read twice
     longest = rows.groupBy("dataset_id").agg(F.max(F.char_length("sequence")).alias("n"))
     return rows.join(longest, "dataset_id").select("dataset_id", "seq_index", F.rpad("sequence", F.col("n"), F.col("pad_char")).alias("sequence"))
 

@@ -397,3 +397,12 @@ def test_tiles_give_what_single_comparisons_give(spark, monkeypatch, length):
         ds = [sum(x != y for x, y in zip(r["text"], t)) for t in texts[::2] if t is not None and len(t) == len(r["text"])]
         d, row = far[r["text"]]
         assert d == (max(ds) if ds else None) and (row is None if not ds else sum(x != y for x, y in zip(r["text"], row)) == d)
+
+
+def test_specs_of_many_rows_are_made_by_many_tasks(spark):
+    spec = [("a", 5000, 6, 1, "substitution,deletion"), ("b", 3, 6, 2, "insertion")]
+    df = spark.createDataFrame(spec, "dataset_id string, n int, length int, seed long, mutation_types string").coalesce(1)
+    for make in (synthetic.random_sequences, synthetic.mutated_sequences, synthetic.clustered_sequences):
+        assert sorted((r["dataset_id"], r["n"], r["most"]) for r in make(df).groupBy("dataset_id").agg(F.count_distinct("seq_index").alias("n"), F.max("seq_index").alias("most")).collect()) == [("a", 5000, 4999), ("b", 3, 2)]
+    made = synthetic.random_sequences(df)
+    assert made.where("dataset_id = 'a'").select(F.spark_partition_id()).distinct().count() > 1
