@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..schema import FINAL
+from ..tables import ranges, stage
 
 THROTTLED = "execution_id long, ts double, progress double"
 MOVES = "id long, old_status string, new_status string, ts double"
@@ -292,13 +293,28 @@ def combination_feed(rows: DataFrame) -> DataFrame:
     Where the combination changes there is a ``changed`` row with the one before and the new one,
     and a ``flush`` row with the last status and progress of each unit of the one before. A null
     combination (no more work, or a pause) flushes the open one too, once until another opens.
-    Rows count in order of time, combination and unit.
+    Rows count in order of time, combination and unit. They are read in ranges of that order, and
+    each range learns from the few figures of those before it, so no task sorts a whole work.
     """
-    order = Window.partitionBy("work_id").orderBy("ts", "combination_id", "unit_id", "status", "progress")
-    before = F.last("combination_id", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    by = ["ts", "combination_id", "unit_id", "status", "progress"]
+    cut = ranges(_watched(rows), "work_id", *by)
+    here = Window.partitionBy("work_id", "part_no").orderBy(*by)
+    earlier = Window.partitionBy("work_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_earlier(rows: DataFrame, parts: DataFrame, **figures) -> DataFrame:
+        far = parts.select(F.col("work_id").alias("work_of"), F.col("part_no").alias("part_of"), *[c.over(earlier).alias(k) for k, c in figures.items()])
+        return rows.join(far, F.col("work_id").eqNullSafe(F.col("work_of")) & (F.col("part_no") == F.col("part_of"))).drop("work_of", "part_of")
+
+    newest = F.max_by("combination_id", F.when(F.col("combination_id").isNotNull(), F.struct(*by)))
+    parts = cut.groupBy("work_id", "part_no").agg(F.count(F.lit(1)).alias("n"), newest.alias("newest"))
+    seen = with_earlier(cut, parts, shift=F.sum("n"), carried=F.last("newest", ignorenulls=True))
+    before = F.coalesce(F.last("combination_id", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried"))
     opens = F.col("combination_id").isNotNull() & ~F.col("combination_id").eqNullSafe(F.col("before"))
-    seen = _watched(rows).withColumn("before", before).withColumn("opens", opens).withColumn("pos", F.row_number().over(order))
-    runs = seen.withColumn("run", F.sum(F.col("opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = seen.withColumn("before", before).withColumn("opens", opens).withColumn("pos", F.row_number().over(here) + F.coalesce("shift", F.lit(0)))
+    seen = seen.withColumn("run", F.sum(F.col("opens").cast("int")).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = stage(seen.drop("shift", "carried"), "feed")
+    opened = seen.groupBy("work_id", "part_no").agg(F.max("run").alias("opened"))
+    runs = with_earlier(seen, opened, shift=F.sum("opened")).withColumn("run", F.col("run") + F.coalesce("shift", F.lit(0)))
     changed = runs.where("opens").select("work_id", "run", "ts", "pos", F.col("before").alias("previous"), "combination_id")
     paused = runs.where("combination_id IS NULL AND run > 0").groupBy("work_id", "run").agg(F.min("pos").alias("until"), F.min_by("ts", "pos").alias("at"))
     ended = changed.where("run > 1").select("work_id", (F.col("run") - 1).alias("run"), F.col("pos").alias("until"), F.col("ts").alias("at"))

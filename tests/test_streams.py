@@ -4,8 +4,10 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.streaming import feeds
+from strandlake.tables import stage
 
 
 class Feed:
@@ -134,3 +136,19 @@ def test_combination_feed_by_hand(spark):
     assert got[0] == (1.0, "changed", None, "1", None, None)
     assert got[1:3] == [(3.0, "flush", None, "1", "a", 1.0), (3.0, "flush", None, "1", "b", 0.0)]
     assert got[3:] == [(6.0, "changed", "1", "2", None, None), (6.0, "flush", None, "1", "a", 1.0), (6.0, "flush", None, "1", "b", 1.0)]
+
+
+def test_combination_feed_over_many_ranges(spark, monkeypatch):
+    """A work's rows lie in several ranges, none of which sees the others' rows."""
+    rows = [(w, float(t // 3), None if t % 11 == 0 else str(t // 7 % 3), f"u{t % 4}", "running", float(t)) for w in ("a", "b", None) for t in range(240)]
+    df = spark.createDataFrame(rows, "work_id string, ts double, combination_id string, unit_id string, status string, progress double")
+    whole = sorted(map(tuple, feeds.combination_feed(df).collect()), key=str)
+    used = []
+
+    def narrow(rows, by, *order):
+        cut = stage(rows.repartitionByRange(9, by, *order).withColumn("part_no", F.spark_partition_id()), "ranges")
+        used.append(cut.where("work_id = 'a'").select("part_no").distinct().count())
+        return cut
+
+    monkeypatch.setattr(feeds, "ranges", narrow)
+    assert sorted(map(tuple, feeds.combination_feed(df).collect()), key=str) == whole and used[0] > 1
