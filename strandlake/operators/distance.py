@@ -94,15 +94,18 @@ def neighbours(seqs: DataFrame, radius: int) -> DataFrame:
     first ones, and copies are given as links of distance 0 to theirs. A pair is given at its
     first common block alone, so nothing is left to make distinct.
     """
-    n = F.char_length("sequence")
     keys = ["dataset_id", "sequence"]
     first = stage(seqs.groupBy(*keys).agg(F.min("seq_index").alias("seq_index")), "first")
     copies = seqs.join(first.withColumnRenamed("seq_index", "i"), keys).where("seq_index <> i").select("dataset_id", "i", F.col("seq_index").alias("j"), F.lit(0).alias("d"))
-    short = n < BLOCK * (radius + 1)
-    return _in_bands(first.where(~short), radius).unionByName(tiles.pairs(_texts(first.where(short)), radius)).unionByName(copies)
+    return in_bands(first.where(~short(radius)), radius).unionByName(tiles.pairs(_texts(first.where(short(radius))), radius)).unionByName(copies)
 
 
-def _in_bands(first: DataFrame, radius: int) -> DataFrame:
+def short(radius: int) -> Column:
+    """Whether bands of a row's blocks would tell few pairs apart."""
+    return F.char_length("sequence") < BLOCK * (radius + 1)
+
+
+def in_bands(first: DataFrame, radius: int) -> DataFrame:
     """`neighbours` of different rows that are longer than the radius."""
     n, k = F.char_length("sequence"), F.col("k")
     begin = lambda k: F.floor(k * n / (radius + 1)).cast("int")

@@ -107,15 +107,16 @@ def _upto(blocks: str) -> Column:
 def _compared(tiles: DataFrame, fn: Tile, schema: str, same: bool) -> DataFrame:
     """``fn`` on the rows of both sides of each tile; its columns follow the dataset's id.
 
-    ``same`` if both sides are of one table, whose blocks meet themselves where x = y.
+    A side is the lists of its rows' ids, texts and, where ``tiles`` has it, ``more``. ``same`` if
+    both sides are of one table, whose blocks meet themselves where x = y.
     """
     types = pa.schema([pa.field("dataset_id", pa.string())] + [pa.field(c.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[c.split()[1]]) for c in schema.split(", ")])
 
     def tile(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches))
         side = rows["side"].to_numpy()
-        ids, texts = rows["id"].to_pylist(), rows["text"].to_pylist()
-        of = lambda s: ([ids[k] for k in np.flatnonzero(side == s)], [texts[k] for k in np.flatnonzero(side == s)])
+        given = [rows[c].to_pylist() for c in ("id", "text", "more") if c in rows.column_names]
+        of = lambda s: tuple([c[k] for k in np.flatnonzero(side == s)] for c in given)
         own = same and key[1].as_py() == key[2].as_py()
         first = of(0)
         for columns in fn(first, first if own else of(1), own):
@@ -133,7 +134,7 @@ def _all_tiles(rows: DataFrame) -> DataFrame:
     """Each pair of a dataset's blocks once, and each block with itself."""
     cut = rows.join(_blocks(rows, "blocks"), "dataset_id").withColumn("block", _block("blocks")).withColumn("other", _upto("blocks"))
     side = (F.col("block") > F.col("other")).cast("int")
-    return cut.select("dataset_id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "id", "text")
+    return cut.select("dataset_id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), *[c for c in rows.columns if c != "dataset_id"])
 
 
 def pairs(rows: DataFrame, radius: int | None = None) -> DataFrame:
@@ -161,6 +162,73 @@ def pairs(rows: DataFrame, radius: int | None = None) -> DataFrame:
     return _compared(_all_tiles(rows), found, f"i {kind}, j {kind}, d int", True)
 
 
+def weights_near(rows: DataFrame, radius: int) -> DataFrame:
+    """``rows(dataset_id, id, text, more)`` -> ``(dataset_id, id, others)``: for each row that has
+    others within the radius the sum of their ``more``. Pairs are counted where they meet, so a
+    large group of near rows gives no more rows than its own."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def found(left, right, own):
+        weight = tuple(np.asarray(side[2], dtype=np.int64) for side in (left, right))
+        near = tuple(np.zeros(len(w), dtype=np.int64) for w in weight)
+        for a, b, d in distances(left[1], right[1]):
+            at, to = np.nonzero(d <= radius)
+            np.add.at(near[0], a[at], weight[1][b[to]])
+            if not own:
+                np.add.at(near[1], b[to], weight[0][a[at]])
+        for side, total, w in [(left, near[0], weight[0]), (right, near[1], weight[1])][: 1 if own else 2]:
+            others = total - (w * (np.array([t is not None for t in side[1]], dtype=bool)) if own else 0)
+            some = np.flatnonzero(others)
+            yield [side[0][k] for k in some], others[some]
+
+    met = _compared(_all_tiles(rows), found, f"id {kind}, others bigint", True)
+    return met.groupBy("dataset_id", "id").agg(F.sum("others").alias("others"))
+
+
+def _join(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Joins the trees of u[k] and v[k]; ``root`` has each place's root before and after."""
+    while True:
+        u, v = root[u], root[v]
+        apart = u != v
+        if not apart.any():
+            return
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while ((up := root[root]) != root).any():
+            root[:] = up
+
+
+def links(rows: DataFrame, radius: int) -> DataFrame:
+    """``rows(dataset_id, id, text, more)`` -> ``(dataset_id, i, j)``: links enough to join all that
+    pairs within the radius join. ``more`` is 1 for a core row and else 0.
+
+    Core rows of a tile that near pairs of core rows join are linked to one of them, so there are
+    no more links than rows of a tile. A near pair of another row i and a core row j is given as
+    it is; those of two other rows are not.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def found(left, right, own):
+        ids = np.asarray(left[0] if own else [*left[0], *right[0]], dtype="i8" if kind == "bigint" else "i4")
+        core = np.asarray(left[2] if own else [*left[2], *right[2]], dtype=bool)
+        root, shift = np.arange(len(ids)), 0 if own else len(left[0])
+        for a, b, d in distances(left[1], right[1]):
+            at, to = np.nonzero(d <= radius)
+            u, v = a[at], b[to] + shift
+            both = core[u] & core[v]
+            _join(root, u[both], v[both])
+            if not both.all():
+                edge = core[u] != core[v]
+                u, v = u[edge], v[edge]
+                if own:  # each pair is met from both its ends
+                    u, v = u[core[v]], v[core[v]]
+                yield ids[np.where(core[u], v, u)], ids[np.where(core[u], u, v)]
+        joined = np.flatnonzero(root != np.arange(len(root)))
+        yield ids[joined], ids[root[joined]]
+
+    return _compared(_all_tiles(rows), found, f"i {kind}, j {kind}", True)
+
+
 def extremes(rows: DataFrame) -> DataFrame:
     """``rows(dataset_id, id, text)`` -> least and largest distance of a pair, ``(dataset_id, lo, hi)``."""
 

@@ -406,3 +406,57 @@ def test_specs_of_many_rows_are_made_by_many_tasks(spark):
         assert sorted((r["dataset_id"], r["n"], r["most"]) for r in make(df).groupBy("dataset_id").agg(F.count_distinct("seq_index").alias("n"), F.max("seq_index").alias("most")).collect()) == [("a", 5000, 4999), ("b", 3, 2)]
     made = synthetic.random_sequences(df)
     assert made.where("dataset_id = 'a'").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def _clusters_brute(texts, radius, least):
+    """Cluster of each row by the definition: core rows by weight, components, others to the smallest one they touch."""
+    from itertools import count
+
+    near = [[j for j, t in enumerate(texts) if len(t) == len(s) and sum(x != y for x, y in zip(s, t)) <= radius] for s in texts]
+    core = {i for i, js in enumerate(near) if len(js) >= least}
+    root = {}
+    for i in sorted(core):
+        todo = [i] if i not in root else []
+        while todo:
+            k = todo.pop()
+            if k not in root:
+                root[k] = i
+                todo += [j for j in near[k] if j in core]
+    for i, js in enumerate(near):
+        if i not in core and any(j in core for j in js):
+            root[i] = min(root[j] for j in js if j in core)
+    number = count()
+    names = {}
+    return {i: names[root[i]] if root[i] in names else names.setdefault(root[i], next(number)) for i in sorted(root)}
+
+
+@pytest.mark.parametrize("length, least", [(9, 2), (9, 6), (40, 6)])
+def test_clusters_in_tiles_and_bands(spark, monkeypatch, length, least):
+    """Short rows meet in tiles, long ones in bands; copies, rows that are not core, and rows between two clusters."""
+    from strandlake.operators import tiles
+
+    monkeypatch.setattr(tiles, "TILE", 16)
+    monkeypatch.setattr(tiles, "HELD", 64)
+    rng = random.Random(length + least)
+    texts = ["".join(rng.choice("AC") for _ in range(9)) + "G" * (length - 9) for _ in range(70)]
+    texts += [texts[3], texts[3], "T" * length, "T" * length, "A" * (length + 1)]
+    got = {r["seq_index"]: r["cluster_id"] for r in cons.clusters(seqs(spark, *texts), 2, least).collect()}
+    assert got == _clusters_brute(texts, 2, least)
+
+
+def test_a_large_group_of_near_rows_gives_no_table_of_its_pairs(spark, monkeypatch):
+    from strandlake.operators import distance, tiles
+
+    monkeypatch.setattr(tiles, "TILE", 64)
+    written = {}
+
+    def kept(df, name, stage=cons.stage):
+        out = stage(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(cons, "stage", kept)
+    monkeypatch.setattr(distance, "stage", kept)
+    texts = [f"{i:08b}".replace("0", "A").replace("1", "C") + "G" * 8 for i in range(256)]
+    assert {r["cluster_id"] for r in cons.clusters(seqs(spark, *texts), 8).collect()} == {0}
+    assert max(written.values()) <= 256 * 4 * 2  # a link a row and tile; there are 32,640 pairs
