@@ -48,14 +48,19 @@ def packed(s: Column) -> Column:
     return F.when(F.octet_length(s) == F.char_length(s), F.when(F.char_length(s) == 0, F.array().cast("array<bigint>")).otherwise(words))
 
 
-def packed_hamming(a: Column, b: Column) -> Column:
-    """Positions that differ, of two packed strings of equal length.
+def packed_difference(x: Column, y: Column) -> Column:
+    """Characters that differ, of two longs of a packed string.
 
     The bytes of an exclusive or are below 128, so adding 127 sets a byte's highest bit exactly
     where the characters differ.
     """
     low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
-    each = F.zip_with(a, b, lambda x, y: F.bit_count((x.bitwiseXOR(y) + low).bitwiseAND(high)))
+    return F.bit_count((x.bitwiseXOR(y) + low).bitwiseAND(high))
+
+
+def packed_hamming(a: Column, b: Column) -> Column:
+    """Positions that differ, of two packed strings of equal length."""
+    each = F.zip_with(a, b, packed_difference)
     return F.aggregate(each, F.lit(0), lambda s, n: s + n)
 
 

@@ -61,7 +61,7 @@ def compare(seqs: DataFrame, first: DataFrame, second: DataFrame, name: str = "h
 def pair_table(seqs: DataFrame, name: str = "hamming") -> DataFrame:
     """All pairs of a dataset once, with their distance: as many rows as that, in tiles that all tasks share."""
     if metric(name) is hamming:
-        return tiles.pairs(_texts(seqs)).select("dataset_id", "i", "j", "d")
+        return tiles.all_pairs(_texts(seqs)).select("dataset_id", "i", "j", "d")
     a = seqs.select("dataset_id", F.col("seq_index").alias("i"), F.col("sequence").alias("a"))
     b = seqs.select("dataset_id", F.col("seq_index").alias("j"), F.col("sequence").alias("b"))
     return a.join(b, "dataset_id").where("i < j").select("dataset_id", "i", "j", metric(name)(F.col("a"), F.col("b")).alias("d"))

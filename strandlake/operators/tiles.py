@@ -8,15 +8,21 @@ texts of equal length are bit planes, and a distance is the bits set in their ex
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strings import PACKED, packed_difference
+
 #: Rows of a block, and distances that are held at a time.
 TILE = 4096
 HELD = 1 << 16
+#: Rows of a block, and longs of a packed text, where all pairs are returned.
+JOINED = 1024
+WORDS = 16
 #: Characters that are put in planes at a time.
 CHARS = 1 << 22
 
@@ -91,9 +97,9 @@ def distances(left: list, right: list, unequal: bool = False) -> Iterator[tuple[
 # ------------------------------------------------------------------ in Spark
 
 
-def _blocks(rows: DataFrame, name: str) -> DataFrame:
+def _blocks(rows: DataFrame, name: str, size: int | None = None) -> DataFrame:
     """The number of blocks of each dataset."""
-    return rows.groupBy("dataset_id").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(name))
+    return rows.groupBy("dataset_id").agg(F.ceil(F.count(F.lit(1)) / (size or TILE)).cast("int").alias(name))
 
 
 def _block(blocks: str) -> Column:
@@ -130,9 +136,9 @@ def _compared(tiles: DataFrame, fn: Tile, schema: str, same: bool) -> DataFrame:
     return tiles.repartition(n, *by).groupBy(*by).applyInArrow(tile, f"dataset_id string, {schema}")
 
 
-def _all_tiles(rows: DataFrame) -> DataFrame:
+def _all_tiles(rows: DataFrame, size: int | None = None) -> DataFrame:
     """Each pair of a dataset's blocks once, and each block with itself."""
-    cut = rows.join(_blocks(rows, "blocks"), "dataset_id").withColumn("block", _block("blocks")).withColumn("other", _upto("blocks"))
+    cut = rows.join(_blocks(rows, "blocks", size), "dataset_id").withColumn("block", _block("blocks")).withColumn("other", _upto("blocks"))
     side = (F.col("block") > F.col("other")).cast("int")
     return cut.select("dataset_id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), *[c for c in rows.columns if c != "dataset_id"])
 
@@ -148,20 +154,51 @@ def pairs(rows: DataFrame, radius: int | None = None) -> DataFrame:
     def found(left, right, own):
         one, two = (np.asarray(side[0], dtype="i8" if kind == "bigint" else "i4") for side in (left, right))
         for a, b, d in distances(left[1], right[1], radius is None):
-            keep = np.ones((len(a), len(b)), dtype=bool) if radius is None else d <= radius
+            if radius is None:  # most or all of a piece stays, so it is taken as it lies
+                i, j = one[a][:, None], two[b]
+                keep = i != j
+                if own:
+                    keep &= a[:, None] < b
+                taken = np.ravel if keep.all() else lambda x, keep=keep: x[keep]
+                far = pa.nulls(int(keep.sum()), pa.int32()) if d is None else taken(d).astype(np.int32)
+                yield taken(np.minimum(i, j)), taken(np.maximum(i, j)), far
+                continue
+            keep = d <= radius
             if own:
                 keep &= a[:, None] < b
             at, to = np.nonzero(keep)
-            i, j = one[a[at]], two[b[to]]
-            far = pa.nulls(len(at), pa.int32()) if d is None else pa.array(d[at, to].astype(np.int32))
+            i, j, far = one[a[at]], two[b[to]], d[at, to].astype(np.int32)
             if (i == j).any():
                 apart = i != j
-                i, j, far = i[apart], j[apart], far.filter(pa.array(apart))
+                i, j, far = i[apart], j[apart], far[apart]
             yield np.minimum(i, j), np.maximum(i, j), far
 
     return _compared(_all_tiles(rows), found, f"i {kind}, j {kind}, d int", True)
 
 
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """As `pairs` without a radius. Datasets of short ASCII texts are joined by Spark on tiles, of
+    which rows come out faster than from Python workers; `pairs` has the others."""
+    n = F.char_length("text")
+    fits = F.coalesce((F.octet_length("text") == n) & (n <= PACKED * WORDS), F.lit(False))
+    kinds = rows.groupBy("dataset_id").agg(F.min(fits).alias("plain"), F.max(n).alias("longest"))
+    most = kinds.where("plain").agg(F.max("longest")).first()[0]
+    rest = pairs(rows.join(kinds.where(~F.col("plain")), "dataset_id", "left_semi"))
+    if most is None:
+        return rest
+    count = max(1, -(-most // PACKED))
+    words = [F.coalesce(F.conv(F.hex(F.substring("text", PACKED * k + 1, PACKED)), 16, 10).cast("long"), F.lit(0)).alias(f"p{k}") for k in range(count)]
+    plain = rows.join(kinds.where("plain"), "dataset_id", "left_semi").select("dataset_id", "id", n.alias("n"), *words)
+    by, of = ["dataset_id", "x", "y"], [c for c in plain.columns if c != "dataset_id"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = _all_tiles(plain, JOINED).repartition(parts, *by)
+    side = lambda df, s: df.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in of])
+    both = side(met.where("side = 0"), "a").join(side(met.where("side = 1 OR x = y"), "b").hint("merge"), by).where("x <> y OR id_a < id_b")
+    d = reduce(lambda x, y: x + y, [packed_difference(F.col(f"p{k}_a"), F.col(f"p{k}_b")) for k in range(count)])
+    made = both.select("dataset_id", F.least("id_a", "id_b").alias("i"), F.greatest("id_a", "id_b").alias("j"), F.when(F.col("n_a") == F.col("n_b"), d).alias("d"))
+    return made.unionByName(rest)
+
+
 def weights_near(rows: DataFrame, radius: int) -> DataFrame:
     """``rows(dataset_id, id, text, more)`` -> ``(dataset_id, id, others)``: for each row that has
     others within the radius the sum of their ``more``. Pairs are counted where they meet, so a

@@ -460,3 +460,21 @@ def test_a_large_group_of_near_rows_gives_no_table_of_its_pairs(spark, monkeypat
     texts = [f"{i:08b}".replace("0", "A").replace("1", "C") + "G" * 8 for i in range(256)]
     assert {r["cluster_id"] for r in cons.clusters(seqs(spark, *texts), 8).collect()} == {0}
     assert max(written.values()) <= 256 * 4 * 2  # a link a row and tile; there are 32,640 pairs
+
+
+def test_all_pairs_of_short_texts_are_joined_by_spark(spark, monkeypatch):
+    """Several blocks, unequal lengths, equal ids; a dataset with a sign beyond ASCII, a null or a long text goes by Python."""
+    from strandlake.operators import tiles
+
+    monkeypatch.setattr(tiles, "JOINED", 8)
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("ACGT\x7f") for _ in range(n)) for n in [10] * 25 + [7, 7, 0, 0, 3]]
+    sets = {"plain": plain, "other": ["é" + t for t in plain[:5]], "null": [*plain[:4], None], "long": [t * 12 for t in plain[:4]]}
+    rows = spark.createDataFrame([(d, i, t) for d, ts in sets.items() for i, t in enumerate(ts)] + [("plain", 3, "A" * 10)], "dataset_id string, seq_index int, sequence string")
+    known = []
+    for name, ts in sets.items():
+        every = [*enumerate(ts), *([(3, "A" * 10)] if name == "plain" else [])]
+        known += [(name, i, j, sum(x != y for x, y in zip(a, b)) if None not in (a, b) and len(a) == len(b) else None) for i, a in every for j, b in every if i < j]
+    assert sorted(map(tuple, dist.pair_table(rows).collect()), key=str) == sorted(known, key=str)
+    plan = dist.pair_table(rows.where("dataset_id = 'plain'"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
