@@ -62,11 +62,12 @@ def _by_length(texts: list) -> dict[int, np.ndarray]:
     return {int(k): np.flatnonzero(n == k) for k in np.unique(n)}
 
 
-def distances(left: list, right: list, unequal: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+def distances(left: list, right: list, unequal: bool = False, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """Places in ``left``, places in ``right`` and their distances, piece by piece.
 
     Texts of unequal lengths and nulls have no distance; their pieces, with None, are opt-in. A
-    piece's distances are overwritten by the next.
+    piece's distances are overwritten by the next. ``own`` if both sides are one list: then rows of
+    a piece meet themselves and those after them, so all pairs a < b are given, but only some a > b.
     """
     here, there = _by_length(left), _by_length(right)
     for n, a in here.items():
@@ -77,21 +78,28 @@ def distances(left: list, right: list, unequal: bool = False) -> Iterator[tuple[
                 continue
             texts = [left[k] for k in a], [right[k] for k in b]
             letters = _letters(texts[0] + texts[1], n)
-            p, q = (_planes(t, letters, n) for t in texts)
+            p = _planes(texts[0], letters, n)
+            q = p if own else _planes(texts[1], letters, n)
             # held in the same memory for all pieces, of which each is used before the next
-            shape = min(step, len(a)), len(b)
-            differ, more, ones = np.empty(shape, p.dtype), np.empty(shape, p.dtype), np.empty(shape, np.uint8)
+            size = min(step, len(a)) * len(b)
+            memory = np.empty(size, p.dtype), np.empty(size, p.dtype), np.empty(size, np.uint8)
             for at in range(0, len(a), step):
-                mine = p[:, :, at : at + step, None]
-                k = mine.shape[2]
+                mine, first = p[:, :, at : at + step, None], at if own else 0
+                shape = mine.shape[2], len(b) - first
+                differ, more, ones = (m[: shape[0] * shape[1]].reshape(shape) for m in memory)
                 total = 0
                 for w in range(p.shape[1]):
-                    np.bitwise_xor(mine[0, w], q[0, w], out=differ[:k])
+                    np.bitwise_xor(mine[0, w], q[0, w, first:], out=differ)
                     for plane in range(1, len(p)):
-                        differ[:k] |= np.bitwise_xor(mine[plane, w], q[plane, w], out=more[:k])
-                    np.bitwise_count(differ[:k], out=ones[:k])
-                    total = ones[:k] if p.shape[1] == 1 else total + ones[:k].astype(np.int32)
-                yield a[at : at + step], b, total
+                        differ |= np.bitwise_xor(mine[plane, w], q[plane, w, first:], out=more)
+                    np.bitwise_count(differ, out=ones)
+                    total = ones if p.shape[1] == 1 else total + ones.astype(np.int32)
+                yield a[at : at + step], b[first:], total
+
+
+def _near(d: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``np.nonzero(d <= radius)``; in one dimension few near places are found much faster."""
+    return np.divmod(np.flatnonzero(d <= radius), d.shape[1])
 
 
 # ------------------------------------------------------------------ in Spark
@@ -153,7 +161,7 @@ def pairs(rows: DataFrame, radius: int | None = None) -> DataFrame:
 
     def found(left, right, own):
         one, two = (np.asarray(side[0], dtype="i8" if kind == "bigint" else "i4") for side in (left, right))
-        for a, b, d in distances(left[1], right[1], radius is None):
+        for a, b, d in distances(left[1], right[1], radius is None, own):
             if radius is None:  # most or all of a piece stays, so it is taken as it lies
                 i, j = one[a][:, None], two[b]
                 keep = i != j
@@ -163,10 +171,10 @@ def pairs(rows: DataFrame, radius: int | None = None) -> DataFrame:
                 far = pa.nulls(int(keep.sum()), pa.int32()) if d is None else taken(d).astype(np.int32)
                 yield taken(np.minimum(i, j)), taken(np.maximum(i, j)), far
                 continue
-            keep = d <= radius
+            at, to = _near(d, radius)
             if own:
-                keep &= a[:, None] < b
-            at, to = np.nonzero(keep)
+                once = a[at] < b[to]
+                at, to = at[once], to[once]
             i, j, far = one[a[at]], two[b[to]], d[at, to].astype(np.int32)
             if (i == j).any():
                 apart = i != j
@@ -208,13 +216,15 @@ def weights_near(rows: DataFrame, radius: int) -> DataFrame:
     def found(left, right, own):
         weight = tuple(np.asarray(side[2], dtype=np.int64) for side in (left, right))
         near = tuple(np.zeros(len(w), dtype=np.int64) for w in weight)
-        for a, b, d in distances(left[1], right[1]):
-            at, to = np.nonzero(d <= radius)
-            np.add.at(near[0], a[at], weight[1][b[to]])
-            if not own:
-                np.add.at(near[1], b[to], weight[0][a[at]])
-        for side, total, w in [(left, near[0], weight[0]), (right, near[1], weight[1])][: 1 if own else 2]:
-            others = total - (w * (np.array([t is not None for t in side[1]], dtype=bool)) if own else 0)
+        for a, b, d in distances(left[1], right[1], own=own):
+            at, to = _near(d, radius)
+            u, v = a[at], b[to]
+            if own:
+                once = u < v
+                u, v = u[once], v[once]
+            np.add.at(near[0], u, weight[1][v])
+            np.add.at(near[1], v, weight[0][u])
+        for side, others in [(left, near[0] + near[1])] if own else [(left, near[0]), (right, near[1])]:
             some = np.flatnonzero(others)
             yield [side[0][k] for k in some], others[some]
 
@@ -249,16 +259,17 @@ def links(rows: DataFrame, radius: int) -> DataFrame:
         ids = np.asarray(left[0] if own else [*left[0], *right[0]], dtype="i8" if kind == "bigint" else "i4")
         core = np.asarray(left[2] if own else [*left[2], *right[2]], dtype=bool)
         root, shift = np.arange(len(ids)), 0 if own else len(left[0])
-        for a, b, d in distances(left[1], right[1]):
-            at, to = np.nonzero(d <= radius)
+        for a, b, d in distances(left[1], right[1], own=own):
+            at, to = _near(d, radius)
             u, v = a[at], b[to] + shift
+            if own:
+                once = u < v
+                u, v = u[once], v[once]
             both = core[u] & core[v]
             _join(root, u[both], v[both])
             if not both.all():
                 edge = core[u] != core[v]
                 u, v = u[edge], v[edge]
-                if own:  # each pair is met from both its ends
-                    u, v = u[core[v]], v[core[v]]
                 yield ids[np.where(core[u], v, u)], ids[np.where(core[u], u, v)]
         joined = np.flatnonzero(root != np.arange(len(root)))
         yield ids[joined], ids[root[joined]]
@@ -271,7 +282,7 @@ def extremes(rows: DataFrame) -> DataFrame:
 
     def found(left, right, own):
         lo, hi = None, None
-        for a, b, d in distances(left[1], right[1]):
+        for a, b, d in distances(left[1], right[1], own=own):
             if own and len(b) == 1:
                 continue
             most = int(d.max())

@@ -444,6 +444,23 @@ def test_clusters_in_tiles_and_bands(spark, monkeypatch, length, least):
     assert got == _clusters_brute(texts, 2, least)
 
 
+@pytest.mark.parametrize("length", [8, 70])
+def test_a_block_that_meets_itself_compares_its_pairs_once(monkeypatch, length):
+    from strandlake.operators import tiles
+
+    monkeypatch.setattr(tiles, "HELD", 1024)
+    rng = random.Random(length)
+    texts = ["".join(rng.choice("ACGT") for _ in range(length)) for _ in range(256)]
+    found, compared = {}, 0
+    for a, b, d in tiles.distances(texts, texts, own=True):
+        compared += d.size
+        at, to = tiles._near(d, length // 2)
+        found |= {(int(i), int(j)): int(n) for i, j, n in zip(a[at], b[to], d[at, to]) if i < j}
+    every = {(i, j): sum(x != y for x, y in zip(texts[i], texts[j])) for i in range(256) for j in range(i + 1, 256)}
+    assert found == {k: n for k, n in every.items() if n <= length // 2}
+    assert compared <= 0.55 * 256**2
+
+
 def test_a_large_group_of_near_rows_gives_no_table_of_its_pairs(spark, monkeypatch):
     from strandlake.operators import distance, tiles
 
