@@ -114,32 +114,42 @@ def clusters(seqs: DataFrame, radius: int, min_samples: int = 2) -> DataFrame:
     A row is core if it and its neighbours are at least ``min_samples``; components of core rows
     are clusters, other neighbours join the smallest one they touch. Clusters are numbered from 0
     by their first member. Equal rows count for the density of their class. Pairs of short rows are
-    counted and joined in tiles, which give rows and links but not the pairs of a large group.
+    counted and joined in tiles, which give rows and links but not the pairs of a large group. For
+    two samples or less every row with another one near is core, so links alone tell all, and rows
+    are compared once.
     """
     keys = ["dataset_id", "sequence"]
     copies = stage(seqs.groupBy(*keys).agg(F.min("seq_index").alias("i"), F.count(F.lit(1)).alias("n")), "copies")
-    near = stage(in_bands(copies.where(~short(radius)).select(*keys, F.col("i").alias("seq_index")), radius), "links")
-    banded = near.select("dataset_id", "i", "j").unionByName(near.select("dataset_id", F.col("j").alias("i"), F.col("i").alias("j")))
+    near = in_bands(copies.where(~short(radius)).select(*keys, F.col("i").alias("seq_index")), radius)
     tiled = copies.where(short(radius))
     texts = lambda df, more: df.select("dataset_id", F.col("i").alias("id"), F.col("sequence").alias("text"), F.col(more).cast("bigint").alias("more"))
-    weights = copies.select("dataset_id", F.col("i").alias("j"), "n")
-    around = banded.join(weights, ["dataset_id", "j"]).groupBy("dataset_id", "i").agg(F.sum("n").alias("others"))
-    around = around.unionByName(weights_near(texts(tiled, "n"), radius).withColumnRenamed("id", "i"))
-    degree = copies.join(around, ["dataset_id", "i"], "left").withColumn("core", F.col("n") + F.coalesce("others", F.lit(0)) >= min_samples)
-    # a row without others near has no links
-    degree = stage(degree.where(F.col("core") | F.col("others").isNotNull()), "degree")
-    core = degree.where("core").select("dataset_id", "i")
-    found = stage(banded.unionByName(links(texts(degree.where(short(radius)), "core"), radius)), "links")
-    found = found.join(core.withColumnRenamed("i", "j"), ["dataset_id", "j"], "left_semi")
-    inner = found.join(core, ["dataset_id", "i"], "left_semi")
+    if min_samples <= 2:
+        inner = stage(near.select("dataset_id", "i", "j").unionByName(links(texts(tiled.withColumn("core", F.lit(True)), "core"), radius)), "links")
+        core = copies.where(F.col("n") >= min_samples).select("dataset_id", "i")  # the others are in links
+        found = None
+    else:
+        near = stage(near, "links")
+        banded = near.select("dataset_id", "i", "j").unionByName(near.select("dataset_id", F.col("j").alias("i"), F.col("i").alias("j")))
+        weights = copies.select("dataset_id", F.col("i").alias("j"), "n")
+        around = banded.join(weights, ["dataset_id", "j"]).groupBy("dataset_id", "i").agg(F.sum("n").alias("others"))
+        around = around.unionByName(weights_near(texts(tiled, "n"), radius).withColumnRenamed("id", "i"))
+        degree = copies.join(around, ["dataset_id", "i"], "left").withColumn("core", F.col("n") + F.coalesce("others", F.lit(0)) >= min_samples)
+        # a row without others near has no links
+        degree = stage(degree.where(F.col("core") | F.col("others").isNotNull()), "degree")
+        core = degree.where("core").select("dataset_id", "i")
+        found = stage(banded.unionByName(links(texts(degree.where(short(radius)), "core"), radius)), "links")
+        found = found.join(core.withColumnRenamed("i", "j"), ["dataset_id", "j"], "left_semi")
+        inner = found.join(core, ["dataset_id", "i"], "left_semi")
     node = lambda c: F.struct("dataset_id", F.col(c).alias("i"))
     loops = core.select(node("i").alias("src"), node("i").alias("dst"))
     roots = connected_components(inner.select(node("i").alias("src"), node("j").alias("dst")).unionByName(loops))
     roots = stage(roots.select(F.col("node.dataset_id").alias("dataset_id"), F.col("node.i").alias("i"), F.col("root.i").alias("of")), "roots")
     # known by its first core row, whatever links were given
     roots = roots.join(roots.groupBy("dataset_id", "of").agg(F.min("i").alias("root")), ["dataset_id", "of"]).drop("of")
-    border = found.join(core, ["dataset_id", "i"], "left_anti").join(roots.withColumnRenamed("i", "j"), ["dataset_id", "j"]).groupBy("dataset_id", "i").agg(F.min("root").alias("root"))
-    classes = stage(roots.unionByName(border), "classes")
+    if found is not None:
+        border = found.join(core, ["dataset_id", "i"], "left_anti").join(roots.withColumnRenamed("i", "j"), ["dataset_id", "j"]).groupBy("dataset_id", "i").agg(F.min("root").alias("root"))
+        roots = roots.unionByName(border)
+    classes = stage(roots, "classes")
     members = seqs.join(copies.drop("n"), keys).join(classes, ["dataset_id", "i"]).select("dataset_id", "seq_index", "root")
     first = members.groupBy("dataset_id", "root").agg(F.min("seq_index").alias("first"))
     numbered = number(first, "dataset_id", "first", name="cluster_id")

@@ -461,6 +461,20 @@ def test_a_block_that_meets_itself_compares_its_pairs_once(monkeypatch, length):
     assert compared <= 0.55 * 256**2
 
 
+@pytest.mark.parametrize("length, least", [(9, 2), (40, 2), (9, 1)])
+def test_clusters_of_two_samples_compare_rows_once(spark, monkeypatch, length, least):
+    from strandlake.operators import tiles
+
+    monkeypatch.setattr(tiles, "TILE", 16)
+    compared = []
+    monkeypatch.setattr(tiles, "_compared", lambda *of, fn=tiles._compared: compared.append(1) or fn(*of))
+    rng = random.Random(length)
+    texts = ["".join(rng.choice("ACGT") for _ in range(9)) + "G" * (length - 9) for _ in range(60)]
+    texts += [texts[3], "T" * length, "T" * length, "A" * (length + 1)]
+    got = {r["seq_index"]: r["cluster_id"] for r in cons.clusters(seqs(spark, *texts), 2, least).collect()}
+    assert got == _clusters_brute(texts, 2, least) and len(compared) == 1
+
+
 def test_a_large_group_of_near_rows_gives_no_table_of_its_pairs(spark, monkeypatch):
     from strandlake.operators import distance, tiles
 
