@@ -39,7 +39,8 @@ def _improve(seqs: DataFrame, centers: DataFrame, moves, rounds: int | None) ->
     the centre is from them can't be better; only the others are compared with all rows.
     """
     rows = stage(seqs.select("dataset_id", "sequence").distinct(), "rows")
-    state = stage(center_distances(seqs, centers.select("dataset_id", "center")).groupBy("dataset_id", "center").agg(F.max("d").alias("max_distance")), "moves")
+    # a largest distance ignores copies, so only the rows just written are read
+    state = stage(center_distances(rows, centers.select("dataset_id", "center")).groupBy("dataset_id", "center").agg(F.max("d").alias("max_distance")), "moves")
     state = state.withColumn("better", F.lit(True))
     for _ in count() if rounds is None else range(rounds):
         open_ = state.where("better")
@@ -48,7 +49,7 @@ def _improve(seqs: DataFrame, centers: DataFrame, moves, rounds: int | None) ->
         made = moves(open_.select("dataset_id", F.col("center").alias("candidate")))
         bound = made.join(score_candidates(far, made).select("dataset_id", "candidate", F.col("max_d").alias("least")).distinct(), ["dataset_id", "candidate"])
         able = bound.join(open_.select("dataset_id", "max_distance"), "dataset_id").where(F.coalesce("least", F.lit(-1)) < F.col("max_distance"))
-        best = best_candidate(score_candidates(rows, stage(able.select("dataset_id", "cand_no", "candidate"), "able"))).select("dataset_id", F.col("center").alias("new"), F.col("max_distance").alias("new_d"))
+        best = best_candidate(score_candidates(rows, stage(able.select("dataset_id", "cand_no", "candidate"), "able"), distinct=True)).select("dataset_id", F.col("center").alias("new"), F.col("max_distance").alias("new_d"))
         both = state.drop("better").join(best, "dataset_id", "left").withColumn("better", F.coalesce(F.col("new_d") < F.col("max_distance"), F.lit(False)))
         before, state = state, stage(both.select("dataset_id", F.when(F.col("better"), F.col("new")).otherwise(F.col("center")).alias("center"), F.when(F.col("better"), F.col("new_d")).otherwise(F.col("max_distance")).alias("max_distance"), "better"), "moves")
         unstage(before)

@@ -194,10 +194,12 @@ def recombine(centers: DataFrame, n_blocks: int = 2, mode: str = "per_block", li
     return stage(made.select("dataset_id", "cand_no", F.substring(full, F.lit(1), size).alias("candidate")), "recombined")
 
 
-def score_candidates(seqs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates with their largest distance, each distinct text scored once."""
+def score_candidates(seqs: DataFrame, candidates: DataFrame, distinct: bool = False) -> DataFrame:
+    """Candidates with their largest distance, each distinct text scored once; ``distinct`` if ``seqs`` are written and without copies."""
     texts = stage(candidates.select("dataset_id", F.col("candidate").alias("text")).distinct(), "texts")
-    rows = stage(seqs.select("dataset_id", F.col("sequence").alias("text")).distinct(), "rows")  # a largest distance ignores copies
+    rows = seqs.select("dataset_id", F.col("sequence").alias("text"))
+    if not distinct:
+        rows = stage(rows.distinct(), "rows")  # a largest distance ignores copies
     scored = stage(farthest(texts, rows).select("dataset_id", F.col("text").alias("candidate"), F.col("d").alias("max_d")), "scored")
     return candidates.join(scored, ["dataset_id", "candidate"])
 

@@ -509,3 +509,29 @@ def test_all_pairs_of_short_texts_are_joined_by_spark(spark, monkeypatch):
     assert sorted(map(tuple, dist.pair_table(rows).collect()), key=str) == sorted(known, key=str)
     plan = dist.pair_table(rows.where("dataset_id = 'plain'"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
+
+
+def test_moves_read_the_rows_once(spark, monkeypatch):
+    """Copies are left out when the rows are written; later steps read what was written, and write it no more."""
+    read, written = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    for module in (cons, cand):
+        monkeypatch.setattr(module, "stage", lambda df, name, stage=module.stage: written.append((name, out := stage(df, name))) or out)
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ACGT") for _ in range(8)) for _ in range(90)]
+    texts += texts[:30]
+    rows = seqs(spark, *texts)
+    start = texts[0]
+    got = cand.refine_insertion(rows.mapInArrow(counted, rows.schema), center(spark, start)).collect()
+    far = lambda c: max(sum(x != y for x, y in zip(c, t)) for t in texts)
+    moved = [start[:i] + start[i + n :] for n in (1, 2, 3) for i in range(9 - n)]
+    cuts = [start[i : i + n] for n in (1, 2, 3) for i in range(9 - n)]
+    best = min(far(rest[:t] + cut + rest[t:]) for rest, cut in zip(moved, cuts) for t in range(len(rest) + 1))
+    assert [r["max_distance"] for r in got] == [min(best, far(start))]
+    assert read.value == len(texts)
+    assert [df.count() for name, df in written if name == "rows" and df.count() > 64] == [len(set(texts))]
