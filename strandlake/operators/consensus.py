@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import hamming, hamming_of, packed, unit
+from ..functions.strings import hamming, hamming_of, packed, symbols, unit
 from ..tables import is_empty, number, stage, unstage
 from .components import connected_components
 from .distance import center_distances, in_bands, short, summary
@@ -46,8 +46,6 @@ def greedy_consensus(seqs: DataFrame, tie: str = "lex", alphabet: str | None = N
 
 
 def _counts_by(seqs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    from ..functions.strings import symbols
-
     ch = seqs.select(*keys, "seq_index", F.posexplode(symbols("sequence")).alias("pos", "ch"))
     return ch.groupBy(*keys, "pos", "ch").agg(F.count(F.lit(1)).alias("cnt"), F.min("seq_index").alias("first_seen"))
 
@@ -263,12 +261,11 @@ def hill_climb(seqs: DataFrame, centers: DataFrame, rounds: int | None = None, a
     Without a number of ``rounds`` it goes on until no dataset gains, which ends, as every round
     lowers a distance. A dataset that gained nothing is not looked at again.
     """
-    from .profile import chars
-
     state = stage(center_distances(seqs, centers.select("dataset_id", "center")).groupBy("dataset_id", "center").agg(F.max("d").alias("max_distance")).withColumn("better", F.lit(True)), "climb")
     for _ in count() if rounds is None else range(rounds):
-        d = center_distances(seqs, state.where("better AND max_distance > 0").select("dataset_id", "center")).select("dataset_id", "seq_index", "center", "sequence", "d")
-        at = chars(d).join(d.select("dataset_id", "seq_index", "d", "center"), ["dataset_id", "seq_index"])
+        d = center_distances(seqs, state.where("better AND max_distance > 0").select("dataset_id", "center"))
+        # letters carry their row's distance, so that only maxima leave a task
+        at = d.select("dataset_id", "center", "d", F.posexplode(symbols("sequence")).alias("pos", "ch"))
         worst = at.groupBy("dataset_id", "pos", "ch").agg(F.max("d").alias("m"), F.first(F.substring("center", F.col("pos") + 1, F.lit(1))).alias("a"))
         offers = worst.select("dataset_id", "pos", F.col("ch").alias("b")) if alternatives is None else alternatives
         new = worst.join(offers, ["dataset_id", "pos"]).where("a <> b").groupBy("dataset_id", "pos", "b").agg(F.max(F.col("m") - (F.col("ch") != F.col("a")).cast("int") + (F.col("ch") != F.col("b")).cast("int")).alias("d"))

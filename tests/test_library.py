@@ -535,3 +535,11 @@ def test_moves_read_the_rows_once(spark, monkeypatch):
     assert [r["max_distance"] for r in got] == [min(best, far(start))]
     assert read.value == len(texts)
     assert [df.count() for name, df in written if name == "rows" and df.count() > 64] == [len(set(texts))]
+
+
+def test_climbs_need_no_numbers_of_rows(spark):
+    """Letters carry their row's distance; joined to it by number, rows of one number or of none gave wrong steps."""
+    numbered = seqs(spark, "CCCCCC", "CCCCGC", "CCACCC", "CCCCCT")
+    for no in (F.col("seq_index"), F.lit(0), F.lit(None).cast("int")):
+        got = cons.hill_climb(numbered.withColumn("seq_index", no), center(spark, "AAAAAA")).first()
+        assert (got["center"], got["max_distance"]) == ("CCACAA", 3)
