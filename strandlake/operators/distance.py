@@ -100,6 +100,30 @@ def neighbours(seqs: DataFrame, radius: int) -> DataFrame:
     return in_bands(first.where(~short(radius)), radius).unionByName(tiles.pairs(_texts(first.where(short(radius))), radius)).unionByName(copies)
 
 
+def near_pairs(seqs: DataFrame, radius: int) -> DataFrame:
+    """All pairs i < j of rows within a Hamming radius, copies too: ``dataset_id, i, j, d``.
+
+    There are as many as that: a group of n equal or near rows has n (n - 1) / 2. Short rows are
+    compared in tiles, copies like others, so that all tasks share them. Of longer ones pairs of
+    different texts come from bands, and each is then given for all rows of both, in chunks of
+    about ``tiles.JOINED`` rows that meet each other.
+    """
+    keys, by = ["dataset_id", "sequence"], ["dataset_id", "i"]
+    tiled = tiles.pairs(_texts(seqs.where(short(radius))), radius)
+    rows = seqs.where(~short(radius))
+    first = stage(rows.groupBy(*keys).agg(F.min("seq_index").alias("i"), F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / tiles.JOINED).cast("int")), "first")
+    members = rows.join(first, keys).select(*by, F.pmod(F.xxhash64("seq_index"), F.col("chunks")).cast("int").alias("part"), F.col("seq_index").alias("row"))
+    classes = in_bands(first.select(*keys, F.col("i").alias("seq_index")), radius)
+    classes = classes.unionByName(first.where("n > 1").select(*by, F.col("i").alias("j"), F.lit(0).alias("d")))
+    chunks = first.select(*by, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
+    side = lambda df, to, more: df.select("dataset_id", F.col("i").alias(to), F.col("part").alias(f"part_{to}"), *more)
+    met = classes.join(side(chunks, "i", []), by).join(side(chunks, "j", []), ["dataset_id", "j"])
+    for to in ("i", "j"):
+        met = met.join(side(members, to, [F.col("row").alias(f"row_{to}")]), ["dataset_id", to, f"part_{to}"])
+    a, b = F.col("row_i"), F.col("row_j")
+    return tiled.unionByName(met.where((F.col("i") != F.col("j")) | (a < b)).select("dataset_id", F.least(a, b).alias("i"), F.greatest(a, b).alias("j"), "d"))
+
+
 def short(radius: int) -> Column:
     """Whether bands of a row's blocks would tell few pairs apart."""
     return F.char_length("sequence") < BLOCK * (radius + 1)

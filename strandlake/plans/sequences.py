@@ -153,7 +153,7 @@ QUERIES = {
     "d11_pairs": (lambda v: dist.pair_table(v.dna), "SELECT * FROM pairs"),
     "d12_mean_pair": (lambda v: prof.mean_pair_distance(v.dna), "SELECT dataset_id, avg(d) AS mean_distance FROM pairs GROUP BY dataset_id"),
     "d13_extremes": (lambda v: dist.pair_extremes(v.dna), "SELECT dataset_id, min(d) AS min_distance, avg(d) AS mean_distance, max(d) AS max_distance FROM pairs GROUP BY dataset_id"),
-    "k2_neighbours": (lambda v: dist.neighbours(v.dna, RADIUS), f"WITH firsts AS (SELECT dataset_id, min(seq_index) AS k FROM dna GROUP BY dataset_id, sequence) SELECT p.* FROM pairs p JOIN firsts f ON p.dataset_id = f.dataset_id AND i = f.k LEFT JOIN firsts g ON p.dataset_id = g.dataset_id AND j = g.k WHERE d = 0 OR d <= {RADIUS} AND g.k IS NOT NULL"),
+    "k2_neighbours": (lambda v: dist.near_pairs(v.dna, RADIUS), f"SELECT * FROM pairs WHERE d <= {RADIUS}"),
     # ---- consensus
     "c1_symbol_counts": (lambda v: prof.symbol_counts(v.days), "SELECT dataset_id, pos, ch, count(*) AS cnt, min(seq_index) AS first_seen FROM ychars GROUP BY ALL"),
     "c2_consensus_lex": (lambda v: cons.greedy_consensus(v.dna), f"WITH {_LEX} SELECT * FROM lexc"),

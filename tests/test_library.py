@@ -543,3 +543,17 @@ def test_climbs_need_no_numbers_of_rows(spark):
     for no in (F.col("seq_index"), F.lit(0), F.lit(None).cast("int")):
         got = cons.hill_climb(numbered.withColumn("seq_index", no), center(spark, "AAAAAA")).first()
         assert (got["center"], got["max_distance"]) == ("CCACAA", 3)
+
+
+@pytest.mark.parametrize("length", [12, 40])
+def test_near_pairs_have_all_copies(spark, monkeypatch, length):
+    from strandlake.operators import tiles
+
+    monkeypatch.setattr(tiles, "JOINED", 5)
+    rng = random.Random(length)
+    base = ["".join(rng.choice("ACGT") for _ in range(length)) for _ in range(4)]
+    texts = [b if k % 3 else b[:k] + rng.choice("ACGT") + b[k + 1 :] for k in range(9) for b in base] + ["AC", "AC", "", "", "ÄÖ"] + [base[0]] * 20
+    got = [(r["i"], r["j"], r["d"]) for r in dist.near_pairs(seqs(spark, *texts), 3).collect()]
+    want = [(i, j, d) for (i, x), (j, y) in itertools.combinations(enumerate(texts), 2) if len(x) == len(y) and (d := sum(p != q for p, q in zip(x, y))) <= 3]
+    assert sorted(got) == sorted(want) and sum(d == 0 for *_, d in want) > 300
+    assert dist.near_pairs(seqs(spark, *texts).where("false"), 3).count() == 0

@@ -2,9 +2,11 @@
 
 import decimal
 import math
+from functools import reduce
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.plans import ledger, sequences
@@ -62,3 +64,18 @@ def test_neighbours_equal_sql_with_copies(spark, tmp_path):
     got = con.execute(with_views(sql))
     want = rows([c[0] for c in got.description], got.fetchall())
     assert rows(df.columns, df.collect()) == want and len(want) >= 180
+
+
+def test_near_pairs_are_given_for_all_copies(spark, tmp_path):
+    """Three equal rows are three pairs, and each has its own pairs with rows near them."""
+    near = F.transform("embedding", lambda x, i: F.when(i < 4, -x).otherwise(x))
+    one = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 20").select("vec_id", "label", "embedding", near.alias("near"))
+    more = [one.select((F.col("vec_id") + 1000 * k).alias("vec_id"), F.col(c).alias("embedding"), "label") for k, c in enumerate(("embedding", "embedding", "embedding", "near", "near"))]
+    reduce(DataFrame.unionByName, more).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    fn, sql = PLANS["k2_neighbours"]
+    df = fn(Views(spark, str(tmp_path)))
+    got = con.execute(with_views(sql))
+    want = rows([c[0] for c in got.description], got.fetchall())
+    assert rows(df.columns, df.collect()) == want and len(want) >= 200
