@@ -12,7 +12,7 @@ from ..tables import is_empty, number, stage, unstage
 from .components import connected_components
 from .distance import center_distances, in_bands, short, summary
 from .profile import block_spans, mean_pair_distance, repair_length, segments, sizes, symbol_counts
-from .tiles import farthest, links, weights_near
+from .tiles import best_joined, farthest, links, weights_near
 
 #: Bounds of the automatic cluster radius and block count.
 AUTO = {"min_d": 2, "d_factor": 0.8, "min_blocks": 2, "max_blocks": 4, "n_div": 6, "l_div": 25}
@@ -159,6 +159,20 @@ def cluster_consensus(seqs: DataFrame, members: DataFrame) -> DataFrame:
     return greedy_consensus(seqs.join(members, ["dataset_id", "seq_index"]), "seen", keys=("dataset_id", "cluster_id"))
 
 
+def _choices(centers: DataFrame, n_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The blocks of all centres, ``(dataset_id, nth, block, part)``, and for each dataset its first
+    centre, the number b of that one's blocks, and the number k of centres."""
+    length = F.char_length("center")
+    ranked = stage(number(centers.where(length > 0).select("dataset_id", "cluster_id", "center"), "dataset_id", "cluster_id", name="nth"), "ranked")
+    blocks = F.least(F.lit(n_blocks), length)
+    base, rest = F.floor(length / blocks), length % blocks
+    begin = lambda i: (i * base + F.least(i, rest)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.substring("center", begin(i) + 1, begin(i + 1) - begin(i)))
+    parts = ranked.select("dataset_id", "nth", F.posexplode(cut).alias("block", "part"))
+    k = ranked.groupBy("dataset_id").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    return parts, ranked.where("nth = 0").select("dataset_id", F.col("center").alias("first"), blocks.alias("b")).join(k, "dataset_id")
+
+
 def recombine(centers: DataFrame, n_blocks: int = 2, mode: str = "per_block", limit: int = MAX_CANDIDATES) -> DataFrame:
     """``centers(dataset_id, cluster_id, center)`` -> ``(dataset_id, cand_no, candidate)``.
 
@@ -168,15 +182,7 @@ def recombine(centers: DataFrame, n_blocks: int = 2, mode: str = "per_block", li
     are left out, as the choices of a number are its digits. Each digit is a row that is joined to
     its part, so no row holds a dataset's centres.
     """
-    length = F.char_length("center")
-    ranked = stage(number(centers.where(length > 0).select("dataset_id", "cluster_id", "center"), "dataset_id", "cluster_id", name="nth"), "ranked")
-    blocks = F.least(F.lit(n_blocks), length)
-    base, rest = F.floor(length / blocks), length % blocks
-    begin = lambda i: (i * base + F.least(i, rest)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.substring("center", begin(i) + 1, begin(i + 1) - begin(i)))
-    parts = ranked.select("dataset_id", "nth", F.posexplode(cut).alias("block", "part"))
-    k = ranked.groupBy("dataset_id").agg(F.count(F.lit(1)).cast("int").alias("k"))
-    held = ranked.where("nth = 0").select("dataset_id", F.col("center").alias("first"), blocks.alias("b")).join(k, "dataset_id")
+    parts, held = _choices(centers, n_blocks)
     radix, digits = ("k", "b") if mode == "per_block" else ("b", "k")
     held = held.withColumn("radix", F.col(radix)).withColumn("digits", F.col(digits))
     total = F.least(F.lit(limit).cast("double"), F.pow(F.col("radix").cast("double"), F.col("digits"))).cast("int")
@@ -244,6 +250,60 @@ def best_by_bounds(seqs: DataFrame, candidates: DataFrame, first: int = 1024) ->
     return best.select("dataset_id", F.col("candidate").alias("center"), F.col("max_d").alias("max_distance"), "scored")
 
 
+def _joined_halves(parts: DataFrame, held: DataFrame, n_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """All beginnings and all ends of per_block candidates, as `best_joined` takes them.
+
+    Beginnings have half of the blocks; ``no`` are the choices as digits, of equal texts the first.
+    An end is cut or filled up from the first centre, as what it follows leaves room for.
+    """
+    places = held.select("dataset_id", "k", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("block"))
+    every = places.withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).join(parts, ["dataset_id", "nth", "block"], "left")
+    # a centre that is shorter than the first one may have fewer blocks
+    choices = stage(every.groupBy("dataset_id", "block", F.coalesce("part", F.lit("")).alias("part")).agg(F.min("nth").alias("nth")), "choices")
+    half = F.floor(F.col("b") / 2)
+
+    def grown(first: Column, last: Column) -> DataFrame:
+        out = held.select("dataset_id", "k", "b", F.lit(0).cast("long").alias("no"), F.lit("").alias("text"))
+        for block in range(n_blocks):
+            mine = (first <= block) & (last > block)
+            more = out.where(mine).join(choices.where(F.col("block") == block), "dataset_id").groupBy("dataset_id", "k", "b", F.concat("text", "part").alias("text")).agg(F.min(F.col("no") * F.col("k") + F.col("nth")).alias("no"))
+            out = more.unionByName(out.where(~mine))
+        return out.select("dataset_id", "no", "text").join(held.select("dataset_id", "first"), "dataset_id")
+
+    size, least = F.char_length("first"), F.min("no").alias("no")
+    lefts = grown(F.lit(0), half).withColumn("cut", F.least(F.char_length("text"), size))
+    lefts = stage(lefts.groupBy("dataset_id", "cut", F.substring("text", F.lit(1), size).alias("text")).agg(least), "lefts")
+    rights = grown(half, F.col("b")).join(lefts.select("dataset_id", "cut").distinct(), "dataset_id")
+    full = F.concat("text", F.substring("first", F.col("cut") + F.char_length("text") + 1, size))
+    rights = stage(rights.groupBy("dataset_id", "cut", F.substring(full, F.lit(1), size - F.col("cut")).alias("text")).agg(least), "rights")
+    return lefts, rights
+
+
+def best_recombined(seqs: DataFrame, centers: DataFrame, n_blocks: int = 2, mode: str = "per_block", limit: int | None = None) -> DataFrame:
+    """The first of all recombined candidates with the smallest largest distance: ``(dataset_id, center, max_distance)``.
+
+    The first `MAX_CANDIDATES` are made and scored. Where per_block has more, all are searched for a
+    better one as pairs of a beginning and an end, which need not be made. Only a given ``limit``
+    leaves candidates out, and mode reference beyond `MAX_CANDIDATES`, as the reference does: its
+    blocks^k strings double with each cluster.
+    """
+    centers = stage(centers, "centers")
+    best = best_by_bounds(seqs, recombine(centers, n_blocks, mode, MAX_CANDIDATES if limit is None else limit)).select("dataset_id", "center", "max_distance")
+    if limit is not None or mode != "per_block":
+        return best
+    parts, held = _choices(centers, n_blocks)
+    more = held.where(F.pow(F.col("k").cast("double"), F.col("b")) > MAX_CANDIDATES)
+    if is_empty(more):
+        return best
+    best, more = stage(best, "best"), stage(more, "more")
+    lefts, rights = _joined_halves(parts.join(more.select("dataset_id"), "dataset_id", "left_semi"), more, n_blocks)
+    most = more.join(best.where("max_distance IS NOT NULL"), "dataset_id").select("dataset_id", F.char_length("first").alias("size"), (F.col("max_distance") - 1).alias("most"))
+    rows = seqs.select("dataset_id", F.col("sequence").alias("text")).distinct().join(most, "dataset_id").where(F.char_length("text") == F.col("size"))
+    better = stage(best_joined(lefts, rights, rows.select("dataset_id", "text", "most")), "better")
+    out = best.join(better, "dataset_id", "left")
+    return out.select("dataset_id", F.coalesce("text", "center").alias("center"), F.coalesce("d", "max_distance").alias("max_distance"))
+
+
 def with_fallback(seqs: DataFrame, centers: DataFrame) -> DataFrame:
     """Datasets without a centre get their plurality consensus; ``fallback_used`` says which."""
     rest = seqs.join(centers.select("dataset_id").distinct(), "dataset_id", "left_anti")

@@ -25,6 +25,10 @@ JOINED = 1024
 WORDS = 16
 #: Characters that are put in planes at a time.
 CHARS = 1 << 22
+#: Beginnings and ends of a tile of joined texts, rows they are held against at a time, and pairs that are kept one by one.
+LEFTS, RIGHTS = 2048, 8192
+ROWS = 1024
+FEW = 1 << 16
 
 Tile = Callable[[tuple, tuple, bool], Iterator[tuple]]
 
@@ -315,3 +319,161 @@ def farthest(texts: DataFrame, rows: DataFrame) -> DataFrame:
     b = theirs.join(blocks, "dataset_id").select("dataset_id", _upto("xs").alias("x"), _block("ys").alias("y"), F.lit(1).alias("side"), "id", "text")
     met = _compared(a.unionByName(b), found, "text string, d int, far string", False)
     return met.groupBy("dataset_id", "text").agg(F.max("d").alias("d"), F.max_by("far", "d").alias("far"))
+
+
+class _Joined:
+    """Which texts, of a beginning and an end, are at most ``most`` away from all rows shown so far.
+
+    For each largest distance from ``most`` down it holds bits of the pairs that stay within it, as
+    long as there are any; so a pair's largest distance is the least whose bits have it. A row bars
+    all ends that are too far for a beginning's distance from it, which are one string of bits. Few
+    pairs left are held one by one.
+    """
+
+    def __init__(self, lefts: list[str], rights: list[str], most: int):
+        self.texts, self.most, self.pairs, self.far = (lefts, rights), most, None, None
+        self.words = -(-len(rights) // 64)
+        everything = self._bits(np.ones((1, len(rights)), dtype=bool))
+        # a level that is not there yet stands for the pairs of the one above
+        self.levels, self.begun = [np.repeat(everything, len(lefts), axis=0)], False
+
+    def _bits(self, flags: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(flags), self.words * 8), dtype=np.uint8)
+        packed = np.packbits(flags, axis=1)
+        out[:, : packed.shape[1]] = packed
+        return out.view(np.uint64)
+
+    @property
+    def over(self) -> bool:
+        return not len(self.levels) if self.pairs is None else not len(self.far)
+
+    def show(self, heads: list[str], tails: list[str]) -> None:
+        """Rows, cut where beginnings end."""
+        a, b = _matrix(heads, self.texts[0]), _matrix(tails, self.texts[1])
+        if self.pairs is None:
+            self._bar(a, b)
+            if self.levels and np.bitwise_count(self.levels[0]).sum() <= FEW:
+                self._single()
+        else:
+            self._raise(a, b)
+
+    def _bar(self, a: np.ndarray, b: np.ndarray) -> None:
+        level = 0
+        while level < len(self.levels):
+            kept = self._within(self.levels[level], a, b, self.most - level)
+            if not kept.any():  # nor is there any below
+                del self.levels[level:]
+                break
+            self.levels[level] = kept
+            level += 1
+            if not self.begun and level == len(self.levels) and level <= self.most:
+                self.levels.append(kept)
+        self.begun = True
+
+    def _within(self, kept: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        kept, top = kept.copy(), int(b.max())
+        values = [v for v in np.unique(a) if int(v) + top > most]
+        if not values:
+            return kept
+        barred = np.concatenate([self._bits(b > most - int(v)) for v in values])
+        # the place of a row's bits for a beginning at that distance
+        place = np.full(int(a.max()) + 1, -1, dtype=np.int64)
+        place[values] = np.arange(len(values)) * len(a)
+        for i in np.flatnonzero(kept.any(axis=1)):
+            at = place[a[:, i]]
+            rows = np.flatnonzero(at >= 0)
+            kept[i] &= ~np.bitwise_or.reduce(barred[at[rows] + rows], axis=0)
+        return kept
+
+    def _single(self) -> None:
+        i, j = self.pairs = np.nonzero(np.unpackbits(self.levels[0].view(np.uint8), axis=1, count=len(self.texts[1])))
+        self.far = np.full(len(i), self.most + 1, dtype=np.int64)
+        for x in self.levels:
+            self.far -= x.view(np.uint8)[i, j >> 3] >> (7 - (j & 7)) & 1
+        self.levels = []
+
+    def _raise(self, a: np.ndarray, b: np.ndarray) -> None:
+        (i, j), step = self.pairs, max(1, CHARS // len(a))
+        for at in range(0, len(i), step):
+            cut = slice(at, at + step)
+            self.far[cut] = np.maximum(self.far[cut], (a[:, i[cut]] + b[:, j[cut]]).max(axis=0))
+        stay = self.far <= self.most
+        self.pairs, self.far = (i[stay], j[stay]), self.far[stay]
+
+    def best(self) -> tuple[int, int, int] | None:
+        """The least largest distance, and the first beginning and end that have it."""
+        if self.over:
+            return None
+        if self.pairs is None:
+            i = int(np.flatnonzero(self.levels[-1].any(axis=1))[0])
+            ends = np.unpackbits(self.levels[-1][i].view(np.uint8), count=len(self.texts[1]))
+            return self.most + 1 - len(self.levels), i, int(np.flatnonzero(ends)[0])
+        at = np.lexsort((self.pairs[1], self.pairs[0], self.far))[0]
+        return int(self.far[at]), int(self.pairs[0][at]), int(self.pairs[1][at])
+
+
+def _matrix(left: list[str], right: list[str]) -> np.ndarray:
+    """Distances of texts that are all of one length."""
+    out = None
+    for a, b, d in distances(left, right):
+        if out is None:
+            out = np.empty((len(left), len(right)), dtype=d.dtype)
+        out[np.ix_(a, b)] = d
+    return out
+
+
+def best_joined(lefts: DataFrame, rights: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts of a beginning and an end that are nearest to all rows, if near enough.
+
+    ``lefts`` and ``rights(dataset_id, cut, no, text)``: beginnings, of ``cut`` characters, and what
+    may follow them; ``rows(dataset_id, text, most)`` of the length of both. Gives
+    ``(dataset_id, d, text)``, of the texts whose largest distance from the rows is least and not
+    above ``most`` the one with the first ``no`` on the left, then on the right. All pairs are held
+    against rows until one bars them, blocks of beginnings and ends in a task, rows in passing.
+    """
+    by = ["dataset_id", "cut", "x", "y"]
+    schema = pa.schema([("dataset_id", pa.string()), ("d", pa.int32()), ("left_no", pa.int64()), ("right_no", pa.int64()), ("text", pa.string())])
+
+    def tile(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides, held, waiting, seen = ([], []), None, ([], []), 0
+        for batch in batches:
+            if held is not None and held.over:
+                continue
+            side = batch["side"].to_numpy()
+            if len(side) and (side[0] < seen or (np.diff(side) < 0).any()):
+                raise ValueError("rows came before what they are compared with")
+            for s in np.unique(side):
+                part = batch.filter(pa.array(side == s))
+                seen = int(s)
+                if s < 2:
+                    sides[s].extend(zip(part["no"].to_pylist(), part["text"].to_pylist()))
+                    continue
+                if held is None:
+                    for x in sides:
+                        x.sort()
+                    held = _Joined([t for _, t in sides[0]], [t for _, t in sides[1]], part["no"][0].as_py())
+                waiting[0].extend(part["text"].to_pylist())
+                waiting[1].extend(part["tail"].to_pylist())
+            while held is not None and len(waiting[0]) >= ROWS and not held.over:
+                held.show(waiting[0][:ROWS], waiting[1][:ROWS])
+                waiting = waiting[0][ROWS:], waiting[1][ROWS:]
+        if held is not None and waiting[0] and not held.over:
+            held.show(*waiting)
+        if held is not None and (best := held.best()):
+            d, i, j = best
+            (a, head), (b, tail) = sides[0][i], sides[1][j]
+            yield pa.RecordBatch.from_pylist([{"dataset_id": key[0].as_py(), "d": d, "left_no": a, "right_no": b, "text": head + tail}], schema=schema)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = lambda df, size, name: df.groupBy("dataset_id", "cut").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    blocks = count(lefts, LEFTS, "xs").join(count(rights, RIGHTS, "ys"), ["dataset_id", "cut"])
+    own = lambda size: F.pmod(F.xxhash64("no"), F.col(size)).cast("int")
+    nothing = F.lit(None).cast("string").alias("tail")
+    a = lefts.join(blocks, ["dataset_id", "cut"]).select("dataset_id", "cut", own("xs").alias("x"), _upto("ys").alias("y"), F.lit(0).alias("side"), "no", "text", nothing)
+    b = rights.join(blocks, ["dataset_id", "cut"]).select("dataset_id", "cut", _upto("xs").alias("x"), own("ys").alias("y"), F.lit(1).alias("side"), "no", "text", nothing)
+    met = rows.join(blocks, "dataset_id").withColumn("x", _upto("xs")).withColumn("y", _upto("ys"))
+    head, tail = F.substring("text", F.lit(1), F.col("cut")), F.substring("text", F.col("cut") + 1, F.char_length("text"))
+    c = met.select("dataset_id", "cut", "x", "y", F.lit(2).alias("side"), F.col("most").cast("bigint").alias("no"), head.alias("text"), tail.alias("tail"))
+    dealt = a.unionByName(b).unionByName(c).repartition(n, *by).sortWithinPartitions(*by, "side")
+    found = dealt.groupBy(*by).applyInArrow(tile, "dataset_id string, d int, left_no bigint, right_no bigint, text string")
+    return found.groupBy("dataset_id").agg(F.min(F.struct("d", "left_no", "right_no", "text")).alias("b")).select("dataset_id", "b.d", "b.text")

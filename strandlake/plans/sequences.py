@@ -171,7 +171,7 @@ QUERIES = {
     "k4_cluster_consensus": (lambda v: cons.cluster_consensus(v.dna, cons.clusters(v.dna, RADIUS)), f"WITH RECURSIVE {_REACH}, cc AS (SELECT c.dataset_id, cluster_id, pos, ch, count(*) AS cnt, min(c.seq_index) AS fs FROM dchars c JOIN clus USING (dataset_id, seq_index) GROUP BY ALL) SELECT dataset_id, cluster_id, string_agg(ch, '' ORDER BY pos) AS center FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, cluster_id, pos ORDER BY cnt DESC, fs) AS r FROM cc) WHERE r = 1 GROUP BY ALL"),
     "k5_recombine": (lambda v: cons.recombine(v.dna.select("dataset_id", F.col("seq_index").alias("cluster_id"), F.col("sequence").alias("center")), 2), "SELECT a.dataset_id, (row_number() OVER (PARTITION BY a.dataset_id ORDER BY a.seq_index, b.seq_index) - 1) AS cand_no, substr(a.sequence, 1, 16) || substr(b.sequence, 17, 16) AS candidate FROM dna a JOIN dna b ON a.dataset_id = b.dataset_id QUALIFY cand_no < 5000"),
     "k6_best_candidate": (lambda v: cons.best_by_bounds(v.dna, v.dna.select("dataset_id", F.col("seq_index").alias("cand_no"), F.col("sequence").alias("candidate"))).drop("scored"), "WITH s AS (SELECT a.dataset_id, a.seq_index, a.sequence AS center, max(hamming(a.sequence, b.sequence)) AS max_distance FROM dna a JOIN dna b ON a.dataset_id = b.dataset_id GROUP BY ALL) SELECT dataset_id, center, max_distance FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY max_distance, seq_index) AS r FROM s) WHERE r = 1"),
-    "k7_fallback": (lambda v: cons.with_fallback(v.dna, cons.best_candidate(cons.score_candidates(v.dna, cons.recombine(cons.cluster_consensus(v.dna, cons.clusters(v.dna, 7)), 2)))).select("dataset_id", "center", "fallback_used"), None),
+    "k7_fallback": (lambda v: cons.with_fallback(v.dna, cons.best_recombined(v.dna, cons.cluster_consensus(v.dna, cons.clusters(v.dna, 7)), 2)).select("dataset_id", "center", "fallback_used"), None),
     "k8_cluster_recombine": (lambda v: cons.cluster_recombine(v.dna, RADIUS), None),
     "h1_exhaustive": (lambda v: cons.exhaustive_blocks(v.dna, prof.block_spans(_lengths(v), "fixed", size=4), DNA, 3), "WITH al AS (SELECT unnest(['A','C','G','T']) AS x), tx AS (SELECT a.x || b.x || c.x || d.x AS candidate FROM al a, al b, al c, al d), sg AS (SELECT DISTINCT dataset_id, b AS block_no, substr(sequence, b::INT * 4 + 1, 4) AS seg FROM dna, range(8) t(b)), sc AS (SELECT dataset_id, block_no, candidate, max(hamming(candidate, seg)) AS d FROM sg, tx GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY dataset_id, block_no ORDER BY d, candidate) - 1 AS cand_no FROM sc QUALIFY cand_no < 3"),
     "h2_beam": (lambda v: cons.beam_blocks(v.dna, prof.block_spans(_lengths(v), "fixed", size=8), DNA, 8, 3), _beam_sql(8, 8, 3)),

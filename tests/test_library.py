@@ -557,3 +557,44 @@ def test_near_pairs_have_all_copies(spark, monkeypatch, length):
     want = [(i, j, d) for (i, x), (j, y) in itertools.combinations(enumerate(texts), 2) if len(x) == len(y) and (d := sum(p != q for p, q in zip(x, y))) <= 3]
     assert sorted(got) == sorted(want) and sum(d == 0 for *_, d in want) > 300
     assert dist.near_pairs(seqs(spark, *texts).where("false"), 3).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 40, 1 << 16])
+def test_pairs_of_a_beginning_and_an_end_are_barred_by_rows(monkeypatch, few):
+    from strandlake.operators import tiles
+
+    monkeypatch.setattr(tiles, "FEW", few)
+    rng = random.Random(few)
+    text = lambda n, p: "".join(rng.choice("ACGT") if rng.random() < p else "A" for _ in range(n))
+    far = lambda s, t: sum(x != y for x, y in zip(s, t))
+    for left, right, p in ((5, 6, 1.0), (3, 80, 0.3), (0, 9, 0.5), (70, 2, 0.6)):
+        lefts, rights = (list(dict.fromkeys(text(n, p) for _ in range(m))) for n, m in ((left, 30), (right, 75)))
+        rows = [text(left + right, p) for _ in range(50)]
+        worst = {(max(far(a + b, r) for r in rows), i, j) for i, a in enumerate(lefts) for j, b in enumerate(rights)}
+        least = min(worst)
+        for most in (least[0] - 1, least[0], least[0] + 3, left + right, -1):
+            held = tiles._Joined(lefts, rights, most)
+            for at in range(0, 50, 20):
+                if not held.over:
+                    held.show([r[:left] for r in rows[at : at + 20]], [r[left:] for r in rows[at : at + 20]])
+            assert held.best() == (least if least[0] <= most else None)
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+def test_all_recombined_candidates_are_searched(spark, monkeypatch, blocks):
+    from strandlake.operators import tiles
+
+    monkeypatch.setattr(cons, "MAX_CANDIDATES", 7)
+    monkeypatch.setattr(tiles, "LEFTS", 8)
+    monkeypatch.setattr(tiles, "RIGHTS", 16)
+    rng = random.Random(blocks)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    centers = [("d", i, text(9)) for i in range(15)] + [("odd", i, text(n)) for i, n in enumerate([7, 7, 2, 9, 1, 7, 12, 7, 7, 8, 0, 7])] + [("few", i, text(5)) for i in range(2)] + [("none", i, text(6)) for i in range(9)]
+    rows = [(d, i, text(n)) for d, n in (("d", 9), ("odd", 7), ("few", 5), ("none", 4)) for i in range(40)] + [("odd", 99, "AC")]
+    data = spark.createDataFrame(rows, "dataset_id string, seq_index int, sequence string")
+    given = spark.createDataFrame(centers, "dataset_id string, cluster_id int, center string")
+    got = {r["dataset_id"]: (r["center"], r["max_distance"]) for r in cons.best_recombined(data, given, blocks).collect()}
+    want = {r["dataset_id"]: (r["center"], r["max_distance"]) for r in cons.best_candidate(cons.score_candidates(data, cons.recombine(given, blocks, limit=100_000))).collect()}
+    capped = {r["dataset_id"]: (r["center"], r["max_distance"]) for r in cons.best_recombined(data, given, blocks, limit=7).collect()}
+    assert got == want and len(want) == 4
+    assert capped != want
