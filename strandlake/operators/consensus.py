@@ -339,10 +339,10 @@ def hill_climb(seqs: DataFrame, centers: DataFrame, rounds: int | None = None, a
     return state.drop("better")
 
 
-def cluster_recombine(seqs: DataFrame, radius: int, n_blocks: int = 2, mode: str = "per_block", rounds: int | None = None, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """Clusters, their centres, recombined, the best refined; without clusters the consensus."""
+def cluster_recombine(seqs: DataFrame, radius: int, n_blocks: int = 2, mode: str = "per_block", rounds: int | None = None, limit: int | None = None) -> DataFrame:
+    """Clusters, their centres, recombined, the best of all refined; without clusters the consensus."""
     centers = cluster_consensus(seqs, clusters(seqs, radius))
-    best = best_by_bounds(seqs, recombine(centers, n_blocks, mode, limit))
+    best = best_recombined(seqs, centers, n_blocks, mode, limit)
     chosen = stage(with_fallback(seqs, best), "chosen")
     refined = hill_climb(seqs, chosen, rounds)
     return refined.join(chosen.select("dataset_id", "fallback_used"), "dataset_id")

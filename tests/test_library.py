@@ -598,3 +598,16 @@ def test_all_recombined_candidates_are_searched(spark, monkeypatch, blocks):
     capped = {r["dataset_id"]: (r["center"], r["max_distance"]) for r in cons.best_recombined(data, given, blocks, limit=7).collect()}
     assert got == want and len(want) == 4
     assert capped != want
+
+
+def test_clusters_beyond_five_thousand_choices_are_recombined(spark):
+    """Of 81 x 81 candidates one of those behind the first 5,000 is the best."""
+    rng = random.Random(81)
+    pairs = ["".join(rng.choice("CGT") for _ in range(24)) for _ in range(80)]
+    rows = [p for p in pairs for _ in range(2)] + ["A" * 24] * 2
+    data = seqs(spark, *rows)
+    made = cons.recombine(cons.cluster_consensus(data, cons.clusters(data, 1)), limit=10_000)
+    want = cons.best_candidate(cons.score_candidates(data, made)).first()
+    got = cons.cluster_recombine(data, 1, rounds=0).first()
+    assert (got["center"], got["max_distance"]) == (want["center"], want["max_distance"])
+    assert made.where("cand_no >= 5000").where(F.col("candidate") == want["center"]).count() == 1
